@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.itemsets import split_items
@@ -158,20 +158,22 @@ def tag_phrase(tag: Column) -> Column:
     )
 
 
+def item_phrases(text: Column) -> Column:
+    """The phrases of a stored itemset, as an array."""
+    return F.filter(F.transform(split_items(text), tag_phrase), lambda p: p != "")
+
+
 def join_phrases(phrases: Column) -> Column:
-    """``a``, ``a and b``, ``a, b and c``; empty phrases are left out."""
-    kept = F.filter(phrases, lambda p: p != "")
-    n = F.size(kept)
-    head = F.array_join(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
-    return F.when(n == 0, F.lit("")).when(n == 1, kept[0]).otherwise(
-        F.concat(head, F.lit(" and "), F.try_element_at(kept, F.lit(-1)))
+    """``a``, ``a and b``, ``a, b and c``."""
+    n = F.size(phrases)
+    head = F.array_join(F.slice(phrases, F.lit(1), F.greatest(n - 1, F.lit(0))), ", ")
+    return F.when(n == 0, F.lit("")).when(n == 1, phrases[0]).otherwise(
+        F.concat(head, F.lit(" and "), F.try_element_at(phrases, F.lit(-1)))
     )
 
 
-def rule_sentence(antecedents: Column, consequents: Column) -> Column:
-    """Both sides given as stored text; an empty consequent describes just the group."""
-    left = F.transform(split_items(antecedents), tag_phrase)
-    right = F.transform(split_items(consequents), tag_phrase)
+def sentence(left: Column, right: Column) -> Column:
+    """The rule with the phrases of both sides; without a right side just the group."""
     return (
         F.when((F.size(left) == 0) & (F.size(right) == 0), F.lit("All Reviews"))
         .when(F.size(right) == 0, F.concat(F.lit("Reviewers who "), join_phrases(left)))
@@ -181,6 +183,16 @@ def rule_sentence(antecedents: Column, consequents: Column) -> Column:
     )
 
 
+def with_sentence(rules: DataFrame, name: str = "text") -> DataFrame:
+    """Adds the sentence of ``antecedents`` and ``consequents``; phrases are computed once per side."""
+    return (
+        rules.withColumn("__left", item_phrases(F.col("antecedents")))
+        .withColumn("__right", item_phrases(F.col("consequents")))
+        .withColumn(name, sentence(F.col("__left"), F.col("__right")))
+        .drop("__left", "__right")
+    )
+
+
 def severity(lift: Column) -> Column:
     return (
         F.when(lift >= 1.5, F.lit("critical"))

@@ -96,10 +96,13 @@ class CapacityModel:
     apps: DataFrame
     params: BoostParams
     samples: int
+    _vector: Column | None = None
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """Adds ``prediction``, the expected log-ratio; ``rows`` must hold ``app_level``."""
-        vectors = rows.withColumn("features", array_to_vector(feature_array(self.rule_names)))
+        if self._vector is None:
+            self._vector = array_to_vector(feature_array(self.rule_names))
+        vectors = rows.withColumn("features", self._vector)
         scored = self.ensemble.transform(vectors).drop("features")
         return scored.withColumn("prediction", F.col("prediction") + F.lit(self.base))
 

@@ -123,7 +123,7 @@ def forecast_days(
     state = cut_lineage(start_state(matrix, model))
     for step in range(1, days + 1):
         state = _advance(state, model, step, model.params, safety_buffer, training_lags)
-        if step % CUT_EVERY == 0 and step < days:
+        if step % CUT_EVERY == 0 or step == days:
             state = cut_lineage(state)
     return state.select("app_id", F.explode("path").alias("p")).select(
         "app_id", "p.date", "p.predicted_mean_concurrent", "p.step"

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.phrases import rule_sentence, severity
+from tidemark.functions.phrases import severity, with_sentence
 from tidemark.operators import reviews as R
 from tidemark.operators.mining import mine
 from tidemark.operators.status import top_rules
@@ -126,9 +126,6 @@ def remine(store: TableStore, app_ids: Sequence[int], as_of: int, params: Mining
 
 def report(rules: DataFrame, runs: DataFrame) -> DataFrame:
     """The strongest rules of each app's latest run as sentences with a severity."""
-    return top_rules(rules, runs).select(
-        "app_id", "rank",
-        rule_sentence(F.col("antecedents"), F.col("consequents")).alias("text"),
-        severity(F.col("lift")).alias("category"),
-        "antecedents", "consequents",
+    return with_sentence(top_rules(rules, runs)).select(
+        "app_id", "rank", "text", severity(F.col("lift")).alias("category"), "antecedents", "consequents"
     )

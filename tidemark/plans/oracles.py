@@ -179,3 +179,96 @@ RULE_OUTPUT = (
 )
 REVIEW_GROUP = "SELECT app_id AS grp, recommendationid AS basket_id, items FROM tagged WHERE isSpam = FALSE"
 ORDER_GROUP = f"SELECT app_id AS grp, basket_id, items FROM ({ORDER_BASKETS_SQL})"
+
+
+# --- Reports --------------------------------------------------------------------------------
+
+
+def values_cte(table: dict[str, str]) -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in table.items())
+    return f"SELECT * FROM (VALUES {rows}) v(key, phrase)"
+
+
+def phrase_sql(tag: str) -> str:
+    """A tag's phrase by scalar lookups into the dictionary tables of ``phrase_ctes``."""
+    def found(cte: str, key: str) -> str:
+        return f"(SELECT phrase FROM {cte} WHERE key = {key})"
+
+    return f"""CASE
+        WHEN starts_with({tag}, 'playtime_') THEN {found('d_playtime', f"substr({tag}, 10)")}
+        WHEN starts_with({tag}, 'lang_') THEN 'wrote in ' || {found('d_language', f"substr({tag}, 6)")}
+        WHEN starts_with({tag}, 'kpi_') THEN {found('d_trend', f"substr({tag}, 5)")}
+        WHEN starts_with({tag}, 'hw_os_') THEN 'played on ' || replace(substr({tag}, 7), '_', ' ')
+        WHEN starts_with({tag}, 'hw_ram_') THEN 'had ' || substr({tag}, 8) || ' of RAM'
+        WHEN starts_with({tag}, 'hw_vram_') THEN 'had ' || substr({tag}, 9) || ' of VRAM'
+        WHEN {tag} IN (SELECT key FROM d_boolean) THEN {found('d_boolean', tag)}
+        ELSE 'rated the ' || {found('d_pillar', f"split_part({tag}, '_', 1)")} || ' ' || split_part({tag}, '_', 2) || '/5'
+        END"""
+
+
+def phrase_ctes() -> dict[str, str]:
+    from tidemark.functions import phrases as P
+
+    return {
+        "d_playtime": values_cte(P.PLAYTIME_PHRASES),
+        "d_language": values_cte(P.LANGUAGE_NAMES),
+        "d_trend": values_cte(P.TREND_PHRASES),
+        "d_boolean": values_cte(P.BOOLEAN_PHRASES),
+        "d_pillar": values_cte(P.PILLAR_LABELS),
+    }
+
+
+def side_sql(items: str) -> str:
+    """Phrases of a sorted list joined with commas and a final ``and``."""
+    return f"""(SELECT CASE WHEN count(*) = 1 THEN any_value(p) ELSE
+                   string_agg(p, ', ' ORDER BY i) FILTER (i < n) || ' and ' || any_value(p) FILTER (i = n) END
+               FROM (SELECT {phrase_sql('t.tag')} AS p, t.i, len({items}) AS n
+                     FROM (SELECT unnest({items}) AS tag, unnest(range(1, len({items}) + 1)) AS i) t))"""
+
+
+# --- Matrix ---------------------------------------------------------------------------------
+
+AVERAGES = {p: "avg_monetization" if p == "monetizationModel" else f"avg_{p}" for p in PILLARS}
+REVIEW_FEATURES = ["daily_review_count", *AVERAGES.values(), "positive_ratio"]
+
+
+def feature_ctes() -> dict[str, str]:
+    means = ", ".join(f"avg({p}) AS {name}" for p, name in AVERAGES.items())
+    return {
+        "review_days": f"""SELECT app_id, CAST(epoch_ms(timestamp_updated::BIGINT * 1000) AS DATE) AS date,
+                                  count(*) AS daily_review_count, {means},
+                                  avg(CASE WHEN voted_up THEN 1.0 ELSE 0.0 END) AS positive_ratio
+                           FROM reviews WHERE isSpam = FALSE GROUP BY ALL""",
+    }
+
+
+MATRIX_COLUMNS = [
+    "mean_concurrent", "pct_change", *REVIEW_FEATURES, "kpi_lag_1", "kpi_lag_7", "kpi_lag_14",
+    "kpi_roll_7_mean", "kpi_roll_7_max", "dayofweek", "is_weekend", "dow_sin", "dow_cos",
+    "lag7_weekend_interaction", "weekend_boost_ratio", "target_y_abs", "target_y",
+]
+
+
+def matrix_ctes() -> dict[str, str]:
+    """``matrix`` without rule features, from ``kpis`` and ``reviews``."""
+    zeroed = ", ".join(f"coalesce({c}, 0) AS {c}" for c in REVIEW_FEATURES)
+    over = "OVER (PARTITION BY app_id ORDER BY date)"
+    week = "OVER (PARTITION BY app_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
+    return {
+        **feature_ctes(),
+        "lagged": f"""SELECT app_id, date, mean_concurrent, pct_change, {zeroed},
+                             coalesce(lag(mean_concurrent, 1) {over}, 0) AS kpi_lag_1,
+                             coalesce(lag(mean_concurrent, 7) {over}, 0) AS kpi_lag_7,
+                             coalesce(lag(mean_concurrent, 14) {over}, 0) AS kpi_lag_14,
+                             coalesce(avg(mean_concurrent) {week}, 0) AS kpi_roll_7_mean,
+                             coalesce(max(mean_concurrent) {week}, 0) AS kpi_roll_7_max,
+                             isodow(date) - 1 AS dayofweek,
+                             CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+                             lead(mean_concurrent) {over} AS target_y_abs
+                      FROM kpis LEFT JOIN review_days USING (app_id, date)""",
+        "matrix": """SELECT *, sin(2 * pi() * dayofweek / 7.0) AS dow_sin, cos(2 * pi() * dayofweek / 7.0) AS dow_cos,
+                            kpi_lag_7 * is_weekend AS lag7_weekend_interaction,
+                            kpi_lag_7 / (kpi_roll_7_mean + 0.00001::DOUBLE) * is_weekend AS weekend_boost_ratio,
+                            ln(target_y_abs / mean_concurrent) AS target_y
+                     FROM lagged WHERE target_y_abs > 0 AND mean_concurrent > 0""",
+    }

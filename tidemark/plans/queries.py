@@ -334,3 +334,547 @@ def mined_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def mine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every historical window of every app mined in one pass."""
     return rule_output(mined_windows(spark, sf_dir)[0], "app_id", "window_no")
+
+
+# --- Runs and reports -----------------------------------------------------------------------
+
+
+def window_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The window mining as rows of ``association_rules`` and ``mining_runs``."""
+    mined, windows = mined_windows(spark, sf_dir)
+    run = F.format_string("run_%d_%02d", "app_id", "window_no").alias("run_id")
+    rules = M.cut_lineage(
+        mined.select("app_id", run, F.sha2(F.concat_ws("|", "window_no", "antecedents", "consequents"), 256)
+                     .alias("rule_id"), "antecedents", "consequents", *RULE_METRICS)
+    )
+    runs = windows.select(
+        "app_id", run, F.timestamp_seconds("window_end").alias("timestamp"), "total_reviews",
+        F.lit(WINDOW_SUPPORT).alias("min_support"), F.lit(CONFIDENCE).alias("min_confidence"),
+        F.lit(LIFT).alias("min_lift"),
+    )
+    return rules, runs
+
+
+@register("rules_for_report", O.with_ctes(
+    {**WINDOW_MINED, **O.phrase_ctes(),
+     "run_rules": "SELECT grp // 100 AS app_id, grp % 100 AS window_no, * FROM pruned",
+     "newest": "SELECT app_id, min(window_no) AS window_no FROM windows GROUP BY app_id",
+     "top": """SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY lift DESC, confidence DESC, support DESC,
+                   array_to_string(ant, ' AND '), array_to_string(cons, ' AND ')) AS rank
+               FROM run_rules JOIN newest USING (app_id, window_no) QUALIFY rank <= 15"""},
+    f"""SELECT app_id, rank, 'When reviewers ' || {O.side_sql('top.ant')} || ', they also '
+               || {O.side_sql('top.cons')} || '.' AS text,
+               CASE WHEN lift >= 1.5 THEN 'critical' WHEN lift >= 1.2 THEN 'warning'
+                    WHEN lift >= 1 THEN 'positive' ELSE 'neutral' END AS category,
+               array_to_string(ant, ' AND ') AS antecedents, array_to_string(cons, ' AND ') AS consequents
+        FROM top""", True))
+def rules_for_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report(*window_runs(spark, sf_dir))
+
+
+@register("run_overview", O.with_ctes(
+    {**WINDOW_MINED,
+     "counted": "SELECT grp // 100 AS app_id, grp % 100 AS window_no, count(*) AS total_rules FROM pruned GROUP BY grp",
+     "overview": f"""SELECT w.app_id, printf('run_%d_%02d', w.app_id, w.window_no) AS run_id,
+                            make_timestamp(window_end * 1000000) AS timestamp, total_reviews,
+                            coalesce(total_rules, 0) AS total_rules, w.window_no
+                     FROM windows w LEFT JOIN counted c ON c.app_id = w.app_id AND c.window_no = w.window_no"""},
+    f"""SELECT app_id, run_id, timestamp, total_reviews, total_rules,
+               run_id = first_value(run_id) OVER (PARTITION BY app_id ORDER BY timestamp DESC) AS is_latest,
+               max(timestamp) OVER (PARTITION BY app_id) < make_timestamp({I.AS_OF + 3600}::BIGINT * 1000000)
+                   - INTERVAL 24 HOUR AS is_stale
+        FROM overview""", True))
+def run_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All runs with their rule counts, the latest run marked, and whether the app is due again."""
+    rules, runs = window_runs(spark, sf_dir)
+    runs = M.cut_lineage(runs)
+    apps = S.known_apps(I.reviews(spark, sf_dir), I.kpis(spark, sf_dir))
+    stale = S.stale_apps(apps, runs, F.timestamp_seconds(F.lit(I.AS_OF + 3600)))
+    overview = S.run_overview(runs, rules)
+    latest = S.latest_run(runs).select("app_id", F.col("run_id").alias("latest"))
+    return (
+        overview.join(latest, "app_id")
+        .join(stale.select("app_id", F.lit(True).alias("due")), "app_id", "left")
+        .select(
+            "app_id", "run_id", "timestamp", "total_reviews", "total_rules",
+            (F.col("run_id") == F.col("latest")).alias("is_latest"),
+            F.coalesce("due", F.lit(False)).alias("is_stale"),
+        )
+    )
+
+
+@register("app_status", O.with_ctes(
+    {**O.basket_ctes(), **O.window_ctes(LOOKBACK_MIN_REVIEWS // 4),
+     "apps": "SELECT DISTINCT app_id FROM reviews UNION SELECT DISTINCT app_id FROM kpis"},
+    """SELECT app_id, make_timestamp(max(window_end) * 1000000) AS last_updated, count(window_end) = 0 AS needs_init
+       FROM apps LEFT JOIN windows USING (app_id) GROUP BY app_id"""))
+def app_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last run per known app, and the apps that never ran; here a run is a window with enough reviews."""
+    reviews = I.reviews(spark, sf_dir)
+    windows = R.windows_with_enough(R.in_sliding_windows(reviews, I.AS_OF), LOOKBACK_MIN_REVIEWS // 4)
+    runs = windows.select("app_id", F.timestamp_seconds("window_end").alias("timestamp"))
+    apps = S.known_apps(reviews, I.kpis(spark, sf_dir))
+    fresh = S.needing_initialisation(apps, runs).select("app_id", F.lit(True).alias("fresh"))
+    return S.last_update(apps, runs).join(fresh, "app_id", "left").select(
+        "app_id", "last_updated", F.coalesce("fresh", F.lit(False)).alias("needs_init")
+    )
+
+
+RULE = ("lang_english AND contains_unknown_tag", "playtime_mid_core AND kpi_retention_growth AND hw_os_Windows_11")
+
+
+@register("reviews_matching_rule", O.with_ctes(
+    O.basket_ctes(), """SELECT app_id, recommendationid, timestamp_updated FROM tagged
+        WHERE list_has_all(items, ['lang_english', 'playtime_mid_core', 'kpi_retention_growth', 'hw_os_Windows_11'])"""))
+def reviews_matching_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One rule's reviews by pushed-down predicates; its unknown tag is skipped."""
+    matching = R.matching_rule(I.reviews(spark, sf_dir), I.kpis(spark, sf_dir), *RULE)
+    return matching.select("app_id", "recommendationid", "timestamp_updated")
+
+
+@register("reviews_matching_rules", O.with_ctes(
+    {**MINED, "every": "SELECT grp, ant, cons, list_concat(ant, cons) AS wanted FROM pruned"},
+    """SELECT grp AS app_id, array_to_string(ant, ' AND ') AS antecedents, array_to_string(cons, ' AND ') AS consequents,
+              count(*) AS matching
+       FROM every JOIN tagged ON app_id = grp AND list_has_all(items, wanted) GROUP BY ALL""", True))
+def reviews_matching_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All mined rules against all reviews, spam included, as on the review page."""
+    rules = M.cut_lineage(
+        M.mine(clean_review_baskets(spark, sf_dir), APP, SUPPORT, CONFIDENCE, LIFT)
+        .select("app_id", "antecedents", "consequents")
+        .withColumn("rule_id", F.sha2(F.concat_ws("|", "antecedents", "consequents"), 256))
+    )
+    baskets = R.review_baskets(I.reviews(spark, sf_dir), I.kpis(spark, sf_dir))
+    counts = R.matching_rules(rules, baskets).groupBy("app_id", "rule_id").agg(F.count("*").alias("matching"))
+    return rules.join(counts, ["app_id", "rule_id"]).drop("rule_id")
+
+
+CARD_FLAGS = {
+    "voted_up": "voted_up", "steam_purchase": "steam_purchase", "received_for_free": "received_for_free",
+    "primarily_steam_deck": "steam_deck", "isUseful": "is_useful", "containsPositiveAspects": "has_positive",
+    "containsNegativeAspects": "has_negative", "actuallyRecommendsTitle": "recommends",
+    "containsBugDescription": "reports_bugs",
+}
+
+
+@register("reviews_page", O.with_ctes({**O.review_ctes(), "d_language": O.phrase_ctes()["d_language"]}, f"""
+    SELECT app_id, recommendationid AS id, coalesce(review, '') AS text, l.phrase AS language,
+           round_even(weighted_vote_score, 2) AS score,
+           round_even(playtime_at_review::DECIMAL(18, 6) / 60, 1)::DOUBLE AS playtime_hours,
+           {', '.join(f'coalesce({c}, FALSE) AS {name}' for c, name in CARD_FLAGS.items())},
+           'Published ' || strftime(epoch_ms(timestamp_updated::BIGINT * 1000), '%-d %b') AS date_str,
+           {' OR '.join(f'{p} IS NOT NULL' for p in PILLARS)} AS has_pillars,
+           row_number() OVER newest AS position, count(*) OVER (PARTITION BY app_id) AS total
+    FROM reviews JOIN d_language l ON l.key = language
+    WINDOW newest AS (PARTITION BY app_id ORDER BY timestamp_updated DESC, recommendationid DESC)
+    QUALIFY position BETWEEN 26 AND 50"""))
+def reviews_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of every app's reviews, with whole texts."""
+    return R.page_of_each_app(I.reviews(spark, sf_dir), page=2).drop("timestamp_updated", *PILLARS)
+
+
+@register("rule_text_split", """
+    SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'lang_' || lang || '|src_' || source
+                                   WHEN 1 THEN 'lang_' || lang || '|src_' || source
+                                   WHEN 2 THEN source || '|' || lang ELSE '' END AS items,
+           CASE doc_id % 4 WHEN 3 THEN 0 ELSE 2 END AS n_items
+    FROM documents""")
+def rule_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored form, the older set form, quoted comma lists, and blanks."""
+    text = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" lang_"), "lang", F.lit(" AND  src_"), "source"))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit("frozenset({'lang_"), "lang", F.lit("', \"src_"), "source", F.lit("\"})")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("'"), "source", F.lit("', "), "lang", F.lit(",")))
+        .otherwise(F.lit("  "))
+    )
+    items = split_items(text)
+    return I.table(spark, sf_dir, "documents").select(
+        "doc_id", F.array_join(items, "|").alias("items"), F.size(items).alias("n_items")
+    )
+
+
+# --- Features -------------------------------------------------------------------------------
+
+
+@register("review_daily_features", O.with_ctes(
+    {**O.review_ctes(), **O.feature_ctes()}, f"SELECT app_id, date, {O.rounded(O.REVIEW_FEATURES)} FROM review_days"))
+def review_daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.matrix import daily_review_features
+
+    return daily_review_features(I.reviews(spark, sf_dir)).select("app_id", "date", *rounded(O.REVIEW_FEATURES))
+
+
+@register("daily_matrix", O.with_ctes(
+    {**WINDOW_MINED, **O.matrix_ctes(),
+     "lifts": """SELECT grp // 100 AS app_id, CAST(make_timestamp(window_end * 1000000) AS DATE) AS date,
+                        'rule_lift_' || array_to_string(ant, ' AND ') || '_->' || array_to_string(cons, ' AND ') AS feature,
+                        max(lift) AS lift
+                 FROM pruned JOIN windows ON app_id = grp // 100 AND window_no = grp % 100 GROUP BY ALL""",
+     "lift_days": """SELECT app_id, date, count(*) AS n_rules, sum(lift) AS lift_sum,
+                            string_agg(feature, '|' ORDER BY feature) AS rules FROM lifts GROUP BY app_id, date"""},
+    f"""SELECT app_id, date, {O.rounded(O.MATRIX_COLUMNS)}, coalesce(n_rules, 0) AS n_rules,
+               coalesce(round(lift_sum, 6), 0) AS lift_sum, coalesce(rules, '') AS rules
+        FROM matrix LEFT JOIN lift_days USING (app_id, date)""", True))
+def daily_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.matrix import daily_matrix as build
+
+    rules, runs = window_runs(spark, sf_dir)
+    matrix = build(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir), rules, runs)
+    return matrix.select(
+        "app_id", "date", *rounded(O.MATRIX_COLUMNS),
+        F.size("rule_lifts").alias("n_rules"),
+        F.round(F.aggregate(F.map_values("rule_lifts"), F.lit(0.0), lambda a, v: a + v), 6).alias("lift_sum"),
+        F.array_join(F.array_sort(F.map_keys("rule_lifts")), "|").alias("rules"),
+    )
+
+
+def matrix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.matrix import daily_matrix as build
+
+    return build(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir))
+
+
+@register("weekend_weights", O.with_ctes(
+    {**O.review_ctes(), **O.kpi_ctes(), **O.matrix_ctes(),
+     "means": """SELECT app_id, avg(mean_concurrent) AS app_level,
+                        avg(mean_concurrent) FILTER (is_weekend = 1) AS weekend_mean,
+                        avg(mean_concurrent) FILTER (is_weekend = 0) AS weekday_mean,
+                        avg(positive_ratio) AS base_positive_ratio FROM matrix GROUP BY app_id""",
+     "boosts": "SELECT *, greatest(0, weekend_mean / (weekday_mean + 0.00001::DOUBLE) - 1) AS natural_boost FROM means"},
+    f"""SELECT app_id, {O.rounded(['app_level', 'weekend_mean', 'weekday_mean', 'natural_boost', 'base_positive_ratio'])},
+               round((SELECT sum(CASE WHEN is_weekend = 1 THEN 1 + 2 * natural_boost ELSE 1 END)
+                      FROM matrix m WHERE m.app_id = boosts.app_id), 4) AS total_weight
+        FROM boosts"""))
+def weekend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.boosting import app_statistics, weekend_weight
+    from tidemark.operators.forecast import baselines
+
+    matrix = matrix_of(spark, sf_dir)
+    stats = app_statistics(matrix)
+    weights = matrix.join(stats, "app_id").groupBy("app_id").agg(
+        F.round(F.sum(weekend_weight(2.0)), 4).alias("total_weight")
+    )
+    return stats.join(weights, "app_id").join(baselines(matrix), "app_id").select(
+        "app_id", *rounded(["app_level", "weekend_mean", "weekday_mean", "natural_boost", "base_positive_ratio"]),
+        "total_weight",
+    )
+
+
+# --- Tuning ---------------------------------------------------------------------------------
+
+SIZES_SQL = {
+    **O.review_ctes(), **O.kpi_ctes(), **O.matrix_ctes(),
+    "sizes": "SELECT app_id, count(*)::INT AS n_samples FROM matrix GROUP BY app_id",
+}
+TIERS_SQL = {
+    **SIZES_SQL,
+    "tiers": """SELECT app_id, n_samples, CASE WHEN n_samples < 140 THEN n_samples ELSE 140 END AS tier_size FROM sizes
+                UNION ALL
+                SELECT app_id, n_samples,
+                       CASE WHEN tier_size * 1.6::DOUBLE < least(n_samples, 5000)
+                            THEN floor(tier_size * 1.6::DOUBLE)::INT ELSE n_samples END
+                FROM tiers WHERE tier_size < n_samples""",
+}
+
+
+def sizes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.tuning import app_sizes
+
+    return app_sizes(matrix_of(spark, sf_dir))
+
+
+@register("size_tiers_folds", O.with_ctes(
+    {**TIERS_SQL,
+     "sized": "SELECT *, greatest(7, tier_size // 14) AS test_size FROM tiers",
+     "planned": """SELECT *, greatest(3, least(6, greatest(1, (tier_size - greatest(40, tier_size // 3)) // test_size))) AS n_folds,
+                          50 + greatest(0, (least(greatest(tier_size // 2, 100), 250) - 50) // 25) * 25 AS max_trees
+                   FROM sized""",
+     "ends": """SELECT *, tier_size - i * test_size AS test_end, tier_size - (i + 1) * test_size AS train_end
+                FROM planned JOIN (SELECT unnest(range(0, 6)) AS i) ON i < n_folds"""},
+    """SELECT app_id, n_samples, tier_size, test_size, n_folds, max_trees, train_end, test_end,
+              row_number() OVER (PARTITION BY app_id, tier_size ORDER BY test_end) - 1 AS fold
+       FROM ends WHERE train_end >= 40""", True))
+def size_tiers_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import tuning as T
+
+    return T.walk_forward_folds(T.with_fold_params(T.size_tiers(sizes_of(spark, sf_dir))))
+
+
+# Tuning records: every tier of every app, tuned some weeks before the end of the history.
+RECORDS_SQL = {
+    **TIERS_SQL,
+    "records": f"""SELECT app_id, tier_size, n_samples,
+                          make_timestamp(({I.AS_OF}::BIGINT - (app_id * 25 + tier_size % 20) * {DAY}) * 1000000) AS timestamp,
+                          '{{"max_depth":' || (3 + tier_size % 4)::VARCHAR || '}}' AS params FROM tiers""",
+}
+
+
+def tuning_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators.tuning import size_tiers
+
+    age = (F.col("app_id") * 25 + F.col("tier_size") % 20) * DAY
+    return size_tiers(sizes_of(spark, sf_dir)).select(
+        "app_id", "tier_size", "n_samples",
+        F.timestamp_seconds(F.lit(I.AS_OF) - age).alias("timestamp"),
+        F.format_string('{"max_depth":%d}', F.lit(3) + F.col("tier_size") % 4).alias("params"),
+    )
+
+
+@register("params_for_size", O.with_ctes(
+    {**RECORDS_SQL, "asked": "SELECT app_id, n_samples // (app_id * app_id * 4) AS asked FROM sizes"},
+    """SELECT app_id, tier_size, params, latest_tier FROM (
+           SELECT a.app_id, r.tier_size, r.params,
+                  row_number() OVER (PARTITION BY a.app_id ORDER BY (r.tier_size <= asked) DESC,
+                                     CASE WHEN r.tier_size <= asked THEN -r.tier_size ELSE r.tier_size END) AS rn,
+                  first_value(r.tier_size) OVER (PARTITION BY a.app_id ORDER BY timestamp DESC, r.tier_size DESC) AS latest_tier
+           FROM asked a JOIN records r USING (app_id)) WHERE rn = 1""", True))
+def params_for_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = tuning_records(spark, sf_dir)
+    asked = sizes_of(spark, sf_dir).select(
+        "app_id", F.floor(F.col("n_samples") / (F.col("app_id") * F.col("app_id") * 4)).alias("n_samples")
+    )
+    latest = S.latest_tuning(records).select("app_id", F.col("tier_size").alias("latest_tier"))
+    return S.params_for_size(records.drop("n_samples"), asked).join(latest, "app_id")
+
+
+@register("retune_decision", O.with_ctes(
+    {**RECORDS_SQL,
+     "known": """SELECT app_id, max(tier_size) AS max_tier, max(timestamp) AS latest FROM records
+                 WHERE app_id <> 1 AND (app_id <> 2 OR tier_size < n_samples / 2) GROUP BY app_id"""},
+    f"""SELECT s.app_id, n_samples,
+               max_tier IS NULL OR n_samples > max_tier * 1.5 OR date_diff('second', latest, make_timestamp({I.AS_OF}::BIGINT * 1000000)) // {DAY} > 90 AS retune,
+               CASE WHEN max_tier IS NULL THEN 'No previous tuning found for this App ID.'
+                    WHEN n_samples > max_tier * 1.5 THEN printf(
+                        'Current dataset (%d rows) exceeds the max tuned tier (%d rows) by more than 1.5x.', n_samples, max_tier)
+                    WHEN date_diff('second', latest, make_timestamp({I.AS_OF}::BIGINT * 1000000)) // {DAY} > 90 THEN printf(
+                        'Last tuning was %d days ago (threshold: 90).', date_diff('second', latest, make_timestamp({I.AS_OF}::BIGINT * 1000000)) // {DAY})
+                    ELSE 'Current parameters are still valid, no tuning needed.' END AS reason
+        FROM sizes s LEFT JOIN known USING (app_id)""", True))
+def retune_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """App 1 was never tuned, app 2 only on small tiers, the last apps long ago."""
+    from tidemark.operators.tuning import retune_decision as decide
+
+    records = tuning_records(spark, sf_dir).filter(
+        (F.col("app_id") != 1) & ((F.col("app_id") != 2) | (F.col("tier_size") < F.col("n_samples") / 2))
+    )
+    return decide(sizes_of(spark, sf_dir), records, F.timestamp_seconds(F.lit(I.AS_OF)))
+
+
+@register("param_json", """
+    SELECT doc_id, 3 + n_chars % 4 AS max_depth,
+           CASE WHEN doc_id % 2 = 0 THEN (n_chars % 100) / 100.0::DOUBLE ELSE 0.95 END AS decay_rate,
+           CASE WHEN doc_id % 4 = 0 THEN (n_chars % 7)::DOUBLE ELSE 1.0::DOUBLE END AS peak_weight_alpha,
+           1 AS n_tree_params
+    FROM documents""")
+def param_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested texts with and without the weekend weight, and older flat ones with an objective."""
+    from tidemark.functions.params import normalised
+
+    depth = (F.lit(3) + F.col("n_chars") % 4).alias("max_depth")
+    nested = F.struct(
+        F.struct(depth).alias("xgb_params"),
+        F.struct(((F.col("n_chars") % 100) / 100.0).alias("decay_rate")).alias("decay_params"),
+        F.when(F.col("doc_id") % 4 == 0, F.col("n_chars") % 7).alias("peak_weight_alpha"),
+    )
+    flat = F.struct(depth, F.lit("custom").alias("objective"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(nested)).otherwise(F.to_json(flat))
+    parsed = I.table(spark, sf_dir, "documents").select("doc_id", normalised(text).alias("p"))
+    return parsed.select(
+        "doc_id",
+        F.col("p.xgb_params")["max_depth"].cast("int").alias("max_depth"),
+        F.col("p.decay_params")["decay_rate"].alias("decay_rate"),
+        F.col("p.peak_weight_alpha").alias("peak_weight_alpha"),
+        F.size("p.xgb_params").alias("n_tree_params"),
+    )
+
+
+# --- Forecasts ------------------------------------------------------------------------------
+
+WINDOW_START = "1999-06-01"
+
+
+@register("forecast_window", O.with_ctes(
+    O.kpi_ctes(), f"""
+    SELECT app_id, strftime(date, '%Y-%m-%d') AS day, mean_concurrent AS predicted_mean FROM kpis
+    WHERE date >= DATE '{WINDOW_START}' AND day(date) <> 13 AND day(date) <> 17
+    QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY date) <= 45"""))
+def forecast_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chart file with unreadable days and levels, read back and cut to 45 days from a date."""
+    from tidemark.operators.forecast import visible_days
+    from tidemark.sources.exports import forecast_rows, normalise_forecast
+
+    chart = I.kpis(spark, sf_dir).select(
+        "app_id",
+        F.when(F.dayofmonth("date") == 13, F.lit("soon")).otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
+        .alias(" Timestamp "),
+        F.when(F.dayofmonth("date") == 17, F.lit("n/a")).otherwise(F.col("mean_concurrent").cast("string")).alias("KPI"),
+    )
+    read = normalise_forecast(chart).select(
+        "app_id", F.to_date("day").alias("date"), F.col("predicted_mean").alias("predicted_mean_concurrent")
+    )
+    return forecast_rows(visible_days(read, F.to_date(F.lit(WINDOW_START)), 45))
+
+
+@register("forecast_metrics", O.with_ctes(
+    {**O.review_ctes(), **O.kpi_ctes(), **O.matrix_ctes(),
+     "placed": """SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY date) AS position,
+                         count(*) OVER (PARTITION BY app_id) AS n FROM matrix""",
+     "anchor": "SELECT app_id, mean_concurrent AS last_level FROM placed WHERE position = floor(n * 0.7::DOUBLE)",
+     "scored": """SELECT app_id, is_weekend, target_y_abs AS a, mean_concurrent AS one, last_level AS multi
+                  FROM placed JOIN anchor USING (app_id) WHERE position > floor(n * 0.7::DOUBLE)""",
+     "tuned": """SELECT app_id, avg(abs(a - one)) AS mae_1step, sqrt(avg((a - one) ** 2)) AS rmse_1step,
+                        avg(abs(a - one) / a) * 100 AS mape_1step_pct, avg(abs(a - multi)) AS mae_multistep,
+                        sqrt(avg((a - multi) ** 2)) AS rmse_multistep, avg(abs(a - multi) / a) * 100 AS mape_multistep_pct,
+                        avg(abs(a - multi) / a) FILTER (is_weekend = 0) * 100 AS mape_multistep_weekday_pct,
+                        avg(abs(a - multi) / a) FILTER (is_weekend = 1) * 100 AS mape_multistep_weekend_pct,
+                        avg(greatest(0, (a - multi) / (a + 0.00001::DOUBLE))) * 100 AS underestimation_pct,
+                        avg(greatest(0, (a - multi) / (a + 0.00001::DOUBLE))) FILTER (is_weekend = 1) * 100
+                            AS underestimation_weekend_pct
+                 FROM scored GROUP BY app_id""",
+     "base": """SELECT app_id, avg(abs(a)) AS mae_1step, sqrt(avg(a ** 2)) AS rmse_1step, 100.0::DOUBLE AS mape_1step_pct,
+                       avg(abs(a)) AS mae_multistep, sqrt(avg(a ** 2)) AS rmse_multistep, 100.0::DOUBLE AS mape_multistep_pct,
+                       100.0::DOUBLE AS mape_multistep_weekday_pct, 100.0::DOUBLE AS mape_multistep_weekend_pct,
+                       avg(a / (a + 0.00001::DOUBLE)) * 100 AS underestimation_pct,
+                       avg(a / (a + 0.00001::DOUBLE)) FILTER (is_weekend = 1) * 100 AS underestimation_weekend_pct
+                FROM scored GROUP BY app_id""",
+     "long_tuned": "UNPIVOT tuned ON COLUMNS(* EXCLUDE (app_id)) INTO NAME metric VALUE tuned",
+     "long_base": "UNPIVOT base ON COLUMNS(* EXCLUDE (app_id)) INTO NAME metric VALUE baseline"},
+    """SELECT app_id, metric, round(baseline, 4) AS baseline, round(tuned, 4) AS tuned,
+              round(baseline - tuned, 4) AS delta, round((baseline - tuned) / baseline * 100, 4) AS pct_improvement
+       FROM long_base JOIN long_tuned USING (app_id, metric)"""))
+def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of the last-value forecast on the newest 30 %, against those of forecasting zero."""
+    from tidemark.operators import forecast as FC
+
+    placed = FC.numbered(matrix_of(spark, sf_dir)).withColumn("cut", F.floor(F.col("n_rows") * F.lit(0.7)))
+    anchor = placed.filter(F.col("position") == F.col("cut")).select(
+        "app_id", F.col("mean_concurrent").alias("pred_multistep")
+    )
+    rows = placed.filter(F.col("position") > F.col("cut")).join(anchor, "app_id").select(
+        "app_id", "is_weekend", F.col("target_y_abs").alias("actual_kpi"),
+        F.col("mean_concurrent").alias("pred_1step"), "pred_multistep",
+    )
+    zero = rows.withColumns({"pred_1step": F.lit(0.0), "pred_multistep": F.lit(0.0)})
+    deltas = FC.metric_deltas(FC.forecast_metrics(zero), FC.forecast_metrics(rows))
+    return deltas.select("app_id", "metric", *rounded(["baseline", "tuned", "delta", "pct_improvement"], 4))
+
+
+def recent_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix over the newest 140 days of every app, the history the KPI update keeps."""
+    from tidemark.operators.matrix import daily_matrix as build
+
+    return build(I.recent_kpis(spark, sf_dir), I.reviews(spark, sf_dir))
+
+
+def quick_params():
+    from tidemark.operators.boosting import BoostParams
+
+    return BoostParams(n_estimators=6, max_depth=3, learning_rate=0.3)
+
+
+@register("forecast_model")
+def forecast_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted log-ratios of the pooled model on its training rows."""
+    from tidemark.operators.boosting import fit
+
+    matrix = M.cut_lineage(recent_matrix(spark, sf_dir))
+    model = fit(matrix, quick_params())
+    return model.predict_matrix(matrix).select("app_id", "date", "target_y", "prediction")
+
+
+@register("forecast_days")
+def forecast_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import forecast as FC
+    from tidemark.operators.boosting import fit
+
+    matrix = M.cut_lineage(recent_matrix(spark, sf_dir))
+    return FC.forecast_days(fit(matrix, quick_params()), matrix, days=14)
+
+
+@register("forecast_benchmark")
+def forecast_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.operators import forecast as FC
+
+    return FC.benchmark(recent_matrix(spark, sf_dir), quick_params(), eval_days=14)[0]
+
+
+@register("tune")
+def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates over the walk-forward folds of the newest 100 rows."""
+    from dataclasses import replace
+
+    from tidemark.operators.tuning import tune_tier
+
+    slow = replace(quick_params(), n_estimators=2, learning_rate=0.05)
+    return tune_tier(recent_matrix(spark, sf_dir), 100, [slow, replace(slow, learning_rate=0.5)])
+
+
+# --- Streams --------------------------------------------------------------------------------
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    schema = I.table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def run_stream(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    from tidemark.session import scratch_path
+    from tidemark.streaming.ingest import write_available
+
+    folder = scratch_path(spark, name)
+    write_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+STREAM_OBSERVATIONS = (
+    f"SELECT {I.EVENT_APP} AS app_id, CAST(floor(value * 100) AS INT) AS players, CAST(ts AS DATE) AS date FROM events"
+)
+
+
+@register("stream_daily_kpis", O.with_ctes(
+    O.kpi_ctes(STREAM_OBSERVATIONS),
+    f"SELECT {O.KPI_OUTPUT} FROM kpis WHERE date < (SELECT max(CAST(ts AS DATE)) FROM events)"))
+def stream_daily_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days from a stream of observations; the last day is still open and not emitted."""
+    from tidemark.streaming.ingest import closed_days
+
+    observations = stream_of(spark, sf_dir, "events").select(
+        F.expr(I.EVENT_APP).cast("long").alias("app_id"),
+        F.floor(F.col("value") * 100).cast("int").alias("players"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    return kpi_output(K.with_trend(run_stream(spark, closed_days(observations), "kpis")))
+
+
+@register("stream_reviews", O.with_ctes(
+    O.review_ctes(), "SELECT app_id, recommendationid, language, timestamp_updated FROM reviews"))
+def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every review arrives twice and is kept once."""
+    from tidemark.streaming.ingest import without_repeats
+
+    names = ["app_id", "recommendationid", "language", "timestamp_updated"]
+    columns = [f"{I.REVIEW_COLUMNS[n]} AS {n}" for n in names]
+    arriving = stream_of(spark, sf_dir, "documents").selectExpr(*columns)
+    again = stream_of(spark, sf_dir, "documents").selectExpr(*columns)
+    stored = run_stream(spark, without_repeats(arriving.union(again)), "reviews")
+    return stored.select(*names)
+
+
+@register("stream_window_counts", O.with_ctes(
+    {**O.review_ctes(),
+     "placed": f"""SELECT app_id, timestamp_updated::BIGINT AS t,
+                          (timestamp_updated::BIGINT // {7 * DAY} - i) * {7 * DAY} AS window_start
+                   FROM reviews, (SELECT unnest(range(0, 2)) AS i)"""},
+    f"""SELECT app_id, make_timestamp(window_start * 1000000) AS window_start,
+               make_timestamp((window_start + {14 * DAY}) * 1000000) AS window_end, count(*) AS n
+        FROM placed WHERE window_start + {14 * DAY} <= (SELECT max(t) - 3600 FROM placed)
+        GROUP BY app_id, window_start"""))
+def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews per 14-day window every 7 days, closed windows only."""
+    from tidemark.streaming.ingest import sliding_counts
+
+    arriving = stream_of(spark, sf_dir, "documents").selectExpr(
+        f"{I.REVIEW_COLUMNS['app_id']} AS app_id",
+        f"timestamp_seconds({I.REVIEW_COLUMNS['timestamp_updated']}) AS event_time",
+    )
+    return run_stream(spark, sliding_counts(arriving, "event_time", "1 hour"), "windows")
