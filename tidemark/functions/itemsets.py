@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def itemset_text(items: Column) -> Column:
-    return F.array_join(F.array_sort(items), " AND ")
+    return F.array_join(F.sort_array(items), " AND ")
 
 
 def split_items(text: Column) -> Column:

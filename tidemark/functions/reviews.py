@@ -87,11 +87,12 @@ def playtime_bucket(minutes: Column) -> Column:
 def basket(trend: Column) -> Column:
     """The sorted, distinct tags of one review row; ``trend`` is its day's KPI trend or null."""
     tags = [F.concat(F.lit(f"{p}_"), F.col(p).cast("string")) for p in PILLARS]
-    tags += [F.concat(F.lit(f"{b}_"), F.initcap(F.col(b).cast("string"))) for b in BOOLEANS]
+    tags += [F.when(F.col(b), F.lit(f"{b}_True")).when(~F.col(b), F.lit(f"{b}_False")) for b in BOOLEANS]
     tags.append(playtime_bucket(F.col("playtime_at_review")))
     tags.append(F.when(F.col("language") != "", F.concat(F.lit("lang_"), F.col("language"))))
     for h in BASKET_HARDWARE:
         present = F.col("has_hardware_info") & ~F.col(h).isin(NO_HARDWARE, UNKNOWN)
         tags.append(F.when(present, F.concat(F.lit(f"{h}_"), F.replace(F.col(h), F.lit(" "), F.lit("_")))))
     tags.append(F.when(trend != "", F.concat(F.lit("kpi_"), trend)))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*tags))))
+    # array_except drops the nulls and repeats without leaving generated code.
+    return F.sort_array(F.array_except(F.array(*tags), F.array(F.lit(None).cast("string"))))

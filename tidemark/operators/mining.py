@@ -33,13 +33,14 @@ BLOCK_ROWS = 16384
 
 
 def distinct_baskets(baskets: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Equal baskets merged: ``group, items, weight``. Partial sums run before the shuffle."""
-    return baskets.groupBy(*group, "items").agg(F.count("*").alias("weight"))
+    """Equal baskets merged: ``group, items`` (sorted), ``weight``; summed partially before the shuffle."""
+    ordered = baskets.select(*group, F.sort_array(F.array_distinct("items")).alias("items"))
+    return ordered.groupBy(*group, "items").agg(F.count("*").alias("weight"))
 
 
 def group_sizes(weighted: DataFrame, group: Sequence[str]) -> DataFrame:
-    """``n_baskets`` per group, empty baskets included."""
-    return weighted.groupBy(*group).agg(F.sum("weight").alias("n_baskets"))
+    """``n_baskets`` per group, empty baskets included, and ``n_distinct`` of them."""
+    return weighted.groupBy(*group).agg(F.sum("weight").alias("n_baskets"), F.count("*").alias("n_distinct"))
 
 
 def item_counts(weighted: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -70,21 +71,22 @@ def kept_baskets(
     items = (
         without_universal(item_counts(weighted, group), sizes, group)
         .filter(F.col("item_count") >= min_count(min_support))
-        .groupBy(*group, "n_baskets").agg(F.collect_list("item").alias("__keep"))
+        .groupBy(*group, "n_baskets", "n_distinct").agg(F.collect_list("item").alias("__keep"))
     )
     return (
         attach_by_group(weighted, items, group, ["items"])
-        .withColumn("items", F.array_sort(F.array_intersect("items", "__keep")))
+        .withColumn("items", F.array_intersect("items", "__keep"))
         .filter(F.size("items") > 0)
-        .groupBy(*group, "n_baskets", "items").agg(F.sum("weight").alias("weight"))
+        .groupBy(*group, "n_baskets", "n_distinct", "items").agg(F.sum("weight").alias("weight"))
     )
 
 
 def _as_matrix(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted item names of a block, and per item (row) the baskets (columns) that hold it."""
     lengths = rows.map(len).to_numpy()
-    names, column = np.unique(np.concatenate(rows.to_numpy()), return_inverse=True)
-    holds = np.zeros((len(rows), len(names)))
-    holds[np.repeat(np.arange(len(rows)), lengths), column] = 1.0
+    names, item = np.unique(np.concatenate(rows.to_numpy()), return_inverse=True)
+    holds = np.zeros((len(names), len(rows)), dtype=bool)
+    holds[item, np.repeat(np.arange(len(rows)), lengths)] = True
     return names, holds
 
 
@@ -92,28 +94,31 @@ def _locally_frequent(block: pd.DataFrame) -> Iterator[tuple[list[str], int]]:
     """Every itemset of the block whose weight reaches the block's share of the group's threshold."""
     names, holds = _as_matrix(block["items"])
     weight = block["weight"].to_numpy(dtype=float)
-    needed = block["min_count"].iloc[0] * weight.sum() / block["group_weight"].iloc[0] - 1e-6
-    open_sets = [((), np.arange(len(block)), np.arange(len(names)))]
-    while open_sets:
-        prefix, rows, extensions = open_sets.pop()
-        counts = weight[rows] @ holds[np.ix_(rows, extensions)]
-        extensions, counts = extensions[counts >= needed], counts[counts >= needed]
-        for i, (item, count) in enumerate(zip(extensions, counts)):
-            longer = (*prefix, item)
-            yield [names[j] for j in longer], int(count)
-            if i + 1 < len(extensions):
-                open_sets.append((longer, rows[holds[rows, item] > 0], extensions[i + 1:]))
+    needed = block["min_count"].iloc[0] * weight.sum() / block["n_baskets"].iloc[0] - 1e-6
+
+    def grow(prefix: list[str], weight: np.ndarray, holds: np.ndarray, names: np.ndarray):
+        counts = holds @ weight
+        frequent = np.flatnonzero(counts >= needed)
+        for i, item in enumerate(frequent):
+            longer = [*prefix, names[item]]
+            yield longer, int(counts[item])
+            later = frequent[i + 1:]
+            if later.size:
+                inside = np.flatnonzero(holds[item])
+                yield from grow(longer, weight[inside], holds[later].take(inside, axis=1), names[later])
+
+    yield from grow([], weight, holds.astype(float), names)
 
 
 def _count_in_block(block: pd.DataFrame, named: pd.DataFrame) -> list[int]:
     names, holds = _as_matrix(block["items"])
-    position = {name: i for i, name in enumerate(names)}
-    weight = block["weight"].to_numpy(dtype=float)
+    columns = dict(zip(names, holds))
+    absent = np.zeros(len(block), dtype=bool)
+    weight = block["weight"].to_numpy(dtype=np.int64)
     counts = []
     for items in named["items"]:
-        columns = [position.get(i) for i in items]
-        inside = None not in columns
-        counts.append(int(weight[holds[:, columns].all(axis=1)].sum()) if inside else 0)
+        inside = np.logical_and.reduce([columns.get(i, absent) for i in items])
+        counts.append(int(weight[inside].sum()))
     return counts
 
 
@@ -126,18 +131,25 @@ def frequent_itemsets(
     (sorted), ``support_count`` and ``n_baskets``.
     """
     group = list(group)
-    weighted = distinct_baskets(baskets, group)
+    weighted = cut_lineage(distinct_baskets(baskets, group))
     sizes = group_sizes(weighted, group)
-    kept = kept_baskets(weighted, sizes, group, min_support)
-    shares = kept.groupBy(*group).agg(
-        F.sum("weight").alias("group_weight"),
-        F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("n_blocks"),
-    )
+    # Blocks share the group's threshold by their weight. Empty baskets are in no block, so the
+    # shares sum to no more than the threshold and no frequent itemset is missed.
+    n_blocks = F.ceil(F.col("n_distinct") / F.lit(block_rows))
     blocks = cut_lineage(
-        attach_by_group(kept, shares, group, ["items"])
-        .withColumn("block", F.pmod(F.xxhash64("items"), F.col("n_blocks").cast("long")).cast("int"))
+        kept_baskets(weighted, sizes, group, min_support)
+        .withColumn("n_blocks", n_blocks.cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("items"), n_blocks).cast("int"))
         .withColumn("min_count", min_count(min_support))
+        .drop("n_distinct")
     )
+    extent = blocks.agg(
+        F.count_distinct(*group, "block").alias("blocks"), F.max("n_blocks").alias("largest")
+    ).first()
+    if not extent["blocks"]:
+        return blocks.select(*group, "items", F.col("weight").alias("support_count"), "n_baskets")
+    # The work of a block is far larger than its bytes, so blocks are not packed by size.
+    partitions = min(extent["blocks"], int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fields = {f.name: f.dataType.simpleString() for f in blocks.schema}
     group_ddl = ", ".join(f"`{g}` {fields[g]}" for g in group)
     extra = ["n_blocks", "min_count", "n_baskets"]
@@ -150,16 +162,18 @@ def frequent_itemsets(
         return result[[*group, "items", "block_count", *extra]]
 
     named = cut_lineage(
-        blocks.groupBy(*group, "block").applyInPandas(
+        blocks.repartition(partitions, *group, "block").groupBy(*group, "block").applyInPandas(
             name_itemsets,
             f"{group_ddl}, items array<string>, block_count long, n_blocks int, min_count long, n_baskets long",
         )
     )
     columns = [*group, "items", F.col("block_count").alias("support_count"), "n_baskets"]
-    of_one_block = named.filter(F.col("n_blocks") == 1).select(*columns)
-    of_many = named.filter(F.col("n_blocks") > 1)
-    if of_many.isEmpty():
+    of_one_block = named.filter(
+        (F.col("n_blocks") == 1) & (F.col("block_count") >= F.col("min_count"))
+    ).select(*columns)
+    if extent["largest"] == 1:
         return of_one_block
+    of_many = named.filter(F.col("n_blocks") > 1)
 
     def count_itemsets(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if block.empty or wanted.empty:
@@ -172,8 +186,8 @@ def frequent_itemsets(
         "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     )
     counted = (
-        blocks.filter(F.col("n_blocks") > 1).groupBy(*group, "block")
-        .cogroup(wanted.groupBy(*group, "block"))
+        blocks.filter(F.col("n_blocks") > 1).repartition(partitions, *group, "block").groupBy(*group, "block")
+        .cogroup(wanted.repartition(partitions, *group, "block").groupBy(*group, "block"))
         .applyInPandas(
             count_itemsets, f"{group_ddl}, items array<string>, min_count long, n_baskets long, block_count long"
         )
@@ -249,7 +263,7 @@ def _best_rule(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def without_tautologies(rules: DataFrame) -> DataFrame:
-    return rules.filter(F.array_sort("antecedents") != F.array_sort("consequents"))
+    return rules.filter(F.sort_array("antecedents") != F.sort_array("consequents"))
 
 
 def without_hardware_rules(rules: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``app_id, players, added`` with ``added`` as ISO-8601 text."""
-    added = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("added")
+    added = F.concat(F.col("o_orderdate").cast("date").cast("string"), F.lit("T00:00:00Z")).alias("added")
     orders = table(spark, sf_dir, "orders")
     return orders.select(*[F.expr(e) for e in _aliased(OBSERVATION_COLUMNS)], added)
 
@@ -128,7 +128,7 @@ def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.expr(OBSERVATION_COLUMNS["app_id"]).alias("app_id"),
         "o_orderkey",
-        F.array_sort(
+        F.sort_array(
             F.concat(
                 "types", "flags", "brands",
                 F.array(F.concat(F.lit("status_"), "o_orderstatus"), F.concat(F.lit("segment_"), "c_mktsegment")),

@@ -268,7 +268,7 @@ def clean_review_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighted = M.distinct_baskets(I.order_baskets(spark, sf_dir), APP)
     counts = M.item_counts(weighted, APP)
-    return M.without_universal(counts, M.group_sizes(weighted, APP), APP)
+    return M.without_universal(counts, M.group_sizes(weighted, APP), APP).drop("n_distinct")
 
 
 @register("frequent_itemsets", O.with_ctes(

@@ -23,8 +23,12 @@ def attach_by_group(
 
     ``stats`` holds at most one row per group, so repeating it ``salts`` times is cheap; a hot
     group's rows no longer meet in one task. There is no broadcast hint: the adaptive planner
-    broadcasts ``stats`` by itself when its measured size is under the configured limit.
+    broadcasts ``stats`` by itself when its measured size is under the configured limit. ``salts``
+    is a power of two: masking a hash is never null, so no null check on the salt is added to the
+    plan below an aggregation that other branches share.
     """
-    salted_rows = rows.withColumn(_SALT, F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int"))
-    salted_stats = stats.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted_rows = rows.withColumn(_SALT, F.xxhash64(*spread_on).bitwiseAND(F.lit(salts - 1)))
+    salted_stats = stats.withColumn(
+        _SALT, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    )
     return salted_rows.join(salted_stats, [*keys, _SALT], how).drop(_SALT)
