@@ -15,7 +15,9 @@ its group, so a group holding a third of all rows just becomes more blocks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from itertools import islice
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,7 @@ from tidemark.skew import attach_by_group
 UNIVERSAL_SHARE = 0.95
 MIN_IMPROVEMENT = 0.05
 BLOCK_ROWS = 16384
+OUTPUT_ROWS = 20000
 
 
 def distinct_baskets(baskets: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -152,14 +155,14 @@ def frequent_itemsets(
     partitions = min(extent["blocks"], int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     fields = {f.name: f.dataType.simpleString() for f in blocks.schema}
     group_ddl = ", ".join(f"`{g}` {fields[g]}" for g in group)
-    extra = ["n_blocks", "min_count", "n_baskets"]
 
-    def name_itemsets(block: pd.DataFrame) -> pd.DataFrame:
-        found = list(_locally_frequent(block))
-        result = pd.DataFrame({"items": [i for i, _ in found], "block_count": [c for _, c in found]})
-        for c in [*group, *extra]:
-            result[c] = block[c].iloc[0]
-        return result[[*group, "items", "block_count", *extra]]
+    def name_itemsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = pd.concat(list(batches), ignore_index=True)
+        constant = {c: block[c].iloc[0] for c in [*group, "n_blocks", "min_count", "n_baskets"]}
+        found = _locally_frequent(block)
+        while part := list(islice(found, OUTPUT_ROWS)):
+            result = pd.DataFrame({"items": [i for i, _ in part], "block_count": [c for _, c in part]})
+            yield result.assign(**constant)[[*group, "items", "block_count", "n_blocks", "min_count", "n_baskets"]]
 
     named = cut_lineage(
         blocks.repartition(partitions, *group, "block").groupBy(*group, "block").applyInPandas(
@@ -182,7 +185,7 @@ def frequent_itemsets(
             block_count=_count_in_block(block, wanted)
         )
 
-    wanted = of_many.select(*group, "items", *extra).distinct().withColumn(
+    wanted = of_many.select(*group, "items", "n_blocks", "min_count", "n_baskets").distinct().withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     )
     counted = (

@@ -34,7 +34,9 @@ def without_repeats(reviews: DataFrame, delay: str = REVIEW_DELAY) -> DataFrame:
 def ingest_reviews(reviews: DataFrame, store: TableStore, checkpoint: str) -> StreamingQuery:
     """Each micro-batch goes through insert-or-ignore, so a repeated batch stores nothing twice."""
     def store_batch(batch: DataFrame, _batch_id: int) -> None:
+        batch.persist()  # read twice below; without it the state would be read twice as well
         TableStore(batch.sparkSession, store.root).insert_or_ignore("reviews", batch.drop("event_time"))
+        batch.unpersist()
 
     return (
         without_repeats(reviews).writeStream.foreachBatch(store_batch)
@@ -73,6 +75,7 @@ def ingest_kpis(observations: DataFrame, store: TableStore, checkpoint: str) ->
     day of each of its apps before the trend is computed.
     """
     def store_batch(batch: DataFrame, _batch_id: int) -> None:
+        batch.persist()
         target = TableStore(batch.sparkSession, store.root)
         columns = ["app_id", "date", "mean_concurrent", "median_concurrent", "peak_concurrent", "min_concurrent"]
         stored = target.read("daily_kpis").join(batch.select("app_id").distinct(), "app_id", "left_semi")
@@ -81,6 +84,7 @@ def ingest_kpis(observations: DataFrame, store: TableStore, checkpoint: str) ->
         timed = with_trend(newest.unionByName(fresh))
         new = timed.join(stored.select("app_id", "date"), ["app_id", "date"], "left_anti")
         target.append("daily_kpis", new)
+        batch.unpersist()
 
     return (
         closed_days(observations).writeStream.outputMode("append").foreachBatch(store_batch)
