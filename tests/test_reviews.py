@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.itemsets import split_items
 from tidemark.functions.phrases import severity, tag_phrase, with_sentence
-from tidemark.functions.reviews import gigabytes, playtime_bucket
+from tidemark.functions.reviews import gigabytes, playtime_bucket, round_binary
 from tidemark.operators import reviews as R
 from tidemark.schemas import DAILY_KPIS, REVIEWS
 from tidemark.sources.raw import flatten_reviews, read_review_pages
@@ -222,3 +222,11 @@ def test_sentences(spark):
     ]
     lifts = spark.createDataFrame([(1.5,), (1.49,), (1.2,), (1.0,), (0.9,)], "l double")
     assert [r[0] for r in lifts.select(severity(F.col("l"))).collect()] == ["critical", "warning", "warning", "positive", "neutral"]
+
+
+def test_rounding_equals_python(spark):
+    values = [i / 1000 for i in range(2001)] + [m / 60 for m in range(3000)] + [0.125, 0.375, 2.675, 12345.25, 99999.95]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (1, 2):
+        found = frame.select("v", round_binary(F.col("v"), digits).alias("r")).collect()
+        assert [r["r"] for r in found] == [round(r["v"], digits) for r in found]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,21 @@ def review_columns(r: Column, as_of: Column) -> list[Column]:
     ]
 
 
+def round_binary(x: Column, digits: int) -> Column:
+    """Rounds a non-negative double by its exact binary value, exact ties to even.
+
+    ``bround`` rounds the printed decimal, so it takes 0.05 for a tie although the double lies
+    above it. The fraction is exact in 62 bits, and its scaled value is exact as a decimal.
+    """
+    unit, scale = Decimal(2**62), 10**digits
+    whole = F.floor(x)
+    part = ((x - whole) * F.lit(2.0**62)).cast("long").cast("decimal(38,0)") * F.lit(Decimal(scale))
+    rest = part % F.lit(unit)
+    steps = ((part - rest) / F.lit(unit)).cast("long")
+    up = (rest > F.lit(unit / 2)) | ((rest == F.lit(unit / 2)) & (steps % 2 == 1))
+    return (whole * scale + steps + F.when(up, F.lit(1)).otherwise(F.lit(0))) / F.lit(float(scale))
+
+
 def utc_day(epoch_seconds: Column) -> Column:
     """The day of an epoch second; the session zone is UTC (see ``session.use_utc``)."""
     return F.to_date(F.timestamp_seconds(epoch_seconds))

@@ -24,7 +24,7 @@ ORACLES: dict[str, str] = {}
 
 DAY = 86400
 APP = ["app_id"]
-SUPPORT, CONFIDENCE, LIFT = 0.1, 0.5, 1.2
+SUPPORT, CONFIDENCE, LIFT = 0.2, 0.5, 1.2
 ORDER_SUPPORT = 0.05
 WINDOW_SUPPORT, WINDOW_MIN_REVIEWS = 0.3, 10
 LOOKBACK_MIN_REVIEWS = 60
@@ -459,8 +459,8 @@ CARD_FLAGS = {
 
 @register("reviews_page", O.with_ctes({**O.review_ctes(), "d_language": O.phrase_ctes()["d_language"]}, f"""
     SELECT app_id, recommendationid AS id, coalesce(review, '') AS text, l.phrase AS language,
-           round_even(weighted_vote_score, 2) AS score,
-           round_even(playtime_at_review::DECIMAL(18, 6) / 60, 1)::DOUBLE AS playtime_hours,
+           printf('%.2f', weighted_vote_score)::DOUBLE AS score,
+           printf('%.1f', playtime_at_review / 60.0::DOUBLE)::DOUBLE AS playtime_hours,
            {', '.join(f'coalesce({c}, FALSE) AS {name}' for c, name in CARD_FLAGS.items())},
            'Published ' || strftime(epoch_ms(timestamp_updated::BIGINT * 1000), '%-d %b') AS date_str,
            {' OR '.join(f'{p} IS NOT NULL' for p in PILLARS)} AS has_pillars,
