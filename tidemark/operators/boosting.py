@@ -28,6 +28,7 @@ from tidemark.session import cut_lineage
 CUT_EVERY = 5
 FEATURES = [*LEVEL_FEATURES, "pct_change", *REVIEW_FEATURES, *CALENDAR_FEATURES, "weekend_boost_ratio"]
 LARGE = 1e12
+SEPARATOR = "\x1f"
 
 
 @dataclass(frozen=True)
@@ -78,12 +79,12 @@ def feature_array(rule_names: list[str]) -> Column:
     fixed = [
         (F.col(c) / scale if c in LEVEL_FEATURES else F.col(c).cast("double")) for c in FEATURES
     ]
-    bounded = [F.least(c, F.lit(LARGE)) for c in fixed]
-    rules = F.transform(
-        F.array(*[F.lit(n) for n in rule_names]).cast("array<string>"),
-        lambda n: F.coalesce(F.try_element_at("rule_lifts", n), F.lit(0.0)),
-    )
-    return F.concat(F.array(*bounded), rules) if rule_names else F.array(*bounded)
+    bounded = F.array(*[F.least(c, F.lit(LARGE)) for c in fixed])
+    if not rule_names:
+        return bounded
+    names = F.split(F.lit(SEPARATOR.join(rule_names)), SEPARATOR)
+    rules = F.transform(names, lambda n: F.coalesce(F.try_element_at("rule_lifts", n), F.lit(0.0)))
+    return F.concat(bounded, rules)
 
 
 @dataclass
@@ -131,7 +132,7 @@ def _sampled_features(x: Column, share: float, size: int, rng: random.Random) ->
     kept = set(rng.sample(range(size), max(1, round(share * size))))
     if len(kept) == size:
         return x
-    mask = F.array(*[F.lit(1.0 if i in kept else 0.0) for i in range(size)])
+    mask = F.expr(f"array({', '.join('1D' if i in kept else '0D' for i in range(size))})")
     return F.zip_with(x, mask, lambda value, use: value * use)
 
 

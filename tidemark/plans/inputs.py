@@ -117,23 +117,22 @@ def order_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(
         table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
-    per_order = lines.groupBy("l_orderkey").agg(
-        F.collect_set(F.concat(F.lit("type_"), "p_type")).alias("types"),
-        F.collect_set(F.concat(F.lit("flag_"), "l_returnflag", "l_linestatus")).alias("flags"),
-        F.collect_set(F.concat(F.lit("brand_"), F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("brands"),
+    tags = F.array(
+        F.concat(F.lit("type_"), "p_type"),
+        F.concat(F.lit("flag_"), "l_returnflag", "l_linestatus"),
+        F.concat(F.lit("brand_"), F.replace("p_brand", F.lit("#"), F.lit("_"))),
     )
+    per_order = lines.groupBy("l_orderkey").agg(F.collect_list(tags).alias("line_tags"))
     orders = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
     return per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.expr(OBSERVATION_COLUMNS["app_id"]).alias("app_id"),
         "o_orderkey",
-        F.sort_array(
-            F.concat(
-                "types", "flags", "brands",
-                F.array(F.concat(F.lit("status_"), "o_orderstatus"), F.concat(F.lit("segment_"), "c_mktsegment")),
-            )
-        ).alias("items"),
+        F.sort_array(F.array_distinct(F.concat(
+            F.flatten("line_tags"),
+            F.array(F.concat(F.lit("status_"), "o_orderstatus"), F.concat(F.lit("segment_"), "c_mktsegment")),
+        ))).alias("items"),
     )
 
 

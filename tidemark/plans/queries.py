@@ -266,7 +266,7 @@ def clean_review_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT grp AS app_id, item, item_count, n_baskets FROM item_counts JOIN sizes USING (grp)
        WHERE item_count <= floor(0.95::DOUBLE * n_baskets)""", True))
 def item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = M.distinct_baskets(I.order_baskets(spark, sf_dir), APP)
+    weighted = M.cut_lineage(M.distinct_baskets(I.order_baskets(spark, sf_dir), APP))
     counts = M.item_counts(weighted, APP)
     return M.without_universal(counts, M.group_sizes(weighted, APP), APP).drop("n_distinct")
 
