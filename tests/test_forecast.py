@@ -144,7 +144,7 @@ def test_decay_moves_towards_the_baseline(matrix):
     model = fit(lifted, replace(QUICK, n_estimators=1))
     state = FC.start_state(lifted, model)
     first = state.filter("app_id = 1").first()
-    after = FC._advance(state, model, 1, model.params, 1.0, True).filter("app_id = 1").first()
+    after = FC.recursion(model)(state).filter("app_id = 1").first()
     base = first["base_positive_ratio"]
     assert 0 < base < 1 and after["positive_ratio"] == pytest.approx(0.95 + 0.05 * base)
     rule_base = first["base_rules"]["rule_lift_x"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,37 +55,41 @@ def start_state(matrix: DataFrame, model: CapacityModel) -> DataFrame:
     lifts = F.transform_values("base_rules", lambda k, _v: F.coalesce(F.try_element_at("rule_lifts", k), F.lit(0.0)))
     path = F.array().cast("array<struct<step:int,date:date,predicted_mean_concurrent:double>>")
     doubles = {c: F.col(c).cast("double") for c in FEATURES}
-    return joined.withColumns({**doubles, "rule_lifts": lifts, "path": path})
+    return joined.withColumns({**doubles, "rule_lifts": lifts, "path": path, "step": F.lit(0)})
 
 
 def _decayed(current: Column, base: Column, rate: float) -> Column:
     return current * rate + base * (1.0 - rate)
 
 
-def _advance(state: DataFrame, model: CapacityModel, step: int, params: BoostParams, buffer: float,
-             training_lags: bool) -> DataFrame:
-    ratio = F.greatest(F.least(F.col("prediction"), F.lit(CLIP)), F.lit(-CLIP))
-    moved = model.predict(state).withColumn(
-        "raw", F.greatest(F.col("mean_concurrent") * F.exp(ratio), F.lit(0.0))
-    ).drop("prediction")
+def recursion(
+    model: CapacityModel, safety_buffer: float = 1.0, training_lags: bool = True
+) -> Callable[[DataFrame], DataFrame]:
+    """The step from one day's state to the next; its columns are built once for all steps."""
+    params = model.params
     shift = 1 if training_lags else 0
-    moved = moved.withColumn("previous", F.col("mean_concurrent")).withColumn(
-        "levels", F.slice(F.concat(F.array("raw"), "levels"), 1, HISTORY)
-    )
+    ratio = F.greatest(F.least(F.col("prediction"), F.lit(CLIP)), F.lit(-CLIP))
+    raw = F.greatest(F.col("mean_concurrent") * F.exp(ratio), F.lit(0.0))
+    moved = {
+        "step": F.col("step") + 1,
+        "raw": raw,
+        "levels": F.slice(F.concat(F.array(raw), "levels"), 1, HISTORY),
+    }
 
     def back(days: int) -> Column:
         position = F.least(F.lit(days - 1 + shift), F.size("levels") - 1)
         return F.get("levels", position)
 
     week = F.slice("levels", 1 + shift, 7)
-    day = F.date_add("last_date", step)
-    corrected = F.col("raw") * F.exp(F.lit(step / 2.0) * F.col("residual_var")) * F.lit(buffer)
+    day = F.date_add("last_date", F.col("step"))
+    corrected = F.col("raw") * F.exp(F.col("step") / 2.0 * F.col("residual_var")) * F.lit(safety_buffer)
     entry = F.struct(
-        F.lit(step).alias("step"), day.alias("date"),
+        F.col("step"), day.alias("date"),
         F.greatest(corrected, F.lit(0.0)).alias("predicted_mean_concurrent"),
     )
-    change = F.coalesce((F.col("raw") - F.col("previous")) / F.nullif(F.col("previous"), F.lit(0.0)), F.lit(0.0))
-    moved = moved.withColumns({
+    previous = F.col("mean_concurrent")
+    change = F.coalesce((F.col("raw") - previous) / F.nullif(previous, F.lit(0.0)), F.lit(0.0))
+    features = {
         "path": F.concat("path", F.array(entry)),
         "mean_concurrent": F.col("raw"),
         "kpi_lag_1": back(1),
@@ -99,14 +104,16 @@ def _advance(state: DataFrame, model: CapacityModel, step: int, params: BoostPar
             lambda k, v: _decayed(v, F.try_element_at("base_rules", k), params.rule_decay_rate),
         ),
         **({"kpi_lag_14": back(14)} if training_lags else {}),
-    })
-    moved = moved.withColumn("lag7_weekend_interaction", F.col("kpi_lag_7") * F.col("is_weekend"))
+    }
+    weekend = {"lag7_weekend_interaction": F.col("kpi_lag_7") * F.col("is_weekend")}
     if training_lags:
-        moved = moved.withColumn(
-            "weekend_boost_ratio",
-            F.col("kpi_lag_7") / (F.col("kpi_roll_7_mean") + EPSILON) * F.col("is_weekend"),
-        )
-    return moved.drop("raw", "previous")
+        boost = F.col("kpi_lag_7") / (F.col("kpi_roll_7_mean") + EPSILON)
+        weekend["weekend_boost_ratio"] = boost * F.col("is_weekend")
+
+    def advance(state: DataFrame) -> DataFrame:
+        return model.predict(state).withColumns(moved).withColumns(features).withColumns(weekend).drop("raw", "prediction")
+
+    return advance
 
 
 def forecast_days(
@@ -121,8 +128,9 @@ def forecast_days(
     is the current level itself and the remaining features stay as they were.
     """
     state = cut_lineage(start_state(matrix, model))
+    advance = recursion(model, safety_buffer, training_lags)
     for step in range(1, days + 1):
-        state = _advance(state, model, step, model.params, safety_buffer, training_lags)
+        state = advance(state)
         if step % CUT_EVERY == 0 or step == days:
             state = cut_lineage(state)
     return state.select("app_id", F.explode("path").alias("p")).select(
