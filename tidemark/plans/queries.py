@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import params
 from tidemark.functions.itemsets import split_items
 from tidemark.functions.reviews import review_columns
+from tidemark.operators import boosting as B
+from tidemark.operators import forecast as FC
 from tidemark.operators import kpis as K
+from tidemark.operators import matrix as X
 from tidemark.operators import mining as M
 from tidemark.operators import reviews as R
 from tidemark.operators import status as S
+from tidemark.operators import tuning as T
 from tidemark.plans import inputs as I
 from tidemark.plans import oracles as O
-from tidemark.plans.mining_jobs import historical_baskets, mining_dataset, report
-from tidemark.schemas import BOOLEANS, PILLARS, RAW_REVIEW, RULE_METRICS
+from tidemark.plans.mining_jobs import historical_baskets, report
+from tidemark.schemas import PILLARS, RAW_REVIEW, RULE_METRICS
+from tidemark.session import cut_lineage, scratch_path
+from tidemark.sources import exports, tables
+from tidemark.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,14 +85,12 @@ def daily_kpis_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT app_id, date, {O.rounded(['mean_concurrent'])}, peak_concurrent, trend FROM merged"))
 def kpi_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days 1-20 of each month are stored, days 11-31 arrive revised."""
-    from tidemark.sources.tables import merge_rows
-
     days = I.kpis(spark, sf_dir)
     stored = days.filter(F.dayofmonth("date") <= 20)
     new = days.filter(F.dayofmonth("date") >= 11).withColumns(
         {"mean_concurrent": F.col("mean_concurrent") + 1, "trend": F.lit("revised")}
     )
-    return merge_rows(stored, new, ["app_id", "date"]).select(
+    return tables.merge_rows(stored, new, ["app_id", "date"]).select(
         "app_id", "date", *rounded(["mean_concurrent"]), "peak_concurrent", "trend"
     )
 
@@ -164,15 +171,13 @@ def review_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents""")
 def review_insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after an insert: a third is stored, every key comes twice in the batch."""
-    from tidemark.sources.tables import unseen_rows
-
     documents = I.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("recommendationid"), "doc_id", F.col("n_chars").alias("position")
     )
     stored = documents.filter(F.col("doc_id") % 3 == 0).withColumn("origin", F.lit("stored"))
     first = documents.withColumn("origin", F.lit("batch"))
     again = first.withColumns({"origin": F.lit("repeated"), "position": F.col("position") + 1})
-    new = unseen_rows(first.unionByName(again), stored, ["recommendationid"], "position")
+    new = tables.unseen_rows(first.unionByName(again), stored, ["recommendationid"], "position")
     return stored.unionByName(new).select("recommendationid", "origin", "position")
 
 
@@ -266,7 +271,7 @@ def clean_review_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT grp AS app_id, item, item_count, n_baskets FROM item_counts JOIN sizes USING (grp)
        WHERE item_count <= floor(0.95::DOUBLE * n_baskets)""", True))
 def item_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weighted = M.cut_lineage(M.distinct_baskets(I.order_baskets(spark, sf_dir), APP))
+    weighted = cut_lineage(M.distinct_baskets(I.order_baskets(spark, sf_dir), APP))
     counts = M.item_counts(weighted, APP)
     return M.without_universal(counts, M.group_sizes(weighted, APP), APP).drop("n_distinct")
 
@@ -290,7 +295,7 @@ REVIEW_ITEMSETS = {**O.basket_ctes(), **O.itemset_ctes(O.REVIEW_GROUP, SUPPORT)}
 @register("association_rules", O.with_ctes(
     {**REVIEW_ITEMSETS, **O.rule_ctes(CONFIDENCE, LIFT)}, f"SELECT grp AS app_id, {O.RULE_OUTPUT} FROM rules", True))
 def association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    itemsets = M.cut_lineage(M.frequent_itemsets(clean_review_baskets(spark, sf_dir), APP, SUPPORT))
+    itemsets = cut_lineage(M.frequent_itemsets(clean_review_baskets(spark, sf_dir), APP, SUPPORT))
     return rule_output(M.association_rules(itemsets, APP, CONFIDENCE, LIFT), "app_id")
 
 
@@ -343,7 +348,7 @@ def window_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     """The window mining as rows of ``association_rules`` and ``mining_runs``."""
     mined, windows = mined_windows(spark, sf_dir)
     run = F.format_string("run_%d_%02d", "app_id", "window_no").alias("run_id")
-    rules = M.cut_lineage(
+    rules = cut_lineage(
         mined.select("app_id", run, F.sha2(F.concat_ws("|", "window_no", "antecedents", "consequents"), 256)
                      .alias("rule_id"), "antecedents", "consequents", *RULE_METRICS)
     )
@@ -387,7 +392,7 @@ def rules_for_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs with their rule counts, the latest run marked, and whether the app is due again."""
     rules, runs = window_runs(spark, sf_dir)
-    runs = M.cut_lineage(runs)
+    runs = cut_lineage(runs)
     apps = S.known_apps(I.reviews(spark, sf_dir), I.kpis(spark, sf_dir))
     stale = S.stale_apps(apps, runs, F.timestamp_seconds(F.lit(I.AS_OF + 3600)))
     overview = S.run_overview(runs, rules)
@@ -439,7 +444,7 @@ def reviews_matching_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM every JOIN tagged ON app_id = grp AND list_has_all(items, wanted) GROUP BY ALL""", True))
 def reviews_matching_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All mined rules against all reviews, spam included, as on the review page."""
-    rules = M.cut_lineage(
+    rules = cut_lineage(
         M.mine(clean_review_baskets(spark, sf_dir), APP, SUPPORT, CONFIDENCE, LIFT)
         .select("app_id", "antecedents", "consequents")
         .withColumn("rule_id", F.sha2(F.concat_ws("|", "antecedents", "consequents"), 256))
@@ -499,9 +504,7 @@ def rule_text_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("review_daily_features", O.with_ctes(
     {**O.review_ctes(), **O.feature_ctes()}, f"SELECT app_id, date, {O.rounded(O.REVIEW_FEATURES)} FROM review_days"))
 def review_daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.matrix import daily_review_features
-
-    return daily_review_features(I.reviews(spark, sf_dir)).select("app_id", "date", *rounded(O.REVIEW_FEATURES))
+    return X.daily_review_features(I.reviews(spark, sf_dir)).select("app_id", "date", *rounded(O.REVIEW_FEATURES))
 
 
 @register("daily_matrix", O.with_ctes(
@@ -516,10 +519,8 @@ def review_daily_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                coalesce(round(lift_sum, 6), 0) AS lift_sum, coalesce(rules, '') AS rules
         FROM matrix LEFT JOIN lift_days USING (app_id, date)""", True))
 def daily_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.matrix import daily_matrix as build
-
     rules, runs = window_runs(spark, sf_dir)
-    matrix = build(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir), rules, runs)
+    matrix = X.daily_matrix(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir), rules, runs)
     return matrix.select(
         "app_id", "date", *rounded(O.MATRIX_COLUMNS),
         F.size("rule_lifts").alias("n_rules"),
@@ -529,9 +530,7 @@ def daily_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.matrix import daily_matrix as build
-
-    return build(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir))
+    return X.daily_matrix(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir))
 
 
 @register("weekend_weights", O.with_ctes(
@@ -546,15 +545,12 @@ def matrix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
                       FROM matrix m WHERE m.app_id = boosts.app_id), 4) AS total_weight
         FROM boosts"""))
 def weekend_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.boosting import app_statistics, weekend_weight
-    from tidemark.operators.forecast import baselines
-
     matrix = matrix_of(spark, sf_dir)
-    stats = app_statistics(matrix)
+    stats = B.app_statistics(matrix)
     weights = matrix.join(stats, "app_id").groupBy("app_id").agg(
-        F.round(F.sum(weekend_weight(2.0)), 4).alias("total_weight")
+        F.round(F.sum(B.weekend_weight(2.0)), 4).alias("total_weight")
     )
-    return stats.join(weights, "app_id").join(baselines(matrix), "app_id").select(
+    return stats.join(weights, "app_id").join(FC.baselines(matrix), "app_id").select(
         "app_id", *rounded(["app_level", "weekend_mean", "weekday_mean", "natural_boost", "base_positive_ratio"]),
         "total_weight",
     )
@@ -578,9 +574,7 @@ TIERS_SQL = {
 
 
 def sizes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.tuning import app_sizes
-
-    return app_sizes(matrix_of(spark, sf_dir))
+    return T.app_sizes(matrix_of(spark, sf_dir))
 
 
 @register("size_tiers_folds", O.with_ctes(
@@ -595,8 +589,6 @@ def sizes_of(spark: SparkSession, sf_dir: str) -> DataFrame:
               row_number() OVER (PARTITION BY app_id, tier_size ORDER BY test_end) - 1 AS fold
        FROM ends WHERE train_end >= 40""", True))
 def size_tiers_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators import tuning as T
-
     return T.walk_forward_folds(T.with_fold_params(T.size_tiers(sizes_of(spark, sf_dir))))
 
 
@@ -610,10 +602,8 @@ RECORDS_SQL = {
 
 
 def tuning_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.tuning import size_tiers
-
     age = (F.col("app_id") * 25 + F.col("tier_size") % 20) * DAY
-    return size_tiers(sizes_of(spark, sf_dir)).select(
+    return T.size_tiers(sizes_of(spark, sf_dir)).select(
         "app_id", "tier_size", "n_samples",
         F.timestamp_seconds(F.lit(I.AS_OF) - age).alias("timestamp"),
         F.format_string('{"max_depth":%d}', F.lit(3) + F.col("tier_size") % 4).alias("params"),
@@ -652,12 +642,10 @@ def params_for_size(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM sizes s LEFT JOIN known USING (app_id)""", True))
 def retune_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """App 1 was never tuned, app 2 only on small tiers, the last apps long ago."""
-    from tidemark.operators.tuning import retune_decision as decide
-
     records = tuning_records(spark, sf_dir).filter(
         (F.col("app_id") != 1) & ((F.col("app_id") != 2) | (F.col("tier_size") < F.col("n_samples") / 2))
     )
-    return decide(sizes_of(spark, sf_dir), records, F.timestamp_seconds(F.lit(I.AS_OF)))
+    return T.retune_decision(sizes_of(spark, sf_dir), records, F.timestamp_seconds(F.lit(I.AS_OF)))
 
 
 @register("param_json", """
@@ -668,8 +656,6 @@ def retune_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM documents""")
 def param_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested texts with and without the weekend weight, and older flat ones with an objective."""
-    from tidemark.functions.params import normalised
-
     depth = (F.lit(3) + F.col("n_chars") % 4).alias("max_depth")
     nested = F.struct(
         F.struct(depth).alias("xgb_params"),
@@ -678,7 +664,7 @@ def param_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     flat = F.struct(depth, F.lit("custom").alias("objective"))
     text = F.when(F.col("doc_id") % 2 == 0, F.to_json(nested)).otherwise(F.to_json(flat))
-    parsed = I.table(spark, sf_dir, "documents").select("doc_id", normalised(text).alias("p"))
+    parsed = I.table(spark, sf_dir, "documents").select("doc_id", params.normalised(text).alias("p"))
     return parsed.select(
         "doc_id",
         F.col("p.xgb_params")["max_depth"].cast("int").alias("max_depth"),
@@ -700,19 +686,16 @@ WINDOW_START = "1999-06-01"
     QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY date) <= 45"""))
 def forecast_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chart file with unreadable days and levels, read back and cut to 45 days from a date."""
-    from tidemark.operators.forecast import visible_days
-    from tidemark.sources.exports import forecast_rows, normalise_forecast
-
     chart = I.kpis(spark, sf_dir).select(
         "app_id",
         F.when(F.dayofmonth("date") == 13, F.lit("soon")).otherwise(F.date_format("date", "yyyy-MM-dd HH:mm:ss"))
         .alias(" Timestamp "),
         F.when(F.dayofmonth("date") == 17, F.lit("n/a")).otherwise(F.col("mean_concurrent").cast("string")).alias("KPI"),
     )
-    read = normalise_forecast(chart).select(
+    read = exports.normalise_forecast(chart).select(
         "app_id", F.to_date("day").alias("date"), F.col("predicted_mean").alias("predicted_mean_concurrent")
     )
-    return forecast_rows(visible_days(read, F.to_date(F.lit(WINDOW_START)), 45))
+    return exports.forecast_rows(FC.visible_days(read, F.to_date(F.lit(WINDOW_START)), 45))
 
 
 @register("forecast_metrics", O.with_ctes(
@@ -744,8 +727,6 @@ def forecast_window(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM long_base JOIN long_tuned USING (app_id, metric)"""))
 def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of the last-value forecast on the newest 30 %, against those of forecasting zero."""
-    from tidemark.operators import forecast as FC
-
     placed = FC.numbered(matrix_of(spark, sf_dir)).withColumn("cut", F.floor(F.col("n_rows") * F.lit(0.7)))
     anchor = placed.filter(F.col("position") == F.col("cut")).select(
         "app_id", F.col("mean_concurrent").alias("pred_multistep")
@@ -761,52 +742,40 @@ def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recent_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix over the newest 140 days of every app, the history the KPI update keeps."""
-    from tidemark.operators.matrix import daily_matrix as build
-
-    return build(I.recent_kpis(spark, sf_dir), I.reviews(spark, sf_dir))
+    return X.daily_matrix(I.recent_kpis(spark, sf_dir), I.reviews(spark, sf_dir))
 
 
 def quick_params():
-    from tidemark.operators.boosting import BoostParams
 
-    return BoostParams(n_estimators=6, max_depth=3, learning_rate=0.3)
+    return B.BoostParams(n_estimators=6, max_depth=3, learning_rate=0.3)
 
 
 @register("forecast_model")
 def forecast_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted log-ratios of the pooled model on its training rows."""
-    from tidemark.operators.boosting import fit
-
-    matrix = M.cut_lineage(recent_matrix(spark, sf_dir))
-    model = fit(matrix, quick_params())
+    matrix = cut_lineage(recent_matrix(spark, sf_dir))
+    model = B.fit(matrix, quick_params())
     return model.predict_matrix(matrix).select("app_id", "date", "target_y", "prediction")
 
 
 @register("forecast_days")
 def forecast_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators import forecast as FC
-    from tidemark.operators.boosting import fit
-
-    matrix = M.cut_lineage(recent_matrix(spark, sf_dir))
-    return FC.forecast_days(fit(matrix, quick_params()), matrix, days=14)
+    matrix = cut_lineage(recent_matrix(spark, sf_dir))
+    return FC.forecast_days(B.fit(matrix, quick_params()), matrix, days=14)
 
 
 @register("forecast_benchmark")
 def forecast_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators import forecast as FC
-
     return FC.benchmark(recent_matrix(spark, sf_dir), quick_params(), eval_days=14)[0]
 
 
 @register("tune")
 def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two candidates over the walk-forward folds of the newest 100 rows."""
-    from dataclasses import replace
 
-    from tidemark.operators.tuning import tune_tier
 
     slow = replace(quick_params(), n_estimators=2, learning_rate=0.05)
-    return tune_tier(recent_matrix(spark, sf_dir), 100, [slow, replace(slow, learning_rate=0.5)])
+    return T.tune_tier(recent_matrix(spark, sf_dir), 100, [slow, replace(slow, learning_rate=0.5)])
 
 
 # --- Streams --------------------------------------------------------------------------------
@@ -818,11 +787,8 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_stream(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    from tidemark.session import scratch_path
-    from tidemark.streaming.ingest import write_available
-
     folder = scratch_path(spark, name)
-    write_available(stream, f"{folder}/out", f"{folder}/checkpoint")
+    streams.write_available(stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -836,27 +802,23 @@ STREAM_OBSERVATIONS = (
     f"SELECT {O.KPI_OUTPUT} FROM kpis WHERE date < (SELECT max(CAST(ts AS DATE)) FROM events)"))
 def stream_daily_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days from a stream of observations; the last day is still open and not emitted."""
-    from tidemark.streaming.ingest import closed_days
-
     observations = stream_of(spark, sf_dir, "events").select(
         F.expr(I.EVENT_APP).cast("long").alias("app_id"),
         F.floor(F.col("value") * 100).cast("int").alias("players"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
-    return kpi_output(K.with_trend(run_stream(spark, closed_days(observations), "kpis")))
+    return kpi_output(K.with_trend(run_stream(spark, streams.closed_days(observations), "kpis")))
 
 
 @register("stream_reviews", O.with_ctes(
     O.review_ctes(), "SELECT app_id, recommendationid, language, timestamp_updated FROM reviews"))
 def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every review arrives twice and is kept once."""
-    from tidemark.streaming.ingest import without_repeats
-
     names = ["app_id", "recommendationid", "language", "timestamp_updated"]
     columns = [f"{I.REVIEW_COLUMNS[n]} AS {n}" for n in names]
     arriving = stream_of(spark, sf_dir, "documents").selectExpr(*columns)
     again = stream_of(spark, sf_dir, "documents").selectExpr(*columns)
-    stored = run_stream(spark, without_repeats(arriving.union(again)), "reviews")
+    stored = run_stream(spark, streams.without_repeats(arriving.union(again)), "reviews")
     return stored.select(*names)
 
 
@@ -871,10 +833,8 @@ def stream_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY app_id, window_start"""))
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews per 14-day window every 7 days, closed windows only."""
-    from tidemark.streaming.ingest import sliding_counts
-
     arriving = stream_of(spark, sf_dir, "documents").selectExpr(
         f"{I.REVIEW_COLUMNS['app_id']} AS app_id",
         f"timestamp_seconds({I.REVIEW_COLUMNS['timestamp_updated']}) AS event_time",
     )
-    return run_stream(spark, sliding_counts(arriving, "event_time", "1 hour"), "windows")
+    return run_stream(spark, streams.sliding_counts(arriving, "event_time", "1 hour"), "windows")
