@@ -24,7 +24,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 13
 #: Share of trusted texts that may lie below the threshold before the margin, and the margin in nats an n-gram.
-QUANTILE, MARGIN = 0.001, 0.1
+QUANTILE, MARGIN = 0.001, 0.03
 SMOOTHING = 1.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULT = [*COUNTS, "base_failed", "llr", "kept"]
