@@ -25,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import with_fields
+
 #: Code points of text in a block and pieces that a task remembers between blocks.
 BLOCK_CHARS, KNOWN_PIECES = 4_000_000, 300_000
 
@@ -161,7 +163,7 @@ def encode(
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*own.schema.names, "ids"])
 
-    return docs.mapInArrow(run, docs.schema.add("ids", "array<int>"))
+    return docs.mapInArrow(run, with_fields(docs.schema, "ids array<int>"))
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
@@ -177,4 +179,4 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "binary"))
+    return rows.mapInArrow(run, with_fields(rows.schema, "decoded binary"))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.session import scratch_path
 
@@ -36,6 +37,11 @@ def lowered(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    """The schema with the columns of a DDL text behind its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends there and lost executors cost no replay."""
     path = scratch_path(df.sparkSession, name)
@@ -65,7 +71,7 @@ def write_file(folder: str, stem: str, suffix: str):
     uri = f"{folder}/{stem}-{uuid.uuid4().hex}{suffix}"
     filesystem, path = pafs.FileSystem.from_uri(uri)
     filesystem.create_dir(os.path.dirname(path), recursive=True)
-    return uri, filesystem.open_output_stream(path)
+    return uri, filesystem.open_output_stream(path, compression=None)
 
 
 def read_file(uri: str):

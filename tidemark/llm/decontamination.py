@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER
+from tidemark.llm.common import LOWER, UPPER, with_fields
 
 WINDOW, MAX_SHARE = 10, 0.5
 #: Words of items in one automaton; a broadcast holds one group at a time.
@@ -172,7 +172,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the characters from each span's first word to its last."""
-    places = [m.span() for m in WORD.finditer(text)]
+    places = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
     out, at = [], 0
     for first, end in spans:
         out.append(text[at : places[first][0]])
@@ -207,16 +207,14 @@ def decontaminate(
         items = context.broadcast([(r["name"], r["text"]) for r in groups.filter(F.col("part") == part).collect()])
         found = found.mapInArrow(_scanner(items, text_col, window), found.schema)
     names = [*carried, *RESULT]
-    schema = docs.select(*carried).schema
-    for name, kind in RESULT.items():
-        schema = schema.add(name, kind)
+    schema = with_fields(docs.select(*carried).schema, ", ".join(f"{name} {kind}" for name, kind in RESULT.items()))
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in RESULT}
             for text, items, spans in zip(*(batch.column(c).to_pylist() for c in (text_col, "items", "spans")), strict=True):
                 text, spans = text or "", [(s["first"], s["end"]) for s in spans]
-                n_words = sum(1 for _ in WORD.finditer(text)) if spans else len(WORD.findall(text))
+                n_words = len(words_of(text))
                 n_hit = sum(b - a for a, b in spans)
                 clean = text if not spans else "" if n_hit > max_share * n_words else without_spans(text, spans)
                 values = (n_words, n_hit, sorted(items), [{"first": a, "end": b} for a, b in spans], clean, bool(spans))

@@ -48,7 +48,7 @@ def build_hash(first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
     """Bit arrays by level: a key's bit is set on the first level where no other key shares its place."""
     levels = []
     while len(first):
-        size = max(64, 2 * len(first))
+        size = max(64, (2 * len(first) + 7) // 8 * 8)
         place = _slots(first, second, len(levels), size)
         shared = np.bincount(place.astype(np.int64), minlength=size)
         levels.append(np.packbits(shared == 1))
@@ -66,7 +66,7 @@ def look_up(levels: list[np.ndarray], first: np.ndarray, second: np.ndarray) ->
     for level, packed in enumerate(levels):
         bits = np.unpackbits(packed)
         ranks = np.cumsum(bits, dtype=np.int64)
-        place = _slots(first[todo], second[todo], level, max(64, len(bits))).astype(np.int64)
+        place = _slots(first[todo], second[todo], level, len(bits)).astype(np.int64)
         hit = bits[place] == 1
         found[todo[hit]] = before + ranks[place[hit]] - 1
         todo, before = todo[~hit], before + int(ranks[-1])

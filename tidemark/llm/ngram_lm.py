@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import blocks_of
-from tidemark.llm.common import lowered, mapped, new_folder, whole_text, write_file, written
+from tidemark.llm.common import lowered, mapped, new_folder, whole_text, with_fields, write_file, written
 
 DISCOUNT = 0.75
 #: Words in a vocabulary file and token mass of a pair file.
@@ -498,9 +498,7 @@ def score(docs: DataFrame, trie: Trie, text_col: str = "text") -> DataFrame:
     """The documents with ``n_tokens, n_known, base_score, score``."""
     names = ["n_tokens", "n_known", "base_score", "score"]
     carried = [c for c in docs.columns if c not in names]
-    schema = docs.select(*carried).schema
-    for name, kind in zip(names, ("long", "long", "double", "double"), strict=True):
-        schema = schema.add(name, kind)
+    schema = with_fields(docs.select(*carried).schema, "n_tokens long, n_known long, base_score double, score double")
     sent = docs.sparkSession.sparkContext.broadcast(trie)  # file names and ranges only
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, UPPER, mixed, written
+from tidemark.llm.common import LOWER, UPPER, mixed, with_fields, written
 
 SHARD_KEYS, MAX_SHARDS = 500_000, 65_536
 MAX_BROADCAST_BYTES, GROUP_ROWS = 32 << 20, 250_000
@@ -151,7 +151,7 @@ def with_membership(
     size = shards.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     placed = rows.select("*", *[h.alias(n) for h, n in zip(_hashed(key), ("__h1", "__h2"), strict=True)])
     shard = F.pmod(F.shiftright("__h1", 7), F.lit(n_shards)).cast("int")
-    schema = rows.schema.add("listed", "boolean")
+    names, schema = list(rows.columns), with_fields(rows.schema, "listed boolean")
     if size <= max_broadcast_bytes:
         sent = rows.sparkSession.sparkContext.broadcast([tuple(r) for r in shards.collect()])
         placed = placed.withColumn("__shard", shard)
@@ -165,7 +165,7 @@ def with_membership(
                     at = np.flatnonzero(own == k)
                     listed[at] = in_cascade(known.get(int(k), []), first[at], second[at])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c) for c in rows.columns), pa.array(listed)], names=[*rows.columns, "listed"])
+                    [*(batch.column(c) for c in names), pa.array(listed)], names=[*names, "listed"])
 
         return placed.mapInArrow(look_up, schema)
 
@@ -173,14 +173,14 @@ def with_membership(
         "__shard", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("__width"))
     # MAX_SHARDS short rows at most
     salted = placed.withColumn("__shard", shard).join(F.broadcast(loads), "__shard").withColumn(
-        "__salt", F.pmod(F.xxhash64(*rows.columns), F.col("__width")).cast("int"))
+        "__salt", F.pmod(F.xxhash64(*names), F.col("__width")).cast("int"))
     copies = shards.withColumnRenamed("shard", "__shard").join(F.broadcast(loads), "__shard").withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.col("__width") - 1)))
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         levels = _unpack(*(right.column(c)[0].as_py() for c in ("sizes", "hashes", "bits"))) if len(right) else []
         first, second = (left.column(c).to_numpy().view(np.uint64) for c in ("__h1", "__h2"))
-        return left.select(rows.columns).append_column("listed", pa.array(in_cascade(levels, first, second)))
+        return left.select(names).append_column("listed", pa.array(in_cascade(levels, first, second)))
 
     return salted.groupBy("__shard", "__salt").cogroup(copies.groupBy("__shard", "__salt")).applyInArrow(probe, schema)
 
