@@ -6,11 +6,12 @@ bits of the minima, packed, give a signature. Candidates are compared by countin
 share of equal slots is corrected for chance equality, and pairs far below the threshold are dropped. Everything
 that is left is confirmed on the full sets.
 
-No bucket is expanded into its pairs. First every member is compared with the bucket's smallest id, and links are
-joined into components. Buckets whose members then lie in one component are done. In the others, members are
-compared by signature in blocks: each component's members first name their most similar partner outside, then,
-after those links, all pairs across components that pass are confirmed. So every candidate pair is confirmed or
-already connected, whatever the size of its bucket.
+No bucket is expanded into its pairs. Its members are tied to its smallest id, and all documents that are tied
+together, directly or not, form a cluster; every candidate pair lies inside one cluster. A cluster is cut into
+blocks of bounded rows and bytes, and each pair of blocks is compared in one task: signatures choose the documents
+that may have partners, and for those the shingles shared with the other block are counted exactly. A task returns a
+spanning forest of the links it confirmed, never all of them. So each candidate pair is confirmed or connected
+otherwise, whatever the size of its bucket.
 
 Defined results: A-Z are lower-cased, words are runs without white space. A text with fewer words than a shingle
 has is one shingle; a null text or one without words has an empty set, is its own component and is kept. Repeated
@@ -36,8 +37,10 @@ WORDS, PERCENT = 5, 80
 BANDS, ROWS, BITS = 32, 4, 4
 #: Estimates so far below the threshold are dropped: six standard deviations of the estimate.
 DEVIATIONS = 6.0
-#: Words a task remembers, shingles hashed at once, members of a bucket compared as one block.
-KNOWN_WORDS, CHUNK, BLOCK = 300_000, 512, 1_024
+#: Words a task remembers, shingles hashed at once.
+KNOWN_WORDS, CHUNK = 300_000, 512
+#: Members of a cluster and bytes of their sets in one block; bits of the table of wanted ids, 8 MB.
+BLOCK, BLOCK_BYTES, MAX_BITS = 1_024, 8 << 20, 1 << 26
 _NO_ID = -(2**63)
 _SIGNED = "id long, n int, fp1 long, fp2 long, sig binary, bands array<long>"
 
@@ -144,58 +147,113 @@ def signed(rows: DataFrame, words: int, bands: int, rows_per_band: int) -> DataF
     return rows.mapInArrow(run, _SIGNED)
 
 
-def with_sets(rows: DataFrame, words: int) -> DataFrame:
-    """``id, hashes`` of ``id, text`` rows; the hashes as bytes."""
+def with_sets(rows: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """``id, hashes`` of the ``id, text`` rows whose id is in ``wanted``; the hashes as bytes.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for batch in batches:
-            sets = [shingler.hashes(text).tobytes() for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "hashes"])
-
-    return rows.mapInArrow(run, "id long, hashes binary")
-
-
-# --- Candidates and links -----------------------------------------------------------------------
-
-
-def _passing(pairs: DataFrame, sigs: DataFrame, percent: int, slots: int) -> DataFrame:
-    """The pairs whose signatures do not rule the threshold out; counted in the JVM, plane by plane."""
-    least = least_equal(percent, slots)
+    The texts stay where they are: a bit table of the wanted ids, of bounded size, lets a task pass over most of the
+    others, and the exact join then sees the sets only. A full bit table just passes more.
+    """
+    bits = min(MAX_BITS, max(1 << 16, 1 << (16 * wanted.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    marked = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap"))
+    size = 1 << 15  # bits of one bitmap
+    table = np.zeros((-(-bits // size) + 1, size // 8), np.uint8)
+    for r in marked.collect():  # MAX_BITS bits at most
+        table[r["bucket"]] = np.frombuffer(r["bitmap"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, table = Shingler(words), sent.value
         for batch in batches:
-            if batch.num_rows:
-                left, right = (_as_words(batch.column(c).to_pylist()) for c in ("sa", "sb"))
-                width = left.shape[1] // BITS
-                differ = (left ^ right).reshape(len(left), BITS, width)
-                equal = slots - np.bitwise_count(np.bitwise_or.reduce(differ, axis=1)).sum(axis=1, dtype=np.int64)
-                yield batch.filter(pa.array(equal >= least)).select(["a", "b"])
-
-    a = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa"))
-    b = sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach the threshold."""
-    pairs = written(pairs, "near-candidates")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = written(with_sets(rows.join(wanted, "id", "left_semi"), words), "near-sets")
+            bit = batch.column("bit").to_numpy()
+            found = table[batch.column("bucket").to_numpy(), bit >> 3] >> (bit & 7).astype(np.uint8) & 1
+            keep = np.flatnonzero(found)
+            texts = batch.column("text").take(pa.array(keep)).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(keep)), pa.array([shingler.hashes(t).tobytes() for t in texts], pa.binary())],
+                names=["id", "hashes"])
+
+    placed = rows.withColumn("p", place).select(
+        "id", "text", F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").alias("bit"))
+    return placed.mapInArrow(run, "id long, hashes binary").join(wanted.select("id"), "id", "left_semi")
+
+
+# --- Clusters and links -------------------------------------------------------------------------
+
+
+def block_links(
+    ids: np.ndarray, sigs: list[bytes], sets: list[np.ndarray], side: np.ndarray, percent: int, slots: int,
+) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks (side 0 and 1), or inside one block (side 0 alone)."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    inside = not len(right)
+    right = left if inside else right
+    words = _as_words(sigs)
+    near = equal_slots(words[left], words[right]) >= least_equal(percent, slots)
+    if inside:
+        near = np.triu(near, 1)
+    if not near.any():
+        return []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    values = np.concatenate([sets[k] for k in right])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    label, links = np.arange(len(ids)), []
+    for x in np.flatnonzero(near.any(axis=1)):
+        k = left[x]
+        low, high = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+        counts = high - low
+        places = np.arange(counts.sum()) + np.repeat(low - np.cumsum(counts) + counts, counts)
+        both = np.bincount(owner[places], minlength=len(right))
+        linked = right[near[x] & (100 * both >= percent * (sizes[k] + sizes[right] - both))]
+        parts, first = np.unique(label[linked], return_index=True)
+        for part, at in zip(parts, first, strict=True):
+            if part != label[k]:
+                links.append((int(ids[k]), int(ids[linked[at]])))
+                label[label == part] = label[k]
+    return links
+
+
+def cluster_links(members: DataFrame, percent: int, slots: int) -> DataFrame:
+    """``a, b`` links that connect all linked members; ``members`` has ``cluster, id, n, sig, hashes``."""
+    extent = members.groupBy("cluster").agg(F.greatest(
+        F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    # a row meets every block of its cluster once: as left side with later blocks, as right side with earlier ones
+    spread = members.join(extent, "cluster").withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "sig", "hashes")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+            side, ids = rows.column("side").to_numpy(), rows.column("id").to_numpy()
+            sigs, sets, found = rows.column("sig").to_pylist(), rows.column("hashes").to_pylist(), []
+            for first, end in zip(ends, ends[1:], strict=False):
+                if end - first > 1:
+                    own = [np.frombuffer(x, np.uint64) for x in sets[first:end]]
+                    found += block_links(ids[first:end], sigs[first:end], own, side[first:end], percent, slots)
+            if found:
+                a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        rest: pa.Table | None = None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("ha"), batch.column("hb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
+            if not len(rows):
+                continue
+            group = np.stack([rows.column(c).to_numpy() for c in ("cluster", "i", "j")])
+            ends = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1])
+            rest = rows.slice(int(ends[-1]))
+            yield from compared(rows.slice(0, int(ends[-1])), ends)
+        if rest is not None:
+            yield from compared(rest, np.array([0, len(rest)]))
 
-    a = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    found = pairs.join(a, "a").join(b, "b").select("a", "b", "ha", "hb").mapInArrow(run, "a long, b long")
-    return written(found, "near-links")
+    return spread.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(
+        run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,83 +276,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = written(small.union(low).distinct(), "stars")
 
 
-def _across(best: bool, percent: int, slots: int):
-    """Pairs across components in a block of bucket members, or between two blocks of them.
-
-    Rows come sorted by bucket and block pair; a group has two blocks of rows at most and is taken whole. Pairs with
-    the bucket's smallest id are left out, as they were tried first.
-    """
-    least = least_equal(percent, slots)
-
-    def pairs(side, ids, parts, center, sigs) -> list[np.ndarray]:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(right):
-            right = left
-        words = _as_words(sigs)
-        equal = equal_slots(words[left], words[right])
-        equal[(parts[left][:, None] == parts[right][None, :]) | (equal < least)] = -1
-        equal[ids[left] == center, :] = -1
-        equal[:, ids[right] == center] = -1
-        if not equal.size or equal.max() < 0:
-            return []
-        if best:
-            x = np.concatenate([np.arange(len(left)), equal.argmax(axis=0)])
-            y = np.concatenate([equal.argmax(axis=1), np.arange(len(right))])
-        else:
-            x, y = np.nonzero(equal >= 0)
-        good = equal[x, y] >= 0
-        a, b = ids[left[x[good]]], ids[right[y[good]]]
-        return [np.stack([np.minimum(a, b), np.maximum(a, b), equal[x[good], y[good]].astype(np.int64)])]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tried(rows: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            side, ids, parts, center = (rows.column(c).to_numpy() for c in ("side", "id", "component", "center"))
-            sigs, found = rows.column("sig").to_pylist(), []
-            for first, end in zip(ends, ends[1:], strict=False):
-                found += pairs(side[first:end], ids[first:end], parts[first:end], center[first], sigs[first:end])
-            if found:
-                columns = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "equal"])
-
-        rest: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if rest is None else pa.concat_tables([rest, rows]).combine_chunks()
-            if not len(rows):
-                continue
-            group = np.stack([rows.column(c).to_numpy() for c in ("key", "i", "j")])
-            ends = np.concatenate([[0], np.flatnonzero((group[:, 1:] != group[:, :-1]).any(axis=0)) + 1])
-            rest = rows.slice(int(ends[-1]))
-            yield from tried(rows.slice(0, int(ends[-1])), ends)
-        if rest is not None:
-            yield from tried(rest, np.array([0, len(rest)]))
-
-    return run
-
-
-def _open_pairs(
-    buckets: DataFrame, sigs: DataFrame, of: DataFrame, best: bool, percent: int, slots: int,
-) -> DataFrame:
-    """Pairs across components from the buckets that hold more than one."""
-    placed = buckets.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_keys = placed.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter(
-        "low <> high AND n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = placed.join(mixed_keys, "key").join(sigs.select("id", "sig"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    # a row meets every block of its bucket once: as left side with later blocks, as right side with earlier ones
-    spread = rows.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "center", "sig")
-    found = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        _across(best, percent, slots), "a long, b long, equal long")
-    if not best:
-        return found.select("a", "b").distinct()
-    # of all buckets' proposals an id keeps its best
-    return found.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("t")).select("t.a", "b").distinct()
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT,
     bands: int = BANDS, rows_per_band: int = ROWS,
@@ -306,18 +287,15 @@ def near_duplicates(
     full = sigs.filter("n > 0")
     # equal sets have equal signatures and bands, so any member's will do
     classes = written(full.groupBy("fp1", "fp2").agg(
-        F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "near-classes")
+        F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"),
+        F.first("bands").alias("bands")), "near-classes")
     keyed = classes.select("id", F.explode("bands").alias("key"))
     centers = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("center")).filter("n > 1").drop("n")
-    buckets = written(keyed.join(centers, "key"), "near-buckets")
-
-    stars = buckets.filter("center <> id").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(_passing(stars, classes, percent, slots), rows, words, percent)
+    ties = keyed.join(centers, "key").filter("center <> id").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    clusters = written(components(ties).withColumnRenamed("component", "cluster"), "near-clusters")
+    members = clusters.join(classes.select("id", "n", "sig"), "id").join(with_sets(rows, words, clusters), "id")
+    links = written(cluster_links(written(members, "near-members"), percent, slots), "near-links")
     of = written(components(links), "near-components")
-    for best in (True, False):
-        more = confirmed(_open_pairs(buckets, classes, of, best, percent, slots), rows, words, percent)
-        links = links.union(more)
-        of = written(components(links), "near-components")
 
     low = classes.select("fp1", "fp2", "id").join(of, "id", "left").select(
         "fp1", "fp2", F.coalesce("component", "id").alias("component"))

@@ -1,7 +1,7 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio, in DataFrame functions only.
 
 Words and word pairs of a text are hashed into a fixed number of buckets. Two multinomials over the buckets are
-counted: one from all texts of the trusted target, one from all texts of the corpus. A text's score is the mean
+counted: one from the trusted target, ``TRUSTED_ROWS`` labelled texts at most, one from all texts of the corpus. A text's score is the mean
 log-ratio of its n-grams, so long and short texts compare. The threshold is a quantile of the trusted texts' own
 scores, less a margin, and every text is held against it. The model is one array of ``buckets`` numbers whatever
 the corpus, so it travels with the plan as a literal; texts are scored where they lie, without a shuffle.
@@ -26,6 +26,8 @@ BUCKETS = 1 << 13
 #: Share of trusted texts that may lie below the threshold before the margin, and the margin in nats an n-gram.
 QUANTILE, MARGIN = 0.001, 0.03
 SMOOTHING = 1.0
+#: Labelled documents that the target is counted from, at most; the corpus is counted whole.
+TRUSTED_ROWS = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULT = [*COUNTS, "base_failed", "llr", "kept"]
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -135,29 +137,29 @@ def llr(hashes: Column, weights: list[float]) -> Column:
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1))
 
 
-def with_trust(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``trusted``: whether the document's id is among the trusted ones."""
+def trusted_sample(trusted_ids: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
+    """``__trusted_id``: at most ``rows`` distinct ids, those of lowest hash."""
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted_id")).na.drop().distinct()
-    joined = docs.join(ids, F.col(id_col) == F.col("__trusted_id"), "left")
-    return joined.withColumn("trusted", F.col("__trusted_id").isNotNull()).drop("__trusted_id")
+    return ids.orderBy(F.xxhash64("__trusted_id"), "__trusted_id").limit(rows)
 
 
 def quality_rules(
     docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    buckets: int = BUCKETS, quantile: float = QUANTILE, margin: float = MARGIN,
+    buckets: int = BUCKETS, quantile: float = QUANTILE, margin: float = MARGIN, trusted_rows: int = TRUSTED_ROWS,
 ) -> DataFrame:
     """The documents with the base counts, ``base_failed``, ``llr`` and ``kept``."""
-    # trust is decided on ids alone; texts are read in place
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    marked = with_trust(texts, trusted_ids, "__id")
+    # a bounded number of ids goes to every task, so texts are read in place and never shuffled
+    ids = F.broadcast(written(trusted_sample(trusted_ids, trusted_rows), "trusted-ids"))
+    is_trusted = F.col(id_col) == F.col("__trusted_id")
+    marked = docs.join(ids, is_trusted, "left").select(
+        F.col("__trusted_id").isNotNull().alias("trusted"), F.col(text_col).alias("__text"))
     weights = log_ratios(written(bucket_counts(marked, "__text", buckets), "bucket-counts"), buckets)
     rows = with_counts(docs, text_col)
     if not weights:
         return rows.withColumns({"llr": F.lit(None).cast("double"), "kept": ~F.col("base_failed")}).drop("__hashes")
-    scored = written(rows.withColumn("llr", llr(F.col("__hashes"), weights)).drop("__hashes"), "quality-scores")
-    sound = with_trust(scored.select(F.col(id_col).alias("__id"), "llr", "base_failed"), trusted_ids, "__id").filter(
-        F.col("trusted") & ~F.col("base_failed"))
-    low = sound.agg(F.percentile_approx("llr", quantile, 100_000).alias("low")).first()["low"]
+    sound = with_counts(docs.select(id_col, text_col).join(ids, is_trusted, "left_semi"), text_col).filter(~F.col("base_failed"))
+    low = sound.select(llr(F.col("__hashes"), weights).alias("llr")).agg(
+        F.percentile_approx("llr", quantile, 100_000).alias("low")).first()["low"]
     limit = F.lit(None).cast("double") if low is None else F.lit(low - margin)
     verdict = ~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True))
-    return scored.withColumn("kept", verdict)
+    return rows.withColumn("llr", llr(F.col("__hashes"), weights)).withColumn("kept", verdict).drop("__hashes")
