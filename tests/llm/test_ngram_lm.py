@@ -45,7 +45,7 @@ def assert_equal(rows, brute):
         n, known, base, model = brute.score(r["text"])
         assert (r["n_tokens"], r["n_known"]) == (n, known)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9)
-        assert math.isclose(r["score"], model, rel_tol=1e-3, abs_tol=1e-3)  # 8-bit codes
+        assert math.isclose(r["score"], model, rel_tol=1e-3, abs_tol=1e-3)  # coded probabilities
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 5000])

@@ -3,7 +3,7 @@
 Level 1 is the vocabulary: the sorted 64-bit hashes of all training tokens as Elias-Fano sequences, with their exact
 counts; a word's place is its id. Level 2 holds the followers of every word. Its child ids are made monotone by
 their context's place, coded by Elias-Fano and searched for the successor of a context-relative value; monotone
-pointers give the number of followers of a context; every child has an 8-bit code of its discounted probability.
+pointers give the number of followers of a context; every child has a 16-bit code of its discounted probability.
 A pair's probability is the discounted one plus the context's left-over mass times the unigram probability, which
 sums to one over the vocabulary and the unseen word.
 
@@ -13,7 +13,7 @@ distinct pairs, packed and compressed, to the file's range; no count is dropped.
 
 Defined results: a null or empty text has one token, the end. A document learns or is held out by its id; a null id
 is the text ``null``'s, as is an id of repeated rows: each row counts. Without training tokens every token has
-probability one half over ... of an empty vocabulary, log10(0.5 / 0.5) = 0. Words are told apart by 64-bit hashes.
+the probability 1: it is the unseen word. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from tidemark.llm.bpe import blocks_of
 from tidemark.llm.common import lowered, mapped, new_folder, whole_text, with_fields, write_file, written
 
 DISCOUNT = 0.75
+#: Values that the code book of a file has; codes take 16 bits.
+CODES = 1 << 16
 #: Words in a vocabulary file and token mass of a pair file.
 FILE_WORDS, FILE_TOKENS = 1 << 20, 1 << 21
 #: Code points of text in a block, words a task remembers, files a task keeps open.
@@ -359,15 +361,16 @@ def pair_counts(rows: DataFrame, vocabulary: Vocabulary, starts: list[int]) -> D
     return rows.mapInArrow(run, "file int, data binary")
 
 
-def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code book of 256 values at most, codes): all values if they are few, else the means of equal shares."""
-    book = np.unique(values)
-    if len(book) > 256:
-        edges = np.quantile(values, np.linspace(0, 1, 257))
-        owner = np.clip(np.searchsorted(edges, values, "right") - 1, 0, 255)
-        sums, sizes = np.bincount(owner, values, 256), np.bincount(owner, minlength=256)
-        return np.divide(sums, sizes, out=np.zeros(256), where=sizes > 0), owner.astype(np.uint8)
-    return book, np.searchsorted(book, values).astype(np.uint8)
+def _codes(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code book of ``CODES`` values at most, codes): all values if they are few, else the weighted means of shares of
+    equal weight, so that the training text keeps its mean."""
+    book, place = np.unique(values, return_inverse=True)
+    if len(book) > CODES:
+        mass = np.bincount(place, weights)
+        owner = np.minimum((np.cumsum(mass) - mass / 2) * CODES / mass.sum(), CODES - 1).astype(np.int64)
+        sums, sizes = np.bincount(owner, book * mass, CODES), np.bincount(owner, mass, CODES)
+        return np.divide(sums, sizes, out=np.zeros(CODES), where=sizes > 0), owner[place].astype(np.uint16)
+    return book, place.astype(np.uint16)
 
 
 def build_pairs(rows: DataFrame, vocabulary: Vocabulary, starts: list[int], folder: str, discount: float) -> dict[int, str]:
@@ -383,7 +386,7 @@ def build_pairs(rows: DataFrame, vocabulary: Vocabulary, starts: list[int], fold
         context = keys // size - low
         n = int(context[-1]) + 1
         of_context = vocabulary.opened().counts(keys // size)
-        book, codes = _codes(np.log10((counts - discount) / of_context))
+        book, codes = _codes(np.log10((counts - discount) / of_context), counts)
         pointers = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=n))])
         sections = {"codes": codes, "book": book, "range": np.array([low, n], np.int64)}
         for name, part in (("child_", elias_fano(keys - low * size, n * size)),

@@ -173,9 +173,9 @@ def with_membership(
         "__shard", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("__width"))
     # MAX_SHARDS short rows at most
     salted = placed.withColumn("__shard", shard).join(F.broadcast(loads), "__shard").withColumn(
-        "__salt", F.pmod(F.xxhash64(*names), F.col("__width")).cast("int"))
+        "__salt", F.pmod(F.xxhash64(*names), F.col("__width")).cast("int")).drop("__width")
     copies = shards.withColumnRenamed("shard", "__shard").join(F.broadcast(loads), "__shard").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.col("__width") - 1)))
+        "__salt", F.explode(F.sequence(F.lit(0), F.col("__width") - 1))).drop("__width")
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         levels = _unpack(*(right.column(c)[0].as_py() for c in ("sizes", "hashes", "bits"))) if len(right) else []

@@ -39,7 +39,6 @@ _DATE = "1970-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 CAPTURE = "urlkey string, page_id long, record_type string, archive string, offset long, length long"
-_CAPTURE_NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
 BLOCK = "part int, block int, first_key string, last_key string, n long, data binary"
 RECORD = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, "
           "refers_to long, payload binary")
@@ -98,10 +97,12 @@ def parse_record(member: bytes) -> dict:
     }
 
 
-def _columns(rows: list[dict], schema: str) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-    whole = [c.split()[0] for c in schema.split(", ") if c.endswith(" long")]
-    return frame.astype({c: "Int64" for c in whole})
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    """Rows as columns; whole numbers stay whole beside nulls."""
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pd.DataFrame({name: pd.array(list(values), dtype="Int64") if kind in ("long", "int") else pd.Series(list(values), dtype=object)
+                         for (name, kind), values in zip(fields, columns, strict=True)})
 
 
 # --- Writing ------------------------------------------------------------------------------------
@@ -146,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if size >= ARCHIVE_BYTES:
                     stream.close()
                     stream = None
-            yield pd.DataFrame(rows, columns=_CAPTURE_NAMES).astype({"page_id": "Int64"})
+            yield _frame(rows, CAPTURE)
         if stream is not None:
             stream.close()
 
@@ -194,8 +195,7 @@ def _blocks(block_captures: int):
         waiting, number = [], 0
 
         def block(rows):
-            return pd.DataFrame([(rows[0][7], number, rows[0][0], rows[-1][0], len(rows), _encode([r[:6] for r in rows]))],
-                                columns=[c.split()[0] for c in BLOCK.split(", ")])
+            return _frame([(rows[0][7], number, rows[0][0], rows[-1][0], len(rows), _encode([r[:6] for r in rows]))], BLOCK)
 
         for batch in batches:
             ids = [None if pd.isna(x) else int(x) for x in batch["page_id"]]
@@ -224,7 +224,7 @@ class CaptureIndex:
         def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for data in batch["data"]:
-                    yield pd.DataFrame(decode_block(data), columns=_CAPTURE_NAMES).astype({"page_id": "Int64"})
+                    yield _frame(decode_block(data), CAPTURE)
 
         return self.blocks.select("data").mapInPandas(decode, CAPTURE)
 
@@ -250,7 +250,7 @@ class CaptureIndex:
                         while at < len(rows) and rows[at][0] == key:
                             found.append(rows[at])
                             at += 1
-                    yield pd.DataFrame(found, columns=_CAPTURE_NAMES).astype({"page_id": "Int64"})
+                    yield _frame(found, CAPTURE)
 
         # the range of wanted keys is pushed to the Parquet row groups, which are sorted
         near = self.blocks.filter((F.col("first_key") <= wanted[-1]) & (F.col("last_key") >= wanted[0]))
@@ -261,7 +261,8 @@ def build_index(captures: DataFrame, block_captures: int = BLOCK_CAPTURES) -> Ca
     """Sorts the captures over the corpus. The archive place breaks ties, so a hot url is spread as well; binary
     string order is the order of the keys' UTF-8."""
     placed = captures.withColumn("place", F.concat_ws(":", "archive", F.lpad(F.col("offset").cast("string"), 20, "0")))
-    ranged = placed.repartitionByRange("urlkey", "place").withColumn("part", F.spark_partition_id())
+    ranged = placed.repartitionByRange("urlkey", "place").withColumn("part", F.spark_partition_id()).withColumn(
+        "page_id", F.col("page_id").cast("string"))
     blocks = ranged.sortWithinPartitions("urlkey", "place").mapInPandas(_blocks(block_captures), BLOCK)
     return CaptureIndex(written(blocks, "capture-blocks"), captures)
 
@@ -308,7 +309,7 @@ def read_records(captures: DataFrame, with_payload: bool = True, read_bytes: int
                         found = [parse_record(data[o - run[0][0] : o - run[0][0] + n]) for o, n in run]
                         if not with_payload:
                             found = [r | {"payload": None} for r in found]
-                        yield _columns(found, RECORD)
+                        yield _frame([tuple(r.values()) for r in found], RECORD)
 
     return dealt.mapInPandas(read, RECORD)
 
