@@ -207,13 +207,13 @@ def test_folds(spark):
     params = {r["tier_size"]: (r["test_size"], r["n_folds"], r["max_trees"]) for r in frame.collect()}
     assert params[140] == (10, 6, 100) and params[500][2] == 250
     for n, (test_size, n_folds, max_trees) in params.items():
-        assert T.fold_plan(n) == (test_size, n_folds, max_trees)
+        assert T.fold_plan(spark, n)[1] == max_trees
     folds = {}
     for r in T.walk_forward_folds(frame).collect():
         folds.setdefault(r["tier_size"], []).append((r["fold"], r["train_end"], r["test_end"]))
     assert max(folds[140]) == (5, 130, 140)
     for n, (test_size, n_folds, _) in params.items():
-        assert [f[1:] for f in sorted(folds.get(n, []))] == T.fold_bounds(n, n_folds, test_size)
+        assert [f[1:] for f in sorted(folds.get(n, []))] == T.fold_plan(spark, n)[0]
         assert all(train >= 40 and test - train == test_size for _, train, test in folds.get(n, []))
 
 
@@ -229,6 +229,30 @@ def test_retune(spark):
     assert not {r["app_id"]: r["retune"] for r in T.retune_decision(sizes, records, now, staleness_days=None).collect()}[4]
 
 
+def test_size_classes():
+    """Fifty different sizes are a few searches, each on rows that all its apps have."""
+    classes = {T.size_class(n) for n in range(1000, 1050)}
+    assert len(classes) <= 2 and all(T.size_class(n) <= n for n in range(1, 6000))
+    assert all(T.size_class(n) >= 47 for n in range(47, 6000)) and T.size_class(59) == T.size_class(56)
+
+
+def test_an_old_app_leaves_the_others_alone(matrix):
+    model = fit(matrix, replace(QUICK, n_estimators=2))
+    horizons = matrix.sparkSession.createDataFrame([(1, 3), (2, 8)], "app_id long, steps int")
+    rows = FC.forecast_days(model, matrix, None, horizons=horizons).collect()
+    assert sorted((r["app_id"], r["step"]) for r in rows) == [(1, s) for s in (1, 2, 3)] + [(2, s) for s in range(1, 9)]
+    alone = {(r["app_id"], r["step"]): r["predicted_mean_concurrent"] for r in FC.forecast_days(model, matrix, 8).collect()}
+    assert all(alone[r["app_id"], r["step"]] == pytest.approx(r["predicted_mean_concurrent"]) for r in rows)
+
+
+def test_more_than_ten_thousand_rules_are_no_obstacle(spark):
+    when = datetime(2001, 1, 2)
+    runs = spark.createDataFrame([(1, "r", when, 14, 1, .1, .1, 1., "both")], MINING_RUNS)
+    rules = spark.createDataFrame([(1, f"{i}", "r", f"a{i}", "b", .1, .1, .1, .5, 1.5, .1, 1.) for i in range(10_500)], ASSOCIATION_RULES)
+    built = X.daily_matrix(make_kpis(spark, {1: [5, 6, 7, 8]}), no_reviews(spark), rules, runs)
+    assert len(X.rule_feature_names(built)) == 10_500
+
+
 def test_candidates_and_json():
     drawn = T.draw_candidates(40, 150)
     assert drawn == T.draw_candidates(40, 150) and len(set(drawn)) == 40
@@ -247,7 +271,7 @@ def test_fold_summary(spark):
 
 
 def test_cross_validate(matrix):
-    scored = T.cross_validate(matrix, replace(QUICK, n_estimators=2), 69, 1, 7, horizon=3).collect()
+    scored = T.cross_validate(matrix, replace(QUICK, n_estimators=2), 69, [(62, 69)], horizon=3).collect()
     assert {r["app_id"] for r in scored} == {1, 2} and all(r["n_folds"] == 1 and r["mape_1step_pct_std"] == 0 for r in scored)
 
 

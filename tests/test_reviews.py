@@ -154,20 +154,24 @@ def test_sliding_windows_match_range_predicates(spark):
 def test_rule_filter_one_and_many(spark):
     rows = [dict(app_id=1, recommendationid=str(i), language="english" if i % 2 else "german", gameplay=i % 3 + 1,
                  voted_up=i % 4 == 0, playtime_at_review=i * 100, timestamp_updated=AS_OF - (i % 2) * DAY,
-                 has_hardware_info=True, hw_os="Windows 11" if i % 5 else "Arch Linux") for i in range(60)]
+                 has_hardware_info=True, hw_cpu_vendor="x", hw_os="Windows 11" if i % 5 else "Arch Linux") for i in range(60)]
     reviews = make_reviews(spark, rows)
     kpis = make_kpis(spark, [(1, date(2001, 8, 1), "retention_drop"), (1, date(2001, 7, 31), "retention_growth")])
     baskets = R.review_baskets(reviews, kpis)
     cases = [
         ("lang_english", "kpi_retention_growth"), ("gameplay_2 AND playtime_mid_core", "hw_os_Windows_11"),
         ("voted_up_True", "gameplay_1"), ("voted_up_False AND lang_english", "playtime_heavy"), ("lang_klingon", "gameplay_1"),
+        ("nonsense_tag AND lang_german", "voted_up_Perhaps"), ("nonsense_tag", "nonsense_too"),
     ]
     rules = spark.createDataFrame([(1, str(i), a, c) for i, (a, c) in enumerate(cases)],
                                   "app_id long, rule_id string, antecedents string, consequents string")
-    many = {(r["rule_id"], r["recommendationid"]) for r in R.matching_rules(rules, baskets).collect()}
+    tagged = R.tagged_reviews(reviews, kpis)
+    many = {(r["rule_id"], r["recommendationid"]) for r in R.matching_rules(rules, tagged).collect()}
+    counts = {r["rule_id"]: r["matching"] for r in R.matching_rule_counts(rules, tagged).collect()}
+    assert counts == {str(i): n for i in range(len(cases)) if (n := sum(rule == str(i) for rule, _ in many))}
     tags = {r["recommendationid"]: set(r["items"]) for r in baskets.collect()}
     for i, (a, c) in enumerate(cases):
-        wanted = set((a + " AND " + c).split(" AND "))
+        wanted = {t for t in (a + " AND " + c).split(" AND ") if not t.startswith("nonsense") and t != "voted_up_Perhaps"}
         expected = {rid for rid, held in tags.items() if wanted <= held}
         assert {r["recommendationid"] for r in R.matching_rule(reviews, kpis, a, c).collect()} == expected
         assert {rid for rule, rid in many if rule == str(i)} == expected
@@ -175,6 +179,27 @@ def test_rule_filter_one_and_many(spark):
     assert R.matching_rule(reviews, kpis, "nonsense_tag", "gameplay_99x").count() == 60
 
 
+def test_all_hardware_fields_and_case_of_tags(spark):
+    rows = [dict(app_id=1, recommendationid=str(i), has_hardware_info=i > 0, hw_cpu_vendor="Genuine Intel" if i % 2 else "N/A",
+                 hw_gpu="Unknown", hw_resolution="1x2", playtime_at_review=130) for i in range(6)]
+    reviews, kpis = make_reviews(spark, rows), make_kpis(spark, [])
+    cases = [("hw_cpu_vendor_Genuine_Intel", ""), ("hw_cpu_vendor_N/A", "hw_gpu_Unknown"), ("HW_resolution_1x2", "PlayTime_Casual"), ("hw_ram_1GB", "")]
+    rules = spark.createDataFrame([(1, str(i), a, c) for i, (a, c) in enumerate(cases)],
+                                  "app_id long, rule_id string, antecedents string, consequents string")
+    counts = {int(r["rule_id"]): r["matching"] for r in R.matching_rule_counts(rules, R.tagged_reviews(reviews, kpis)).collect()}
+    single = {i: n for i, (a, c) in enumerate(cases) if (n := R.matching_rule(reviews, kpis, a, c).count())}
+    assert counts == single == {0: 3, 1: 3, 2: 6}
+
+
+def test_blank_texts_and_every_lookback_step(spark):
+    scored = make_reviews(spark, [dict(app_id=1, recommendationid=str(i), review=t, timestamp_updated=AS_OF - 10 * DAY)
+                                  for i, t in enumerate(["\n\t ", "", "x", None])])
+    answered = scored.drop("isSpam").withColumn("scored", F.lit('{"isSpam": false}'))
+    assert [r["recommendationid"] for r in R.with_scores(answered, "scored").collect()] == ["2"]
+    counts = {r["days"]: r["reviews"] for r in R.lookback_counts(scored, AS_OF).collect()}
+    assert counts == {d: 0 if d < 14 else 4 for d in range(7, 141, 7)}
+
+
 def test_rule_filter_reaches_the_scan(spark, tmp_path):
     make_reviews(spark, [dict(app_id=1, recommendationid="1", language="english")]).write.parquet(str(tmp_path / "r"))
     stored = spark.read.parquet(str(tmp_path / "r"))
@@ -199,7 +224,6 @@ def test_page(spark):
 def test_split_and_phrases(spark):
     texts = spark.createDataFrame([("a AND b",), ("frozenset({'a', 'b'})",), ("",), (None,), ("'a', \"b\",",)], "t string")
     assert [r[0] for r in texts.select(split_items(F.col("t"))).collect()] == [["a", "b"], ["a", "b"], [], [], ["a", "b"]]
-    assert [R.split_tags(r["t"]) for r in texts.collect()] == [["a", "b"], ["a", "b"], [], [], ["a", "b"]]
     expected = {
         "gameplay_3": "rated the gameplay 3/5", "monetizationModel_2": "rated the monetization model 2/5",
         "voted_up_False": "left a negative review", "playtime_heavy": "played over 50 hours",

@@ -6,34 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SPACES = " \t\n\x0b\x0c\r"
+
+
 def itemset_text(items: Column) -> Column:
     return F.array_join(F.sort_array(items), " AND ")
 
 
 def split_items(text: Column) -> Column:
     """Stored itemset text back to tags; also reads ``frozenset({...})`` text and commas."""
-    s = F.trim(F.coalesce(text, F.lit("")))
+    s = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     inner = F.regexp_extract(s, r"(?s)\{(.*)\}", 1)
     parts = F.when(s.startswith("frozenset"), F.split(inner, ",")).otherwise(
         F.split(s, r"\s+AND\s+|,\s*")
     )
-    bare = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"""^['"]+|['"]+$""", ""))
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.btrim(p, F.lit(SPACES)), r"""^['"]+|['"]+$""", ""))
     return F.filter(bare, lambda p: p != "")
 
 
-def proper_subset_masks(items: Column) -> Column:
-    """Bit masks of every non-empty proper subset; null for fewer than two items."""
-    top = F.call_function("shiftleft", F.lit(1).cast("long"), F.size(items)) - F.lit(2)
-    return F.when(F.size(items) >= 2, F.sequence(F.lit(1).cast("long"), top))
-
-
-def subset(items: Column, mask: Column, inside: bool = True) -> Column:
-    """The items whose bit is set in ``mask`` (or not set, with ``inside=False``)."""
-    def chosen(_item: Column, position: Column) -> Column:
-        return F.call_function("getbit", mask, position) == F.lit(1 if inside else 0)
-
-    return F.filter(items, chosen)
-
-
 def is_hardware_only(items: Column) -> Column:
     return F.forall(items, lambda i: i.startswith("hw_"))

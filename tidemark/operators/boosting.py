@@ -28,7 +28,8 @@ from tidemark.session import cut_lineage
 
 CUT_EVERY = 5
 FEATURES = [*LEVEL_FEATURES, "pct_change", *REVIEW_FEATURES, *CALENDAR_FEATURES, "weekend_boost_ratio"]
-LARGE = 1e12
+# A change from a zero level is infinite; trees only see that it exceeds every finite change.
+INFINITE_CHANGE = 1e300
 SEPARATOR = "\x1f"
 
 
@@ -80,7 +81,9 @@ def feature_array(rule_names: list[str]) -> Column:
     fixed = [
         (F.col(c) / scale if c in LEVEL_FEATURES else F.col(c).cast("double")) for c in FEATURES
     ]
-    bounded = F.array(*[F.least(c, F.lit(LARGE)) for c in fixed])
+    at = FEATURES.index("pct_change")
+    fixed[at] = F.when(fixed[at] == F.lit(float("inf")), F.lit(INFINITE_CHANGE)).otherwise(fixed[at])
+    bounded = F.array(*fixed)
     if not rule_names:
         return bounded
     names = F.split(F.lit(SEPARATOR.join(rule_names)), SEPARATOR)

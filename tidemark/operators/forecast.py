@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,23 +118,31 @@ def recursion(
 
 
 def forecast_days(
-    model: CapacityModel, matrix: DataFrame, days: int = 30, safety_buffer: float = 1.0,
-    training_lags: bool = True,
+    model: CapacityModel, matrix: DataFrame, days: int | None = 30, safety_buffer: float = 1.0,
+    training_lags: bool = True, horizons: DataFrame | None = None,
 ) -> DataFrame:
     """``app_id, date, predicted_mean_concurrent, step`` for the days after each app's last row.
 
     Each predicted log-ratio, clipped to ±2, moves the level that the next step starts from. The
     reported value alone is raised by ``exp(step * residual variance / 2)`` and the buffer. With
     ``training_lags`` lags and rolling values keep the meaning they had in training; without, lag 1
-    is the current level itself and the remaining features stay as they were.
+    is the current level itself and the remaining features stay as they were. ``horizons`` gives
+    ``app_id, steps`` where apps differ; finished apps leave the recursion.
     """
-    state = cut_lineage(start_state(matrix, model))
+    started = start_state(matrix, model)
+    steps = F.lit(days) if horizons is None else F.col("steps")
+    state = cut_lineage((started if horizons is None else started.join(horizons, "app_id")).withColumn("steps", steps))
+    longest = state.agg(F.max("steps")).first()[0] or 0
     advance = recursion(model, safety_buffer, training_lags)
-    for step in range(1, days + 1):
+    done = []
+    for step in range(1, longest + 1):
         state = advance(state)
-        if step % CUT_EVERY == 0 or step == days:
+        if step % CUT_EVERY == 0 or step == longest:
             state = cut_lineage(state)
-    return state.select("app_id", F.explode("path").alias("p")).select(
+            done.append(state.filter(F.col("steps") <= F.col("step")).select("steps", "app_id", "path"))
+            state = state.filter(F.col("steps") > F.col("step"))
+    paths = reduce(DataFrame.unionByName, done, state.limit(0).select("steps", "app_id", "path"))
+    return paths.select("app_id", "steps", F.explode("path").alias("p")).filter("p.step <= steps").select(
         "app_id", "p.date", "p.predicted_mean_concurrent", "p.step"
     )
 

@@ -50,11 +50,10 @@ def daily_kpis(observations: DataFrame) -> DataFrame:
     return with_trend(aggregate_days(dated.filter(F.col("date").isNotNull())))
 
 
-def missing_days(kpis: DataFrame, stored: DataFrame, max_days: int | None = None) -> DataFrame:
-    """Days not stored yet, the newest ``max_days`` per app (at most the history cap)."""
-    limit = HISTORY_DAYS if max_days is None else min(max_days, HISTORY_DAYS)
+def missing_days(kpis: DataFrame, stored: DataFrame, max_days: int | None = HISTORY_DAYS) -> DataFrame:
+    """Days not stored yet, the newest ``max_days`` per app; all of them with ``None``."""
     fresh = kpis.join(stored.select("app_id", "date"), ["app_id", "date"], "left_anti")
-    return newest_days(fresh, limit)
+    return fresh if max_days is None else newest_days(fresh, max_days)
 
 
 def newest_days(days: DataFrame, n: int) -> DataFrame:

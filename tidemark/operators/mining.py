@@ -16,6 +16,7 @@ its group, so a group holding a third of all rows just becomes more blocks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import islice
 from typing import Iterator
 
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.itemsets import is_hardware_only, itemset_text, proper_subset_masks, subset
+from tidemark.functions.itemsets import is_hardware_only, itemset_text
 from tidemark.schemas import RULE_METRICS
 from tidemark.session import cut_lineage
 from tidemark.skew import attach_by_group
@@ -114,15 +115,23 @@ def _locally_frequent(block: pd.DataFrame) -> Iterator[tuple[list[str], int]]:
 
 
 def _count_in_block(block: pd.DataFrame, named: pd.DataFrame) -> list[int]:
+    """Weights of the named itemsets; neighbours in item order share the baskets of their common prefix."""
     names, holds = _as_matrix(block["items"])
     columns = dict(zip(names, holds))
     absent = np.zeros(len(block), dtype=bool)
     weight = block["weight"].to_numpy(dtype=np.int64)
-    counts = []
-    for items in named["items"]:
-        inside = np.logical_and.reduce([columns.get(i, absent) for i in items])
-        counts.append(int(weight[inside].sum()))
-    return counts
+    wanted = [list(items) for items in named["items"]]
+    counts, path, inside = np.zeros(len(wanted), dtype=np.int64), [], [~absent]
+    for k in sorted(range(len(wanted)), key=wanted.__getitem__):
+        shared = 0
+        while shared < min(len(path), len(wanted[k])) and path[shared] == wanted[k][shared]:
+            shared += 1
+        del path[shared:], inside[shared + 1:]
+        for item in wanted[k][shared:]:
+            path.append(item)
+            inside.append(inside[-1] & columns.get(item, absent))
+        counts[k] = weight[inside[-1]].sum()
+    return counts.tolist()
 
 
 def frequent_itemsets(
@@ -137,14 +146,16 @@ def frequent_itemsets(
     weighted = cut_lineage(distinct_baskets(baskets, group))
     sizes = group_sizes(weighted, group)
     # Blocks share the group's threshold by their weight. Empty baskets are in no block, so the
-    # shares sum to no more than the threshold and no frequent itemset is missed.
-    n_blocks = F.ceil(F.col("n_distinct") / F.lit(block_rows))
+    # shares sum to no more than the threshold and no frequent itemset is missed. Their number follows
+    # the reduced baskets: rare items that keep baskets apart are gone by then.
+    reduced = cut_lineage(kept_baskets(weighted, sizes, group, min_support).drop("n_distinct"))
+    extents = reduced.groupBy(*group).agg(
+        F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("n_blocks"), F.sum("weight").alias("kept_weight")
+    )
     blocks = cut_lineage(
-        kept_baskets(weighted, sizes, group, min_support)
-        .withColumn("n_blocks", n_blocks.cast("int"))
-        .withColumn("block", F.pmod(F.xxhash64("items"), n_blocks).cast("int"))
+        attach_by_group(reduced, extents, group, ["items"])
+        .withColumn("block", F.pmod(F.xxhash64("items"), F.col("n_blocks")).cast("int"))
         .withColumn("min_count", min_count(min_support))
-        .drop("n_distinct")
     )
     extent = blocks.agg(
         F.count_distinct(*group, "block").alias("blocks"), F.max("n_blocks").alias("largest")
@@ -156,18 +167,22 @@ def frequent_itemsets(
     fields = {f.name: f.dataType.simpleString() for f in blocks.schema}
     group_ddl = ", ".join(f"`{g}` {fields[g]}" for g in group)
 
+    measures = ["block_weight", "n_blocks", "kept_weight", "min_count", "n_baskets"]
+
     def name_itemsets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = pd.concat(list(batches), ignore_index=True)
-        constant = {c: block[c].iloc[0] for c in [*group, "n_blocks", "min_count", "n_baskets"]}
+        constant = {c: block[c].iloc[0] for c in [*group, "n_blocks", "kept_weight", "min_count", "n_baskets"]}
+        constant["block_weight"] = int(block["weight"].sum())
         found = _locally_frequent(block)
         while part := list(islice(found, OUTPUT_ROWS)):
             result = pd.DataFrame({"items": [i for i, _ in part], "block_count": [c for _, c in part]})
-            yield result.assign(**constant)[[*group, "items", "block_count", "n_blocks", "min_count", "n_baskets"]]
+            yield result.assign(**constant)[[*group, "items", "block_count", *measures]]
 
     named = cut_lineage(
         blocks.repartition(partitions, *group, "block").groupBy(*group, "block").applyInPandas(
             name_itemsets,
-            f"{group_ddl}, items array<string>, block_count long, n_blocks int, min_count long, n_baskets long",
+            f"{group_ddl}, items array<string>, block_count long, block_weight long, n_blocks int, kept_weight long, "
+            "min_count long, n_baskets long",
         )
     )
     columns = [*group, "items", F.col("block_count").alias("support_count"), "n_baskets"]
@@ -185,8 +200,12 @@ def frequent_itemsets(
             block_count=_count_in_block(block, wanted)
         )
 
-    wanted = of_many.select(*group, "items", "n_blocks", "min_count", "n_baskets").distinct().withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    # A block that did not name an itemset holds less of it than the block's share of the threshold.
+    most = F.sum("block_count") + F.col("min_count") * (F.col("kept_weight") - F.sum("block_weight")) / F.col("n_baskets")
+    wanted = (
+        of_many.groupBy(*group, "items", "n_blocks", "kept_weight", "min_count", "n_baskets").agg(most.alias("most"))
+        .filter(F.col("most") >= F.col("min_count") - F.lit(1e-3)).drop("most", "kept_weight")
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     )
     counted = (
         blocks.filter(F.col("n_blocks") > 1).repartition(partitions, *group, "block").groupBy(*group, "block")
@@ -203,33 +222,52 @@ def frequent_itemsets(
     return of_one_block.unionByName(totals.select(*of_one_block.columns))
 
 
+def _confident_splits(itemsets: DataFrame, group: list[str], min_confidence: float) -> DataFrame:
+    """``group, items, support_count, n_baskets, antecedents, __ant, consequents`` of all confident splits.
+
+    Consequents grow item by item. Confidence only falls as they grow, so only those that were confident
+    are extended, and an itemset is never expanded into all its splits.
+    """
+    keyed = cut_lineage(itemsets.select(
+        *group, F.col("items").alias("antecedents"), F.col("support_count").alias("__ant")
+    ))
+    found: list[DataFrame] = []
+    sides = (
+        itemsets.filter((F.size("items") >= 2) & ~is_hardware_only(F.col("items")))
+        .withColumn("consequents", F.explode(F.transform("items", lambda i: F.array(i))))
+    )
+    while True:
+        split = sides.withColumn("antecedents", F.array_except("items", "consequents"))
+        confident = cut_lineage(
+            split.join(keyed, [*group, "antecedents"])
+            .filter(F.col("support_count") / F.col("__ant") >= F.lit(float(min_confidence)))
+            .select(*itemsets.columns, "antecedents", "__ant", "consequents")
+        )
+        found.append(confident)
+        longer = confident.filter(F.size("antecedents") >= 2)
+        if longer.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        # items are sorted, so every consequent is reached once, from its own beginning
+        sides = longer.drop("antecedents", "__ant").withColumn(
+            "__next", F.explode(F.filter("items", lambda i: i > F.element_at("consequents", -1)))
+        ).withColumn("consequents", F.concat("consequents", F.array("__next"))).drop("__next").filter(
+            F.size("consequents") < F.size("items")
+        )
+
+
 def association_rules(
     itemsets: DataFrame, group: Sequence[str], min_confidence: float, min_lift: float | None
 ) -> DataFrame:
-    """Every split of every frequent itemset into antecedents and consequents, with its metrics.
+    """Every confident split of every frequent itemset into antecedents and consequents, with its metrics.
 
     Ratios are taken from the counts, so two rules with equal lift compare as equal. Hardware-only
     itemsets are left out before they are split: all their rules would be hardware-only.
     """
     group = list(group)
-    keyed = itemsets.select(*group, F.col("items").alias("__side"), F.col("support_count").alias("__count"))
-    splits = (
-        itemsets.filter((F.size("items") >= 2) & ~is_hardware_only(F.col("items")))
-        .withColumn("__mask", F.explode(proper_subset_masks(F.col("items"))))
-        .withColumn("antecedents", subset(F.col("items"), F.col("__mask")))
-    )
     n = F.col("n_baskets")
     confidence = F.col("support_count") / F.col("__ant")
-    confident = (
-        splits.join(
-            keyed.select(*group, F.col("__side").alias("antecedents"), F.col("__count").alias("__ant")),
-            [*group, "antecedents"],
-        )
-        .filter(confidence >= F.lit(float(min_confidence)))
-        .withColumn("consequents", subset(F.col("items"), F.col("__mask"), inside=False))
-    )
-    sided = confident.join(
-        keyed.select(*group, F.col("__side").alias("consequents"), F.col("__count").alias("__cons")),
+    sided = _confident_splits(itemsets, group, min_confidence).join(
+        itemsets.select(*group, F.col("items").alias("consequents"), F.col("support_count").alias("__cons")),
         [*group, "consequents"],
     )
     ant, cons, both = F.col("__ant"), F.col("__cons"), F.col("support_count")
@@ -287,18 +325,23 @@ def prune_redundant(
 ) -> DataFrame:
     """Drops a rule whose confidence gains too little over one with fewer antecedents.
 
-    Each rule looks up its own smaller antecedents by equality, so rules sharing a consequent
-    are never paired with each other. Dropped rules still serve as a base for others.
+    A base rule meets only the rules of its consequents that hold its rarest antecedent, and is then tested for
+    containment. Dropped rules still serve as a base for others.
     """
     group = list(group)
-    key = [*group, "antecedents", "consequents"]
-    bases = rules.select(
-        *group, "consequents", F.col("antecedents").alias("__base"), F.col("confidence").alias("__base_confidence")
+    key, anchored = [*group, "antecedents", "consequents"], [*group, "consequents", "__item"]
+    held = rules.select(*key, "confidence", F.explode("antecedents").alias("__item"))
+    rarest = attach_by_group(
+        held, held.groupBy(*anchored).agg(F.count("*").alias("__n")), anchored, ["antecedents"]
+    ).groupBy(*key, "confidence").agg(F.min(F.struct("__n", "__item")).alias("__a"))
+    bases = rarest.select(
+        *group, "consequents", F.col("__a.__item").alias("__item"), F.col("antecedents").alias("__base"),
+        F.col("confidence").alias("__base_confidence"),
     )
     redundant = (
-        rules.select(*key, "confidence", F.explode(proper_subset_masks(F.col("antecedents"))).alias("__mask"))
-        .withColumn("__base", subset(F.col("antecedents"), F.col("__mask")))
-        .join(bases, [*group, "consequents", "__base"])
+        held.join(bases, anchored)
+        .filter(F.size("__base") < F.size("antecedents"))
+        .filter(F.size(F.array_except("__base", "antecedents")) == 0)
         .filter(F.col("confidence") - F.col("__base_confidence") < F.lit(float(min_improvement)))
         .select(*key).distinct()
     )
@@ -324,10 +367,10 @@ def mine(
     deduplicate_mode: str = "both",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """The full mining pass per group; both sides come out as ``"a AND b"`` text."""
+    """The full mining pass per group, highest lift first; both sides come out as ``"a AND b"`` text."""
     itemsets = cut_lineage(frequent_itemsets(baskets, group, min_support, block_rows))
     rules = association_rules(itemsets, group, min_confidence, min_lift)
-    return rules_as_text(prune_rules(rules, group, deduplicate_mode), group)
+    return by_lift(rules_as_text(prune_rules(rules, group, deduplicate_mode), group))
 
 
 def rules_as_text(rules: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +14,11 @@ from tidemark.operators.boosting import BoostParams, fit
 from tidemark.operators.matrix import daily_matrix
 from tidemark.operators.status import params_for_size
 from tidemark.operators.tuning import app_sizes, retune_decision, run_tuning_cycle
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, side_by_side
 from tidemark.sources.exports import export_forecast
 from tidemark.sources.tables import TableStore
 
 FORECAST_DAYS = 45
-MAX_DAYS = 365
 
 
 def stored_matrix(store: TableStore, run_id: str | None = None) -> DataFrame:
@@ -55,28 +55,26 @@ def pools(params: DataFrame) -> list[str]:
 
 
 def forecast_apps(store: TableStore, as_of: datetime, days: int = FORECAST_DAYS, safety_buffer: float = 1.0) -> DataFrame:
-    """Forecasts every app from ``as_of`` on for ``days`` (1 to 365) days.
+    """Forecasts every app from ``as_of`` on for ``days`` days.
 
-    The newest stored day has no known successor and is no matrix row, so the recursion starts
-    before ``as_of`` and its horizon is extended by the gap.
+    The newest stored day has no known successor and is no matrix row, so an app's recursion starts before
+    ``as_of`` and runs its own gap longer. Apps leave it at their own end: one whose data ended long ago adds steps
+    for itself only. Pools are fitted side by side.
     """
-    days = min(max(1, int(days)), MAX_DAYS)
     matrix = cut_lineage(stored_matrix(store))
     params = cut_lineage(resolve_params(store, matrix))
     today = F.lit(as_of.date())
-    parts = []
-    for text in pools(params):
+
+    def forecast_pool(text: str) -> DataFrame:
         pool = cut_lineage(matrix.join(params.filter(F.col("params") == text).select("app_id"), "app_id", "left_semi"))
-        oldest_end = pool.groupBy("app_id").agg(F.max("date").alias("last")).agg(F.min("last")).first()[0]
-        horizon = days + max(0, (as_of.date() - oldest_end).days)
-        model = fit(pool, from_json_text(text))
-        parts.append(FC.forecast_days(model, pool, horizon, safety_buffer))
-    if not parts:
-        return store.spark.createDataFrame([], "app_id long, date date, predicted_mean_concurrent double, step int")
-    forecast = parts[0]
-    for part in parts[1:]:
-        forecast = forecast.unionByName(part)
-    return FC.visible_days(forecast, today, days)
+        horizons = pool.groupBy("app_id").agg(
+            (F.lit(max(1, int(days))) + F.greatest(F.date_diff(today, F.max("date")), F.lit(0))).alias("steps")
+        )
+        return FC.forecast_days(fit(pool, from_json_text(text)), pool, None, safety_buffer, horizons=horizons)
+
+    parts = side_by_side([lambda t=text: forecast_pool(t) for text in pools(params)])
+    none = store.spark.createDataFrame([], "app_id long, date date, predicted_mean_concurrent double, step int")
+    return FC.visible_days(reduce(DataFrame.unionByName, parts, none), today, days)
 
 
 def forecast_and_export(store: TableStore, as_of: datetime, root: str, days: int = FORECAST_DAYS) -> str:

@@ -17,24 +17,23 @@ from tidemark.sources.tables import TableStore
 DAY = 86400
 
 
-def update_kpis(store: TableStore, observations: DataFrame, max_days: int | None = None) -> None:
-    """Adds the days that are not stored yet, the newest ``max_days`` (at most 140) per app."""
+def update_kpis(store: TableStore, observations: DataFrame, max_days: int | None = K.HISTORY_DAYS) -> None:
+    """Adds the days that are not stored yet, the newest ``max_days`` per app, or all with ``None``."""
     days = K.daily_kpis(observations)
     store.insert_or_replace("daily_kpis", K.missing_days(days, store.read("daily_kpis"), max_days))
 
 
 def update_reviews(
-    store: TableStore, raw: DataFrame, scores: DataFrame, as_of: int, max_days: int | None = None,
+    store: TableStore, raw: DataFrame, scores: DataFrame, as_of: int, max_days: int = R.MAX_LOOKBACK_DAYS,
     num_reviews: int = 250, top_n: int = 125, seed: int = 42,
 ) -> None:
-    """Flattens, drops known ids, samples each day, attaches the scores and stores the result.
+    """Flattens, drops known ids, samples each of the last ``max_days`` days, attaches the scores and stores the result.
 
     ``scores`` holds ``app_id, recommendationid, scored`` with the score answer as JSON text.
     """
-    days = min(max_days or R.MAX_LOOKBACK_DAYS, R.MAX_LOOKBACK_DAYS)
     last = datetime.fromtimestamp(as_of, UTC).date()
     flat = flatten_reviews(raw, as_of)
-    fresh = R.new_reviews_of_days(flat, store.read("reviews"), F.date_sub(F.lit(last), days - 1), F.lit(last))
+    fresh = R.new_reviews_of_days(flat, store.read("reviews"), F.date_sub(F.lit(last), max_days - 1), F.lit(last))
     sampled = R.sample_days(fresh, num_reviews, top_n, seed)
     scored = R.with_scores(sampled.join(scores, ["app_id", "recommendationid"]), "scored")
     store.insert_or_ignore("reviews", scored)
@@ -43,10 +42,10 @@ def update_reviews(
 def daily_cycle(
     store: TableStore, observations: DataFrame, raw: DataFrame, scores: DataFrame, as_of: int, export_root: str,
     params: mining_jobs.MiningParams = mining_jobs.MiningParams(), kpi_days: int | None = 7,
-    review_days: int | None = 1, n_trials: int = 150, candidates=None, forecast_days: int = 45,
+    review_days: int = 1, n_trials: int = 150, candidates=None, forecast_days: int = 45,
     skip_tuning: bool = False,
 ) -> str:
-    """KPIs, reviews, mining, tuning check, forecast; the initial load is the same with no day limits."""
+    """KPIs, reviews, mining, tuning check, forecast; the initial load is the same with larger day limits."""
     now = datetime.fromtimestamp(as_of, UTC).replace(tzinfo=None)
     update_kpis(store, observations, kpi_days)
     update_reviews(store, raw, scores, as_of, review_days)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.kpis import daily_kpis, newest_days
+from tidemark.operators.kpis import daily_kpis
 from tidemark.session import use_utc
 
 # 2001-08-01 00:00:00 UTC, the end of the order history; stands for "now" in every query.
@@ -96,11 +96,6 @@ def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_kpis(observations(spark, sf_dir))
 
 
-def recent_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest days up to the history cap of the KPI update."""
-    return newest_days(kpis(spark, sf_dir), 140)
-
-
 def hourly_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct users per event type and hour, as player observations."""
     events = table(spark, sf_dir, "events")

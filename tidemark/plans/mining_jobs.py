@@ -98,10 +98,12 @@ def run_current(store: TableStore, as_of: int, params: MiningParams = MiningPara
 
 def run_historical(
     store: TableStore, as_of: int, params: MiningParams = MiningParams(),
-    window_days: int = 14, step_days: int = 7,
+    window_days: int = 14, step_days: int = 7, app_ids: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Mines all windows of all apps in one pass; a run carries the end of its window as its time."""
+    """Mines all windows of all apps, or of ``app_ids``, in one pass; a run carries the end of its window as its time."""
     reviews, kpis = store.read("reviews"), store.read("daily_kpis")
+    if app_ids is not None:
+        reviews = reviews.filter(F.col("app_id").isin(list(app_ids)))
     baskets, windows = historical_baskets(reviews, kpis, as_of, params.min_reviews, window_days, step_days)
     keys = ["app_id", "window_no"]
     rules = cut_lineage(
@@ -118,10 +120,10 @@ def run_historical(
 
 
 def remine(store: TableStore, app_ids: Sequence[int], as_of: int, params: MiningParams = MiningParams()) -> DataFrame:
-    """Clears the rules and runs of the apps, then mines their history again."""
+    """Clears the rules and runs of the apps, then mines their history again; other apps are left alone."""
     store.clear("association_rules", app_ids)
     store.clear("mining_runs", app_ids)
-    return run_historical(store, as_of, params)
+    return run_historical(store, as_of, params, app_ids=app_ids)
 
 
 def report(rules: DataFrame, runs: DataFrame) -> DataFrame:

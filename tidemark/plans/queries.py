@@ -196,9 +196,18 @@ def review_daily_sample_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("review_daily_sample")
+@register("review_daily_sample", O.with_ctes(
+    {**O.review_ctes(),
+     "dated": """SELECT app_id, recommendationid, CAST(epoch_ms(timestamp_updated::BIGINT * 1000) AS DATE) AS day,
+                        weighted_vote_score, timestamp_updated, md5(recommendationid || '|42') AS h FROM reviews""",
+     "ranked": """SELECT *, row_number() OVER (PARTITION BY app_id, day
+                        ORDER BY weighted_vote_score DESC, timestamp_updated DESC, recommendationid DESC) AS place FROM dated""",
+     "rest": """SELECT *, row_number() OVER (PARTITION BY app_id, day ORDER BY h, recommendationid) AS drawn
+                FROM ranked WHERE place > 2"""},
+    """SELECT app_id, recommendationid, day FROM ranked WHERE place <= 2
+       UNION ALL SELECT app_id, recommendationid, day FROM rest WHERE drawn <= 3"""))
 def review_daily_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five a day, two by score and three at random (random by hash, so rows-only)."""
+    """Five a day, two by score and three at random, drawn by a digest of the id."""
     reviews = I.reviews(spark, sf_dir).withColumn("timestamp_created", F.col("timestamp_updated"))
     fresh = R.new_reviews_of_days(reviews, reviews.limit(0), F.lit("2001-01-01"), F.lit(I.AS_OF_DAY))
     return R.sample_days(fresh, num_reviews=5, top_n=2).select("app_id", "recommendationid", "day")
@@ -239,12 +248,11 @@ def window_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("lookback_counts", O.with_ctes(
     {**O.review_ctes(), "tried": f"""
-        SELECT r.app_id, d.days, count(*) AS reviews
-        FROM (SELECT unnest(range(7, 141, 7)) AS days) d
-        JOIN reviews r ON r.timestamp_updated >= {I.AS_OF} - d.days * {DAY}
-        GROUP BY r.app_id, d.days"""},
-    """SELECT app_id, days, reviews FROM tried
-       QUALIFY reviews > coalesce(lag(reviews) OVER (PARTITION BY app_id ORDER BY days), 0)"""))
+        SELECT a.app_id, d.days, count(r.app_id) AS reviews FROM (SELECT DISTINCT app_id FROM reviews) a
+        CROSS JOIN (SELECT unnest(range(7, 141, 7)) AS days) d
+        LEFT JOIN reviews r ON r.app_id = a.app_id AND r.timestamp_updated >= {I.AS_OF} - d.days * {DAY}
+        GROUP BY a.app_id, d.days"""},
+    "SELECT app_id, days, reviews FROM tried"))
 def lookback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lookback_counts(I.reviews(spark, sf_dir), I.AS_OF)
 
@@ -449,11 +457,36 @@ def reviews_matching_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("app_id", "antecedents", "consequents")
         .withColumn("rule_id", F.sha2(F.concat_ws("|", "antecedents", "consequents"), 256))
     )
-    baskets = R.review_baskets(I.reviews(spark, sf_dir), I.kpis(spark, sf_dir))
-    counts = R.matching_rules(rules, baskets).groupBy("app_id", "rule_id").agg(F.count("*").alias("matching"))
-    return rules.join(counts, ["app_id", "rule_id"]).drop("rule_id")
+    tagged = R.tagged_reviews(I.reviews(spark, sf_dir), I.kpis(spark, sf_dir))
+    return rules.join(R.matching_rule_counts(rules, tagged), ["app_id", "rule_id"]).drop("rule_id")
+
+
+# Rules with tags that no review can hold and with all hardware fields.
+ODD_RULES = [
+    ("lang_english AND contains_unknown_tag", "voted_up_True"), ("hw_cpu_vendor_GenuineIntel", "lang_english"),
+    ("hw_gpu_Unknown AND hw_resolution_Unknown", "gameplay_3"), ("nothing_known", "neither"), ("lang_klingon", "gameplay_1"),
+    ("hw_os_Windows_11", "PLAYTIME_casual"),
+]
+
+
+@register("reviews_matching_odd_rules", O.with_ctes(
+    O.review_ctes(), """
+    SELECT app_id, 0 AS rule, count(*) AS matching FROM reviews WHERE language = 'english' AND voted_up GROUP BY app_id
+    UNION ALL SELECT app_id, 1, count(*) FROM reviews WHERE hw_cpu_vendor = 'GenuineIntel' AND language = 'english' GROUP BY app_id
+    UNION ALL SELECT app_id, 2, count(*) FROM reviews WHERE hw_gpu = 'Unknown' AND hw_resolution = 'Unknown' AND gameplay = 3 GROUP BY app_id
+    UNION ALL SELECT app_id, 3, count(*) FROM reviews GROUP BY app_id
+    UNION ALL SELECT app_id, 5, count(*) FROM reviews
+              WHERE replace(hw_os, ' ', '_') = 'Windows_11' AND playtime_at_review >= 120 AND playtime_at_review < 600 GROUP BY app_id"""))
+def reviews_matching_odd_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reviews = I.reviews(spark, sf_dir)
+    every = F.array(*[F.struct(F.lit(str(i)).alias("rule_id"), F.lit(a).alias("antecedents"), F.lit(c).alias("consequents"))
+                      for i, (a, c) in enumerate(ODD_RULES)])
+    rules = reviews.select("app_id").distinct().select("app_id", F.inline(every))
+    counts = R.matching_rule_counts(rules, R.tagged_reviews(reviews, I.kpis(spark, sf_dir)))
+    return counts.select("app_id", F.col("rule_id").cast("int").alias("rule"), "matching")
 
 
+# The fields of a review card.
 CARD_FLAGS = {
     "voted_up": "voted_up", "steam_purchase": "steam_purchase", "received_for_free": "received_for_free",
     "primarily_steam_deck": "steam_deck", "isUseful": "is_useful", "containsPositiveAspects": "has_positive",
@@ -740,42 +773,39 @@ def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.select("app_id", "metric", *rounded(["baseline", "tuned", "delta", "pct_improvement"], 4))
 
 
-def recent_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix over the newest 140 days of every app, the history the KPI update keeps."""
-    return X.daily_matrix(I.recent_kpis(spark, sf_dir), I.reviews(spark, sf_dir))
-
-
 def quick_params():
-
+    """The model of the registered queries: few, shallow trees; every stored day of every app is fitted."""
     return B.BoostParams(n_estimators=6, max_depth=3, learning_rate=0.3)
 
 
 @register("forecast_model")
 def forecast_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted log-ratios of the pooled model on its training rows."""
-    matrix = cut_lineage(recent_matrix(spark, sf_dir))
+    matrix = cut_lineage(matrix_of(spark, sf_dir))
     model = B.fit(matrix, quick_params())
     return model.predict_matrix(matrix).select("app_id", "date", "target_y", "prediction")
 
 
 @register("forecast_days")
 def forecast_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = cut_lineage(recent_matrix(spark, sf_dir))
-    return FC.forecast_days(B.fit(matrix, quick_params()), matrix, days=14)
+    matrix = cut_lineage(matrix_of(spark, sf_dir))
+    return FC.forecast_days(B.fit(matrix, quick_params()), matrix, days=45)
 
 
 @register("forecast_benchmark")
 def forecast_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return FC.benchmark(recent_matrix(spark, sf_dir), quick_params(), eval_days=14)[0]
+    """Fitted on the older 70 % of the days, evaluated over the forecast horizon of 45 days behind them."""
+    return FC.benchmark(matrix_of(spark, sf_dir), quick_params(), eval_days=45)[0]
 
 
 @register("tune")
 def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two candidates over the walk-forward folds of the newest 100 rows."""
-
-
-    slow = replace(quick_params(), n_estimators=2, learning_rate=0.05)
-    return T.tune_tier(recent_matrix(spark, sf_dir), 100, [slow, replace(slow, learning_rate=0.5)])
+    """Two drawn candidates, with fewer trees, over the walk-forward folds of each app's first tier."""
+    matrix = cut_lineage(matrix_of(spark, sf_dir))
+    first = T.size_tiers(T.app_sizes(matrix)).agg(F.min("tier_size")).first()[0]
+    _, most = T.fold_plan(spark, first)
+    drawn = [replace(c, n_estimators=4, max_depth=3) for c in T.draw_candidates(2, most)]
+    return T.tune_tier(matrix, first, drawn)
 
 
 # --- Streams --------------------------------------------------------------------------------

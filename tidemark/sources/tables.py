@@ -26,7 +26,7 @@ def merge_rows(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def unseen_rows(new: DataFrame, stored: DataFrame, keys: Sequence[str], *order) -> DataFrame:
-    """Insert-or-ignore: rows whose key is not stored, the first of every key in the batch.
+    """Insert-or-ignore: rows whose key is not stored, the first of every key in the batch, by hash without an order.
 
     Only the key columns of the stored table are read, and only for the apps of the batch.
     """
@@ -34,7 +34,7 @@ def unseen_rows(new: DataFrame, stored: DataFrame, keys: Sequence[str], *order)
     if "app_id" in keys:
         known = known.join(new.select("app_id").distinct(), "app_id", "left_semi")
     fresh = new.join(known, list(keys), "left_anti")
-    return first_per_key(fresh, keys, *order) if order else fresh.dropDuplicates(list(keys))
+    return first_per_key(fresh, keys, *(order or [F.xxhash64(*fresh.columns)]))
 
 
 class TableStore:

@@ -32,14 +32,17 @@ def without_repeats(reviews: DataFrame, delay: str = REVIEW_DELAY) -> DataFrame:
 
 
 def ingest_reviews(reviews: DataFrame, store: TableStore, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch goes through insert-or-ignore, so a repeated batch stores nothing twice."""
+    """Each micro-batch goes through insert-or-ignore, so a repeated batch stores nothing twice.
+
+    The store decides what is new; no watermark does, so reviews that arrive late are kept.
+    """
     def store_batch(batch: DataFrame, _batch_id: int) -> None:
-        batch.persist()  # read twice below; without it the state would be read twice as well
-        TableStore(batch.sparkSession, store.root).insert_or_ignore("reviews", batch.drop("event_time"))
+        batch.persist()  # read twice below
+        TableStore(batch.sparkSession, store.root).insert_or_ignore("reviews", batch)
         batch.unpersist()
 
     return (
-        without_repeats(reviews).writeStream.foreachBatch(store_batch)
+        reviews.writeStream.foreachBatch(store_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
