@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,16 +24,18 @@ def update_kpis(store: TableStore, observations: DataFrame, max_days: int | None
 
 
 def update_reviews(
-    store: TableStore, raw: DataFrame, scores: DataFrame, as_of: int, max_days: int = R.MAX_LOOKBACK_DAYS,
+    store: TableStore, raw: DataFrame, scores: DataFrame, as_of: int, max_days: int | None = R.MAX_LOOKBACK_DAYS,
     num_reviews: int = 250, top_n: int = 125, seed: int = 42,
 ) -> None:
-    """Flattens, drops known ids, samples each of the last ``max_days`` days, attaches the scores and stores the result.
+    """Flattens, drops known ids, samples each of the last ``max_days`` days (all days with ``None``), attaches the
+    scores and stores the result.
 
     ``scores`` holds ``app_id, recommendationid, scored`` with the score answer as JSON text.
     """
     last = datetime.fromtimestamp(as_of, UTC).date()
     flat = flatten_reviews(raw, as_of)
-    fresh = R.new_reviews_of_days(flat, store.read("reviews"), F.date_sub(F.lit(last), max_days - 1), F.lit(last))
+    first = F.lit(date.min) if max_days is None else F.date_sub(F.lit(last), max_days - 1)
+    fresh = R.new_reviews_of_days(flat, store.read("reviews"), first, F.lit(last))
     sampled = R.sample_days(fresh, num_reviews, top_n, seed)
     scored = R.with_scores(sampled.join(scores, ["app_id", "recommendationid"]), "scored")
     store.insert_or_ignore("reviews", scored)
@@ -42,10 +44,10 @@ def update_reviews(
 def daily_cycle(
     store: TableStore, observations: DataFrame, raw: DataFrame, scores: DataFrame, as_of: int, export_root: str,
     params: mining_jobs.MiningParams = mining_jobs.MiningParams(), kpi_days: int | None = 7,
-    review_days: int = 1, n_trials: int = 150, candidates=None, forecast_days: int = 45,
+    review_days: int | None = 1, n_trials: int = 150, candidates=None, forecast_days: int = 45,
     skip_tuning: bool = False,
 ) -> str:
-    """KPIs, reviews, mining, tuning check, forecast; the initial load is the same with larger day limits."""
+    """KPIs, reviews, mining, tuning check, forecast; the initial load is the same with no day limits."""
     now = datetime.fromtimestamp(as_of, UTC).replace(tzinfo=None)
     update_kpis(store, observations, kpi_days)
     update_reviews(store, raw, scores, as_of, review_days)

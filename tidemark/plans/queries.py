@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +22,12 @@ from tidemark.operators import status as S
 from tidemark.operators import tuning as T
 from tidemark.plans import inputs as I
 from tidemark.plans import oracles as O
-from tidemark.plans.mining_jobs import historical_baskets, report
+from tidemark.plans.ingest import update_kpis
+from tidemark.plans.mining_jobs import MiningParams, historical_baskets, remine, report
 from tidemark.schemas import PILLARS, RAW_REVIEW, RULE_METRICS
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import exports, tables
+from tidemark.sources.raw import read_player_pages
 from tidemark.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,6 +108,31 @@ def kpi_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi_output(K.missing_days(days, days.filter(F.dayofmonth("date") % 3 == 0)))
 
 
+@register("player_pages", O.with_ctes(O.kpi_ctes(), f"SELECT {O.KPI_OUTPUT} FROM kpis"))
+def player_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations saved as JSON pages of an app and month, read back, updated twice into a store."""
+    month = F.substring("added", 1, 7)
+    pages = I.observations(spark, sf_dir).groupBy("app_id", month.alias("nextCursor")).agg(
+        F.collect_list(F.struct("players", "added")).alias("history"))
+    folder = scratch_path(spark, "player-pages")
+    pages.write.json(f"{folder}/pages")
+    read = read_player_pages(spark, f"{folder}/pages")
+    store = tables.TableStore(spark, f"{folder}/store")
+    update_kpis(store, read.filter(F.substring("added", 9, 2) <= "20"), None)
+    store.insert_or_replace("daily_kpis", K.daily_kpis(read))
+    return kpi_output(store.read("daily_kpis"))
+
+
+@register("forecast_export", O.with_ctes(
+    O.kpi_ctes(), "SELECT app_id, strftime(date, '%Y-%m-%d') AS day, round(mean_concurrent, 6) AS predicted_mean FROM kpis"))
+def forecast_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels written as a forecast CSV, its latest copy read back."""
+    levels = I.kpis(spark, sf_dir).withColumnRenamed("mean_concurrent", "predicted_mean_concurrent")
+    latest = exports.export_forecast(levels, scratch_path(spark, "export"), datetime(2001, 8, 1))
+    read = exports.normalise_forecast(spark.read.option("header", True).csv(latest))
+    return read.select(F.col("app_id").cast("long").alias("app_id"), "day", *rounded(["predicted_mean"]))
+
+
 # --- Reviews --------------------------------------------------------------------------------
 
 FLATTEN_ORACLE = """
@@ -325,6 +353,16 @@ def mining_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_output(M.mine(clean_review_baskets(spark, sf_dir), APP, SUPPORT, CONFIDENCE, LIFT), "app_id")
 
 
+LOW_SUPPORT = 0.1
+LOW_MINED = {**O.basket_ctes(), **O.itemset_ctes(O.REVIEW_GROUP, LOW_SUPPORT), **O.rule_ctes(CONFIDENCE, LIFT), **O.prune_ctes()}
+
+
+@register("mining_pass_low_support", O.with_ctes(LOW_MINED, f"SELECT grp AS app_id, {O.RULE_OUTPUT} FROM pruned", True))
+def mining_pass_low_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pass at half the support, with several times the itemsets."""
+    return rule_output(M.mine(clean_review_baskets(spark, sf_dir), APP, LOW_SUPPORT, CONFIDENCE, LIFT), "app_id")
+
+
 WINDOW_MINED = {
     **O.basket_ctes(), **O.window_ctes(WINDOW_MIN_REVIEWS),
     **O.itemset_ctes(
@@ -352,6 +390,26 @@ def mine_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Runs and reports -----------------------------------------------------------------------
 
 
+@register("remined_runs", O.with_ctes(
+    WINDOW_MINED,
+    """SELECT grp // 100 AS app_id, CASE WHEN grp // 100 = 1 THEN 'mined' ELSE 'kept' END AS state,
+              CASE WHEN grp // 100 = 1 THEN count(*) ELSE 1 END AS rules FROM pruned GROUP BY grp""", True))
+def remined_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store whose runs hold one old rule each; app 1 is mined again, the other apps stay as they were."""
+    store = tables.TableStore(spark, scratch_path(spark, "remine"))
+    store.append("reviews", I.reviews(spark, sf_dir))
+    store.append("daily_kpis", I.kpis(spark, sf_dir))
+    rules, runs = window_runs(spark, sf_dir)
+    old = rules.groupBy("app_id", "run_id").agg(F.min("rule_id").alias("rule_id")).withColumns(
+        {"antecedents": F.lit("old"), "consequents": F.lit("rule")})
+    store.append("association_rules", old)
+    store.append("mining_runs", runs.join(old.select("app_id", "run_id"), ["app_id", "run_id"], "left_semi"))
+    remine(store, [1], I.AS_OF, MiningParams(WINDOW_SUPPORT, CONFIDENCE, LIFT, "both", WINDOW_MIN_REVIEWS))
+    state = F.when(F.max("antecedents") == "old", F.lit("kept")).otherwise(F.lit("mined"))
+    found = store.read("association_rules").groupBy("app_id", "run_id").agg(state.alias("state"), F.count("*").alias("rules"))
+    return found.join(store.read("mining_runs").select("app_id", "run_id"), ["app_id", "run_id"]).select("app_id", "state", "rules")
+
+
 def window_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The window mining as rows of ``association_rules`` and ``mining_runs``."""
     mined, windows = mined_windows(spark, sf_dir)
