@@ -15,10 +15,10 @@ from __future__ import annotations
 import io
 import json
 import os
-import re
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ MAGIC = b"BITPLANE"
 BLOCK_IDS, FILE_IDS = 65_536, 64 << 20
 #: Code points encoded at once, words that a task remembers, rows read at once.
 BLOCK_CHARS, KNOWN_WORDS, READ_IDS = 4_000_000, 300_000, 4 << 20
+#: Words of letters that go to the library in one text.
+TOGETHER = 100
 MANIFEST = "part int, seq int, uri string, n_docs long, n_ids long"
 
 
@@ -147,27 +149,62 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_CUT = re.compile("[ \n]+")
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """(word, stops and commas behind it); words of A-Z and a-z in small letters."""
+    stem = word.rstrip(".,")
+    # a last letter whose small form ends in a mark would take the stops into its own piece
+    if not stem[-1:].lower().isalnum():
+        return word, ""
+    return stem.lower() if stem.isascii() and stem.isalpha() else stem, word[len(stem):]
 
 
 class WordEncoder:
     """Ids of whole texts from ids of words.
 
     The vocabulary drops white space and merges inside words only, so a text's ids are those of its parts between
-    spaces and line feeds, one after another. Every distinct part goes to the library once per block.
+    spaces and line feeds, one after another. A part that ends in a letter or digit and stops or commas splits there,
+    as the vocabulary's own pattern does, and A-Z are its small letters. Every distinct remainder goes to the library
+    once, however its parts are written. A Python worker keeps what it knows for its next task.
     """
 
     def __init__(self, path: str, known_words: int = KNOWN_WORDS):
         self.tokenizer, self.known_words = _tokenizer(path), known_words
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        parts = [_CUT.split(text) for text in texts]
+        parts = [text.replace("\n", " ").split(" ") for text in texts]
         if len(self.known) > self.known_words:
             self.known.clear()
-        fresh = list(set().union(*parts).difference(self.known))
-        for word, found in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, "<u4").tobytes()
+        fresh = list(set(chain.from_iterable(parts)).difference(self.known))
+        cuts = [_stem(word) for word in fresh]
+        stems = list({x for cut in cuts for x in cut}.difference(self.stems))
+        if len(self.stems) > self.known_words:
+            self.stems.clear()
+            stems = list({x for cut in cuts for x in cut})
+        plain = [x for x in stems if x.lower().isalpha()]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        alone = [x for x in stems if not x.lower().isalpha()]
+        for group, found in zip(groups, self._library([" ".join(g) for g in groups]), strict=True):
+            # words of letters are one piece each, and pieces are numbered
+            owner, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
+            ends = np.append(np.flatnonzero(np.diff(owner)) + 1, len(ids)).tolist()
+            if len(ends) != len(group):
+                alone += group
+                continue
+            self.stems.update((x, ids[a:b].tobytes()) for x, a, b in zip(group, [0, *ends], ends, strict=False))
+        for stem, found in zip(alone, self._library(alone), strict=True):
+            self.stems[stem] = np.array(found.ids, "<u4").tobytes()
+        for word, (stem, rest) in zip(fresh, cuts, strict=True):
+            self.known[word] = self.stems[stem] + self.stems[rest]
         get, end = self.known.__getitem__, struct.pack("<I", end_id)
         return [np.frombuffer(b"".join(map(get, own)) + end, "<u4") for own in parts]
 
@@ -184,7 +221,7 @@ def write_tokens(
         F.spark_partition_id().alias("part"), "id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, writer, uri, seq, done = WordEncoder(tokenizer_path), None, "", 0, []
+        encoder, writer, uri, seq, done = _encoder(tokenizer_path), None, "", 0, []
         part = 0
 
         def close():
