@@ -1,10 +1,10 @@
 """Byte-level BPE by merge replay over blocks of the corpus.
 
 The texts of a block are cut into pieces by the vocabulary's pattern, and the block's distinct pieces that are no
-token by themselves are laid side by side. An inverted index from the rank of a pair to its positions then replays
+token by themselves are laid side by side, some thousands at a time. An inverted index from the rank of a pair to its positions then replays
 the merges in rank order: every merge visits just the positions listed for it and looks up only the pairs that its
 two neighbours form. Where a merge makes a pair of lower rank, the rest of that piece waits for it, so every piece
-ends as if it had been encoded alone. Pieces seen before are taken from a bounded table. Blocks are bounded by
+ends as if it had been encoded alone. Pieces seen before are taken from bounded tables. Blocks are bounded by
 their text, not by the partition, and nothing is shuffled.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each; special
@@ -15,7 +15,9 @@ null array of ids decodes to no bytes; an id outside the vocabulary, or null, is
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import with_fields
 
-#: Code points of text in a block and pieces that a task remembers between blocks.
-BLOCK_CHARS, KNOWN_PIECES = 4_000_000, 300_000
+#: Code points of text in a block; pieces and pairs that a worker remembers between blocks.
+BLOCK_CHARS, KNOWN_PIECES, KNOWN_PAIRS = 4_000_000, 400_000, 500_000
+#: Distinct pieces whose merges are replayed together: their positions stay in the cache.
+REPLAY_WORDS = 8_000
 
 
 @lru_cache(maxsize=4)
@@ -46,27 +50,41 @@ def token_bytes(path: str) -> list[bytes]:
     return table
 
 
-def replay_merges(words: list[bytes], ranks: dict[bytes, int], table: list[bytes]) -> list[list[int]]:
-    """Ids of each word, all words merged together in rank order."""
-    if not words:
-        return []
-    tokens = [ranks[bytes((x,))] for x in chain.from_iterable(words)]
-    owner = [k for k, word in enumerate(words) for _ in word]
-    end = len(tokens)
-    after = [i + 1 if i + 1 < end and owner[i + 1] == owner[i] else -1 for i in range(end)]
-    before = [i - 1 if i and owner[i - 1] == owner[i] else -1 for i in range(end)]
-    known: dict[tuple[int, int], int] = {}
-
-    def rank_of(left: int, right: int) -> int:
-        found = known.get((left, right))
-        if found is None:
-            found = known[left, right] = ranks.get(table[left] + table[right], -1)
+class PairRanks(dict):
+    """Ranks of pairs of tokens, ``left << 32 | right``, looked up in the vocabulary once; -1 if they do not merge."""
+
+    def __init__(self, ranks: dict[bytes, int], table: list[bytes]):
+        super().__init__()
+        self.ranks, self.table = ranks, table
+
+    def __missing__(self, pair: int) -> int:
+        found = self[pair] = self.ranks.get(self.table[pair >> 32] + self.table[pair & 0xFFFFFFFF], -1)
         return found
 
+
+def replay_merges(words: list[bytes], pairs: PairRanks) -> list[list[int]]:
+    """Ids of each word, all words merged together in rank order."""
+    single = [pairs.ranks[bytes((x,))] for x in range(256)] if words else []
+    tokens: list[int] = []
+    owner: list[int] = []
+    after: list[int] = []
+    before: list[int] = []
     places: dict[int, list[int]] = {}
-    for i in range(end):
-        if after[i] >= 0 and (rank := rank_of(tokens[i], tokens[i + 1])) >= 0:
-            places.setdefault(rank, []).append(i)
+    for k, word in enumerate(words):
+        first, n = len(tokens), len(word)
+        tokens += [single[x] for x in word]
+        owner += [k] * n
+        after += range(first + 1, first + n)
+        after.append(-1)
+        before.append(-1)
+        before += range(first, first + n - 1)
+        for i in range(first, first + n - 1):
+            rank = pairs[tokens[i] << 32 | tokens[i + 1]]
+            if rank >= 0:
+                if rank in places:
+                    places[rank].append(i)
+                else:
+                    places[rank] = [i]
     queue = list(places)
     heapq.heapify(queue)
     while queue:
@@ -74,65 +92,126 @@ def replay_merges(words: list[bytes], ranks: dict[bytes, int], table: list[bytes
         if rank not in places:
             continue
         waiting, paused = [], -1
-        for i in sorted(places.pop(rank)):
+        listed = places.pop(rank)
+        if len(listed) > 1:
+            listed.sort()
+        for i in listed:
             if owner[i] == paused:
                 waiting.append(i)
                 continue
             j = after[i]
-            if tokens[i] < 0 or j < 0 or rank_of(tokens[i], tokens[j]) != rank:
+            if j < 0 or tokens[i] < 0 or pairs[tokens[i] << 32 | tokens[j]] != rank:
                 continue
             tokens[i], tokens[j] = rank, -1
-            after[i] = after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if right < 0 or (made := rank_of(tokens[left], tokens[right])) < 0:
-                    continue
-                if made not in places:
-                    places[made] = []
-                    heapq.heappush(queue, made)
-                places[made].append(left)
-                if made < rank:
-                    paused = owner[i]
+            right = after[i] = after[j]
+            left = before[i]
+            if right >= 0:
+                before[right] = i
+                made = pairs[rank << 32 | tokens[right]]
+                if made >= 0:
+                    if made in places:
+                        places[made].append(i)
+                    else:
+                        places[made] = [i]
+                        heapq.heappush(queue, made)
+                    if made < rank:
+                        paused = owner[i]
+            if left >= 0:
+                made = pairs[tokens[left] << 32 | rank]
+                if made >= 0:
+                    if made in places:
+                        places[made].append(left)
+                    else:
+                        places[made] = [left]
+                        heapq.heappush(queue, made)
+                    if made < rank:
+                        paused = owner[i]
         if waiting:
             places.setdefault(rank, []).extend(waiting)
             heapq.heappush(queue, rank)
-    ids: list[list[int]] = [[] for _ in words]
-    for i, token in enumerate(tokens):
-        if token >= 0:
-            ids[owner[i]].append(token)
+    ids: list[list[int]] = []
+    first = 0
+    for word in words:
+        ids.append([x for x in tokens[first : first + len(word)] if x >= 0])
+        first += len(word)
     return ids
 
 
+# White space beside a space: only there does a piece reach over a space, or end before one.
+_RUN = re.compile(r" \s|\s ")
+
+
 class BlockEncoder:
-    """Encodes blocks of texts; one per task."""
+    """Encodes blocks of texts; a Python worker keeps one, and what it knows, for its next task.
+
+    A single space between other characters always begins a piece and nothing looks back over it, so a text
+    is taken as its parts between spaces, each with the space before it. The pattern cuts every distinct part
+    once; texts with runs of white space around a space are one part.
+    """
 
     def __init__(self, path: str, pattern: str, known_pieces: int = KNOWN_PIECES):
-        self.ranks, self.table = read_ranks(path), token_bytes(path)
+        self.ranks = read_ranks(path)
+        self.pairs = PairRanks(self.ranks, token_bytes(path))
         self.cut = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        self.spaced: dict[str, bytes] = {}  # parts without their leading space
+        self.pieces: dict[str, bytes] = {}
+        # what is not asked for while the newer half fills is forgotten
+        self.old_spaced: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.known_pieces = known_pieces
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ends of the texts, ids of all of them)."""
-        pieces = [self.cut.findall(text) for text in texts]
-        if len(self.known) > self.known_pieces:
-            self.known.clear()
-        known, fresh = self.known, []
-        for piece in set(chain.from_iterable(pieces)).difference(known):
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """Ids of the parts, as 32-bit numbers: their pieces that are new are merged together."""
+        cuts = [self.cut.findall(part) for part in parts]
+        if 2 * len(self.pieces) > self.known_pieces:
+            self.old_pieces, self.pieces = self.pieces, {}
+        if len(self.pairs) > KNOWN_PAIRS:
+            self.pairs.clear()
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small lists, and no cycles among them
+        fresh = []
+        for piece in set(chain.from_iterable(cuts)).difference(self.pieces):
+            if piece in self.old_pieces:
+                self.pieces[piece] = self.old_pieces[piece]
+                continue
             data = piece.encode("utf-8")
             whole = self.ranks.get(data)
-            if whole is not None:
-                known[piece] = [whole]
-            else:
+            if whole is None:
                 fresh.append((piece, data))
-        for (piece, _), ids in zip(fresh, replay_merges([d for _, d in fresh], self.ranks, self.table), strict=True):
-            known[piece] = ids
-        get = known.__getitem__
-        rows = [np.fromiter(chain.from_iterable(map(get, own)), np.int32) for own in pieces]
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int64)
-        return ends, np.concatenate(rows) if rows else np.empty(0, np.int32)
+            else:
+                self.pieces[piece] = whole.to_bytes(4, "little")
+        for first in range(0, len(fresh), REPLAY_WORDS):
+            own = fresh[first : first + REPLAY_WORDS]
+            for (piece, _), ids in zip(own, replay_merges([d for _, d in own], self.pairs), strict=True):
+                self.pieces[piece] = np.array(ids, "<i4").tobytes()
+        if collecting:
+            gc.enable()
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, cut)) for cut in cuts]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ends of the texts, ids of all of them)."""
+        split = [[text] if _RUN.search(text) else text.split(" ") for text in texts]
+        if 2 * len(self.spaced) > self.known_pieces:
+            self.old_spaced, self.spaced = self.spaced, {}
+        heads = [parts[0] for parts in split]
+        fresh = []
+        for part in set(chain.from_iterable(parts[1:] for parts in split)).difference(self.spaced):
+            if part in self.old_spaced:
+                self.spaced[part] = self.old_spaced[part]
+            else:
+                fresh.append(part)
+        found = self._learn([*heads, *(" " + part for part in fresh)])
+        self.spaced.update(zip(fresh, found[len(heads):], strict=True))
+        get = self.spaced.__getitem__
+        rows = [head + b"".join(map(get, parts[1:])) for head, parts in zip(found, split, strict=False)]
+        ends = np.cumsum([0, *(len(row) // 4 for row in rows)], dtype=np.int64)
+        return ends, np.frombuffer(b"".join(rows), "<i4")
+
+
+@lru_cache(maxsize=2)
+def block_encoder(path: str, pattern: str) -> BlockEncoder:
+    return BlockEncoder(path, pattern)
 
 
 def blocks_of(texts: list[str], block_chars: int) -> Iterator[tuple[int, int]]:
@@ -154,7 +233,7 @@ def encode(
     docs = docs.select(*[c for c in docs.columns if c != "ids"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BlockEncoder(ranks_path, pattern)
+        encoder = block_encoder(ranks_path, pattern)
         for batch in batches:
             texts = [x or "" for x in batch.column(text_col).to_pylist()]
             for first, end in blocks_of(texts, block_chars):
