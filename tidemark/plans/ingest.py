@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import UTC, date, datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ def update_reviews(
     """
     last = datetime.fromtimestamp(as_of, UTC).date()
     flat = flatten_reviews(raw, as_of)
-    first = F.lit(date.min) if max_days is None else F.date_sub(F.lit(last), max_days - 1)
+    first = F.lit("0001-01-01").cast("date") if max_days is None else F.date_sub(F.lit(last), max_days - 1)
     fresh = R.new_reviews_of_days(flat, store.read("reviews"), first, F.lit(last))
     sampled = R.sample_days(fresh, num_reviews, top_n, seed)
     scored = R.with_scores(sampled.join(scores, ["app_id", "recommendationid"]), "scored")
