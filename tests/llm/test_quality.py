@@ -66,6 +66,18 @@ def test_good_documents_stay_and_junk_goes(spark):
     assert junk.filter("kept").count() <= 0.1 * junk.count()
 
 
+def test_threshold_keeps_junk_out_at_the_stated_loss(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").join(labels, "doc_id", "left_semi").repartition(16)
+    trusted = labels.filter("quality = 1 AND toxic = 0").select("doc_id")
+    out = Q.quality_rules(docs, trusted).filter("NOT base_failed").select("doc_id", "kept").join(labels, "doc_id").collect()
+    good = [r["kept"] for r in out if r["quality"] == 1 and r["toxic"] == 0]
+    junk = [r["kept"] for r in out if r["quality"] == 0]
+    assert len(good) - sum(good) <= Q.QUANTILE * len(good)
+    assert junk and not any(junk)
+
+
 def test_odd_rows(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long")
     out = Q.quality_rules(odd, none)

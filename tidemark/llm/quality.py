@@ -3,7 +3,7 @@
 Words and word pairs of a text are hashed into a fixed number of buckets. Two multinomials over the buckets are
 counted: one from the trusted target, ``TRUSTED_ROWS`` labelled texts at most, one from all texts of the corpus. A text's score is the mean
 log-ratio of its n-grams, so long and short texts compare. The threshold is a quantile of the trusted texts' own
-scores, less a margin, and every text is held against it. The model is one array of ``buckets`` numbers whatever
+scores, so the share of them that it loses is stated; every text is held against it. The model is one array of ``buckets`` numbers whatever
 the corpus, so it travels with the plan as a literal; texts are scored where they lie, without a shuffle.
 
 Defined results: a null text has no words, fails the base rules and is rejected. Repeated rows are judged each.
@@ -23,8 +23,9 @@ from tidemark.llm.common import WHITE, written, whole_text
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 BUCKETS = 1 << 13
-#: Share of trusted texts that may lie below the threshold before the margin, and the margin in nats an n-gram.
-QUANTILE, MARGIN = 0.001, 0.03
+#: Share of trusted texts that may be lost below the threshold, and nats an n-gram that it is lowered by. Good and bad
+#: texts lie some hundredths of a nat apart, so nothing is taken off.
+QUANTILE, MARGIN = 0.001, 0.0
 SMOOTHING = 1.0
 #: Labelled documents that the target is counted from, at most; the corpus is counted whole.
 TRUSTED_ROWS = 20_000
