@@ -78,6 +78,12 @@ def test_threshold_keeps_junk_out_at_the_stated_loss(spark):
     assert junk and not any(junk)
 
 
+def test_threshold_takes_in_trusted_texts_outside_the_sample(spark, documents):
+    trusted = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").filter("quality = 1").select("doc_id")
+    found = Q.quality_rules(documents, trusted, trusted_rows=10).join(trusted, "doc_id").filter("NOT base_failed").collect()
+    assert len(found) > 20 and all(r["kept"] for r in found)  # a thousandth of so few is none
+
+
 def test_odd_rows(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long")
     out = Q.quality_rules(odd, none)

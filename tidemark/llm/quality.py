@@ -2,9 +2,10 @@
 
 Words and word pairs of a text are hashed into a fixed number of buckets. Two multinomials over the buckets are
 counted: one from the trusted target, ``TRUSTED_ROWS`` labelled texts at most, one from all texts of the corpus. A text's score is the mean
-log-ratio of its n-grams, so long and short texts compare. The threshold is a quantile of the trusted texts' own
-scores, so the share of them that it loses is stated; every text is held against it. The model is one array of ``buckets`` numbers whatever
-the corpus, so it travels with the plan as a literal; texts are scored where they lie, without a shuffle.
+log-ratio of its n-grams, so long and short texts compare. The threshold is a quantile of the scores of all trusted
+texts, so the share of them that it loses is stated; every text is held against it. The model is one array of ``buckets`` numbers whatever
+the corpus, so it travels with the plan as a literal; texts are scored where they lie, without a shuffle, and written
+with their counts and score.
 
 Defined results: a null text has no words, fails the base rules and is rejected. Repeated rows are judged each.
 Without trusted texts the base rules alone decide. A label row for an unknown document, or with nulls, is no
@@ -27,7 +28,7 @@ BUCKETS = 1 << 13
 #: texts lie some hundredths of a nat apart, so nothing is taken off.
 QUANTILE, MARGIN = 0.001, 0.0
 SMOOTHING = 1.0
-#: Labelled documents that the target is counted from, at most; the corpus is counted whole.
+#: Labelled documents that the target is counted from, at most; the corpus and the threshold take in all.
 TRUSTED_ROWS = 20_000
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULT = [*COUNTS, "base_failed", "llr", "kept"]
@@ -138,10 +139,14 @@ def llr(hashes: Column, weights: list[float]) -> Column:
     return F.when(F.size(hashes) > 0, total / (2 * F.size(hashes) - 1))
 
 
+def distinct_ids(trusted_ids: DataFrame) -> DataFrame:
+    """``__trusted_id``: the distinct ids without null."""
+    return trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted_id")).na.drop().distinct()
+
+
 def trusted_sample(trusted_ids: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     """``__trusted_id``: at most ``rows`` distinct ids, those of lowest hash."""
-    ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("__trusted_id")).na.drop().distinct()
-    return ids.orderBy(F.xxhash64("__trusted_id"), "__trusted_id").limit(rows)
+    return distinct_ids(trusted_ids).orderBy(F.xxhash64("__trusted_id"), "__trusted_id").limit(rows)
 
 
 def quality_rules(
@@ -158,9 +163,11 @@ def quality_rules(
     rows = with_counts(docs, text_col)
     if not weights:
         return rows.withColumns({"llr": F.lit(None).cast("double"), "kept": ~F.col("base_failed")}).drop("__hashes")
-    sound = with_counts(docs.select(id_col, text_col).join(ids, is_trusted, "left_semi"), text_col).filter(~F.col("base_failed"))
-    low = sound.select(llr(F.col("__hashes"), weights).alias("llr")).agg(
-        F.percentile_approx("llr", quantile, 100_000).alias("low")).first()["low"]
+    # judged once and written: what reads a few columns or filters by them repeats no counting
+    rows = written(rows.withColumn("llr", llr(F.col("__hashes"), weights)).drop("__hashes"), "quality-rows")
+    # the scores of every trusted document meet all ids, whose number no bound holds; texts stay where they are
+    sound = rows.filter(~F.col("base_failed")).select(F.col(id_col).alias("__id"), "llr").join(
+        distinct_ids(trusted_ids), F.col("__id") == F.col("__trusted_id"))
+    low = sound.agg(F.percentile_approx("llr", quantile, 100_000).alias("low")).first()["low"]
     limit = F.lit(None).cast("double") if low is None else F.lit(low - margin)
-    verdict = ~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True))
-    return rows.withColumn("llr", llr(F.col("__hashes"), weights)).withColumn("kept", verdict).drop("__hashes")
+    return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= limit, F.lit(True)))
