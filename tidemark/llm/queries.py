@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, line_dedup, near_dups, ngram_lm, pii, quality, token_files, url_filters, warc
+from tidemark.llm import bpe, collocations, decontamination, line_dedup, near_dups, ngram_lm, pii, quality, token_files, url_filters, warc
 from tidemark.llm.common import table, whole_text, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,9 +106,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_line_dedup, op2_warc, op3_personal_data, op4_byte_bpe, op5_token_files, op6_quality_rules, op7_near_duplicates,
-    op8_url_filters, op9_ngram_lm, op10_decontamination)}
+    op8_url_filters, op9_ngram_lm, op10_decontamination, op11_collocations)}
 
 # --- Oracles ------------------------------------------------------------------------------------
 
@@ -180,7 +184,26 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
        sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
+COLLOCATIONS_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS ws FROM p),
+s AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)),
+f AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS g, count(*) AS n FROM s GROUP BY ALL),
+sizes AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, g, n AS a, string_split(g, ' ') AS ws FROM f WHERE k > 1 AND n >= 100),
+cuts AS (SELECT c.lang, c.k, c.g, c.a, j, array_to_string(ws[1:j], ' ') AS x, array_to_string(ws[j + 1:], ' ') AS y
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c),
+weighed AS (SELECT cuts.*, l.n AS l, r.n AS r, z.n AS n, ((1000::HUGEINT * a * z.n) // (l.n::HUGEINT * r.n))::BIGINT AS score
+            FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = x JOIN f r ON r.lang = cuts.lang AND r.g = y
+            JOIN sizes z ON z.lang = cuts.lang),
+weakest AS (SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+own AS (SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = x.lang AND c.k > x.k AND 100 * c.a >= 100 * x.a
+            AND contains(' ' || c.g || ' ', ' ' || x.g || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM own QUALIFY rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL, "op2_warc": WARC_SQL, "op7_near_duplicates": NEAR_DUPLICATES_SQL,
     "op8_url_filters": URL_FILTERS_SQL, "op10_decontamination": DECONTAMINATION_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
 }
