@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, collocations, decontamination, line_dedup, near_dups, ngram_lm, pii, quality, token_files, url_filters, warc
+from tidemark.llm import (
+    bpe, collocations, decontamination, lexical_search, line_dedup, mixing, near_dups, ngram_lm, pii, quality, token_files,
+    url_filters, warc,
+)
 from tidemark.llm.common import table, whole_text, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,9 +113,19 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_line_dedup, op2_warc, op3_personal_data, op4_byte_bpe, op5_token_files, op6_quality_rules, op7_near_duplicates,
-    op8_url_filters, op9_ngram_lm, op10_decontamination, op11_collocations)}
+    op8_url_filters, op9_ngram_lm, op10_decontamination, op11_collocations,
+    op12_lexical_search, op13_mixing)}
 
 # --- Oracles ------------------------------------------------------------------------------------
 
@@ -202,8 +215,23 @@ own AS (SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang =
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
 FROM own QUALIFY rank <= 2000"""
 
+LEXICAL_SEARCH_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+             '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+corpus AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS terms FROM t WHERE len(ws) > 0),
+tf AS (SELECT row, doc_id, len(ws) AS len, term, count(*) AS tf FROM (SELECT row, doc_id, ws, unnest(ws) AS term FROM t) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")},
+            '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+parts AS (SELECT item_id, row, doc_id, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::DOUBLE))::BIGINT
+            * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len * docs) // terms))) AS part
+          FROM asked JOIN df USING (term) JOIN tf USING (term), corpus),
+scored AS (SELECT item_id, row, doc_id, sum(part)::BIGINT AS score FROM parts GROUP BY ALL HAVING score > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored QUALIFY rank <= 50"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL, "op2_warc": WARC_SQL, "op7_near_duplicates": NEAR_DUPLICATES_SQL,
     "op8_url_filters": URL_FILTERS_SQL, "op10_decontamination": DECONTAMINATION_SQL,
-    "op11_collocations": COLLOCATIONS_SQL,
+    "op11_collocations": COLLOCATIONS_SQL, "op12_lexical_search": LEXICAL_SEARCH_SQL,
 }
