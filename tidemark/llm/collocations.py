@@ -36,7 +36,7 @@ from tidemark.skew import attach_by_group
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Bytes of text in a block; merged suffixes of a range; suffixes that the bounds are taken from, at most.
-BLOCK_BYTES, RANGE_ROWS, SAMPLE_ROWS = 8 << 20, 1 << 20, 1 << 20
+BLOCK_BYTES, RANGE_ROWS, SAMPLE_ROWS = 8 << 20, 1 << 20, 1 << 18
 #: The characters that end a piece. One of them stands for all.
 PIECE_ENDS, END = b".,;:!?\n\x0b\x0c\r", b"."
 _TABLE = bytes.maketrans(
@@ -166,13 +166,14 @@ def range_bounds(suffixes: DataFrame, max_words: int, range_rows: int, sample_ro
                 rows, _ = _unpacked(data, max_words)
                 # as many of each block as its share asks for, at even distances
                 taken = rows[np.unique(np.linspace(0, len(rows) - 1, min(each, len(rows))).astype(int))]
-                yield pd.DataFrame({"s": list(taken), "weight": len(rows) / len(taken)})
+                yield pd.DataFrame({"taken": [np.ascontiguousarray(taken).tobytes()], "weight": [len(rows) / len(taken)]})
 
     chosen = suffixes.filter(F.pmod(F.xxhash64("block"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = chosen.mapInPandas(run, "s array<long>, weight double").toPandas()
-    rows = np.array(sample["s"].tolist(), np.int64)
+    sample = chosen.mapInPandas(run, "taken binary, weight double").collect()  # 40 bytes a suffix
+    taken = [np.frombuffer(r["taken"], np.int64).reshape(-1, max_words) for r in sample]
+    rows, weights = np.concatenate(taken), np.repeat([r["weight"] for r in sample], [len(t) for t in taken])
     order = np.lexsort(rows.T[::-1])
-    reached = np.cumsum(sample["weight"].to_numpy()[order])
+    reached = np.cumsum(weights[order])
     cuts = np.searchsorted(reached, reached[-1] * np.arange(1, parts) / parts)
     return np.unique(rows[order][cuts], axis=0)
 
