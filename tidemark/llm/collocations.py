@@ -36,7 +36,7 @@ from tidemark.skew import attach_by_group
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Bytes of text in a block; merged suffixes of a range; suffixes that the bounds are taken from, at most.
-BLOCK_BYTES, RANGE_ROWS, SAMPLE_ROWS = 8 << 20, 1 << 20, 1 << 18
+BLOCK_BYTES, RANGE_ROWS, SAMPLE_ROWS = 4 << 20, 1 << 19, 1 << 18
 #: The characters that end a piece. One of them stands for all.
 PIECE_ENDS, END = b".,;:!?\n\x0b\x0c\r", b"."
 _TABLE = bytes.maketrans(
@@ -46,7 +46,8 @@ BLOCK = "block string, lang string, words array<string>, counts array<long>, pla
 
 def block_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
     """(distinct words, places): ``places`` holds 1 + the place of each word, and 0 where a piece or text ends."""
-    joined = pc.binary_join(pa.array([texts.to_pylist()], pa.list_(pa.string())), END.decode())[0].as_buffer().to_pybytes()
+    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    joined = pc.binary_join(whole, END.decode())[0].as_buffer().to_pybytes()
     found = joined.translate(_TABLE).replace(END, b" " + END + b" ").split()
     numbers: defaultdict[bytes, int] = defaultdict(count().__next__)
     numbers[END]  # its number is 0
@@ -103,22 +104,25 @@ def frequent_words(blocks: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
 
 
 def _packed(suffixes: np.ndarray, counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(suffixes.T.tobytes() + counts.astype("<i8").tobytes())
+    """Columns one after another; ids have 32 bits where they fit, as the last byte says."""
+    width = 4 if not len(suffixes) or suffixes.max() < 1 << 31 else 8
+    columns = (suffixes.T.astype(f"<i{width}"), counts.astype("<i8"), np.array([width], np.uint8))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
 
 
 def _unpacked(data: bytes, max_words: int) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // (8 * (max_words + 1))
-    columns = np.frombuffer(raw, "<i8").reshape(max_words + 1, n)
-    return columns[:-1].T, columns[-1]
+    n = (len(raw) - 1) // (raw[-1] * max_words + 8)
+    columns = np.frombuffer(raw, f"<i{raw[-1]}", n * max_words).reshape(max_words, n)
+    return columns.T, np.frombuffer(raw, "<i8", n, raw[-1] * n * max_words)
 
 
 def block_suffixes(places: np.ndarray, ids: np.ndarray, max_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct suffixes in order, a row of ids each with zeros behind its end; how often each occurs)."""
-    text = np.concatenate([ids[places], np.zeros(max_words, np.int64)])
+    text = np.concatenate([ids[places], np.zeros(max_words, ids.dtype)])
     n = len(places)
     starts = np.flatnonzero((text[:n] > 0) & (text[1 : n + 1] > 0))
-    rows = np.empty((len(starts), max_words), np.int64)
+    rows = np.empty((len(starts), max_words), ids.dtype)
     going = np.ones(len(starts), bool)
     for k in range(max_words):
         going &= text[starts + k] > 0
@@ -143,6 +147,7 @@ def suffix_blocks(blocks: DataFrame, words: DataFrame, max_words: int = MAX_WORD
             for row in batch.itertuples(index=False):
                 ids = np.zeros(row.n_words + 1, np.int64)
                 ids[[k["place"] + 1 for k in row.known]] = [k["id"] for k in row.known]
+                ids = ids.astype(np.int32) if ids.max() < 1 << 31 else ids
                 places = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.places), np.uint32)
                 suffixes, counts = block_suffixes(places, ids, max_words)
                 if len(suffixes):
@@ -166,7 +171,7 @@ def range_bounds(suffixes: DataFrame, max_words: int, range_rows: int, sample_ro
                 rows, _ = _unpacked(data, max_words)
                 # as many of each block as its share asks for, at even distances
                 taken = rows[np.unique(np.linspace(0, len(rows) - 1, min(each, len(rows))).astype(int))]
-                yield pd.DataFrame({"taken": [np.ascontiguousarray(taken).tobytes()], "weight": [len(rows) / len(taken)]})
+                yield pd.DataFrame({"taken": [np.ascontiguousarray(taken, np.int64).tobytes()], "weight": [len(rows) / len(taken)]})
 
     chosen = suffixes.filter(F.pmod(F.xxhash64("block"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = chosen.mapInPandas(run, "taken binary, weight double").collect()  # 40 bytes a suffix
@@ -234,7 +239,6 @@ def phrase_counts(
         for batch in batches:
             for data in batch["suffixes"]:
                 rows, counts = _unpacked(data, max_words)
-                rows = np.ascontiguousarray(rows)
                 ends = [0, *(_below(rows, bound) for bound in sent.value), len(rows)]
                 parts = [k for k in range(len(ends) - 1) if ends[k] < ends[k + 1]]
                 yield pd.DataFrame({
@@ -244,6 +248,7 @@ def phrase_counts(
         part = int(key[0])
         unpacked = [_unpacked(data, max_words) for data in group["suffixes"]]
         rows, counts = np.concatenate([r for r, _ in unpacked]), np.concatenate([c for _, c in unpacked])
+        del unpacked
         cut = set()
         for bound in sent.value[max(0, part - 1) : part + 1].tolist():  # where this range begins and ends
             filled = bound[: bound.index(0)] if 0 in bound else bound
