@@ -77,11 +77,18 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             langs = batch.column("lang")
             for lang in pc.unique(langs).to_pylist():
                 texts = batch.column("text").filter(pc.equal(langs, lang))
-                waiting.setdefault(lang, []).append(texts)
-                size[lang] = size.get(lang, 0) + texts.nbytes
-                if size[lang] >= block_bytes:
-                    yield block_of(lang, waiting.pop(lang))
-                    size[lang] = 0
+                upto = np.cumsum(pc.binary_length(texts).to_numpy())
+                first = 0
+                while first < len(texts):
+                    # texts up to a full block, one at least
+                    space = block_bytes - size.get(lang, 0) + (upto[first - 1] if first else 0)
+                    end = max(first + 1, int(np.searchsorted(upto, space)) + 1)
+                    waiting.setdefault(lang, []).append(texts[first:end])
+                    size[lang] = size.get(lang, 0) + int(upto[min(end, len(upto)) - 1] - (upto[first - 1] if first else 0))
+                    if size[lang] >= block_bytes:
+                        yield block_of(lang, waiting.pop(lang))
+                        size[lang] = 0
+                    first = end
         for lang, texts in waiting.items():
             yield block_of(lang, texts)
 
