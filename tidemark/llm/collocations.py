@@ -2,8 +2,9 @@
 
 1. Blocks of texts of one language become numbers: each block has a dictionary of its own words and its text as places
    in it, with a zero at every sentence mark and text end.
-2. Words are counted over all blocks. The frequent ones get numbers, which go back to the blocks that hold them; every
-   other word becomes a zero, as no phrase that holds it can be frequent.
+2. Words are counted over all blocks, in shards by hash; a block sends each shard its words in one row. The frequent ones
+   get numbers, which go back to the blocks that hold them; every other word becomes a zero, as no phrase that holds it
+   can be frequent.
 3. A suffix is a word with up to ``max_words - 1`` words behind it in its piece. Equal suffixes of a block are merged
    with their count. Suffixes are routed by their leading words: ranges of the sorted suffixes, cut at bounds taken from
    a bounded sample of blocks, which decides only how even the ranges are. A frequent leading word is cut at its second
@@ -35,8 +36,9 @@ from tidemark.llm.common import LOWER, UPPER, written
 from tidemark.skew import attach_by_group
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
-#: Bytes of text in a block; merged suffixes of a range; suffixes that the bounds are taken from, at most.
-BLOCK_BYTES, RANGE_ROWS, SAMPLE_ROWS = 4 << 20, 1 << 19, 1 << 18
+#: Bytes of text in a block; distinct words of blocks in a shard; merged suffixes of a range; suffixes that the bounds are
+#: taken from, at most.
+BLOCK_BYTES, SHARD_WORDS, RANGE_ROWS, SAMPLE_ROWS = 4 << 20, 1 << 20, 1 << 19, 1 << 18
 #: The characters that end a piece. One of them stands for all.
 PIECE_ENDS, END = b".,;:!?\n\x0b\x0c\r", b"."
 _TABLE = bytes.maketrans(
@@ -95,19 +97,63 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     return written(rows.mapInArrow(run, BLOCK), "word-blocks")
 
 
-def frequent_words(blocks: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """A written table ``lang, word, n, id`` of the words that occur often enough; ``id`` counts them from 1."""
-    counted = (
-        blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-        .groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n")).filter(F.col("n") >= min_count)
-    )
-    # a number within the task and the task's own number: both are kept once they are written
-    within = F.monotonically_increasing_id()
-    tasks = written(counted.withColumns({"task": F.shiftright(within, 33), "place": within.bitwiseAND((1 << 33) - 1)}), "words")
-    sizes = tasks.groupBy("task").agg(F.count("*").alias("size"))  # a row per task
-    starts = sizes.select("task", (F.sum("size").over(Window.orderBy("task")) - F.col("size")).alias("start"))
-    return written(attach_by_group(tasks, starts, ["task"], ["place"]).select(
-        "lang", "word", "n", (F.col("start") + F.col("place") + 1).alias("id")), "frequent-words")
+def word_shards(blocks: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``lang, shard, block, words, places, counts``: the blocks' words by hash, a packed row per block and shard."""
+    held = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_shards = 1 + held // shard_words
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                words = np.array(row.words, object)
+                shard = pd.util.hash_array(words, categorize=False) % np.uint64(n_shards)
+                order = np.argsort(shard, kind="stable")
+                ends = np.append(np.flatnonzero(np.diff(shard[order])) + 1, len(order))
+                counts = np.array(row.counts, "<i8")
+                parts = [order[a:b] for a, b in zip([0, *ends], ends, strict=False) if a < b]
+                yield pd.DataFrame({
+                    "lang": row.lang, "shard": [int(shard[p[0]]) for p in parts], "block": row.block,
+                    "words": [" ".join(words[p]).encode() for p in parts],
+                    "places": [p.astype("<u4").tobytes() for p in parts], "counts": [counts[p].tobytes() for p in parts]})
+
+    return blocks.select("block", "lang", "words", "counts").mapInPandas(
+        run, "lang string, shard long, block string, words binary, places binary, counts binary")
+
+
+def frequent_words(blocks: DataFrame, min_count: int = MIN_COUNT, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Written tables of the words that occur often enough: ``lang, word, n, id`` with ids from 1, and ``block, start,
+    places, numbers``, a packed row per block and shard with the places of such words in the block's dictionary; the id of
+    each is ``start`` and its number.
+    """
+    def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        coded = pa.array(b" ".join(group["words"]).split(b" "), pa.binary()).dictionary_encode()
+        word, n_words = coded.indices.to_numpy(), len(coded.dictionary)
+        n = np.zeros(n_words, np.int64)
+        np.add.at(n, word, np.frombuffer(b"".join(group["counts"]), "<i8"))
+        often = n >= min_count
+        number = np.cumsum(often)
+        names = coded.dictionary.filter(pa.array(often)).cast(pa.string()).to_pylist()
+        out = [pd.DataFrame({"lang": key[0], "shard": key[1], "word": names, "n": n[often], "number": number[often]})]
+        first, replies = 0, []
+        for block, packed in zip(group["block"], group["places"], strict=True):
+            places = np.frombuffer(packed, "<u4")
+            own = word[first : first + len(places)]
+            first += len(places)
+            kept = often[own]
+            replies.append((block, places[kept].tobytes(), number[own[kept]].astype("<u4").tobytes()))
+        out.append(pd.DataFrame(replies, columns=["block", "places", "numbers"]).assign(lang=key[0], shard=key[1]))
+        return pd.concat(out)[["lang", "shard", "word", "n", "number", "block", "places", "numbers"]].astype(
+            {"n": "Int64", "number": "Int64"})
+
+    found = written(word_shards(blocks, shard_words).groupBy("lang", "shard").applyInPandas(
+        count, "lang string, shard long, word string, n long, number long, block string, places binary, numbers binary"), "word-shards")
+    words = found.filter("word IS NOT NULL")
+    sizes = words.groupBy("lang", "shard").agg(F.count("*").alias("size"))  # a row per shard
+    starts = written(sizes.select("lang", "shard", (F.sum("size").over(Window.orderBy("lang", "shard")) - F.col("size")).alias("start")),
+                     "word-starts")
+    key = ["lang", "shard"]
+    return (attach_by_group(words, starts, key, ["word"]).select("lang", "word", "n", (F.col("start") + F.col("number")).alias("id")),
+            attach_by_group(found.filter("block IS NOT NULL"), starts, key, ["block"]).select("block", "start", "places", "numbers"))
 
 
 def _packed(suffixes: np.ndarray, counts: np.ndarray) -> bytes:
@@ -141,19 +187,18 @@ def block_suffixes(places: np.ndarray, ids: np.ndarray, max_words: int) -> tuple
     return rows[first], np.diff(np.append(first, len(rows)))
 
 
-def suffix_blocks(blocks: DataFrame, words: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
+def suffix_blocks(blocks: DataFrame, numbers: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """A written table ``block, n, suffixes``: the merged suffixes of frequent words of every block."""
-    held = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    known = attach_by_group(held, words.select("lang", "word", "id"), ["lang", "word"], ["block"])
     # no more entries than the block has distinct words
-    numbers = known.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    rows = blocks.select("block", "places", F.size("words").alias("n_words")).join(numbers, "block")
+    known = numbers.groupBy("block").agg(F.collect_list(F.struct("start", "places", "numbers")).alias("known"))
+    rows = blocks.select("block", "places", F.size("words").alias("n_words")).join(known, "block")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 ids = np.zeros(row.n_words + 1, np.int64)
-                ids[[k["place"] + 1 for k in row.known]] = [k["id"] for k in row.known]
+                for part in row.known:
+                    ids[np.frombuffer(part["places"], "<u4") + 1] = part["start"] + np.frombuffer(part["numbers"], "<u4")
                 ids = ids.astype(np.int32) if ids.max() < 1 << 31 else ids
                 places = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.places), np.uint32)
                 suffixes, counts = block_suffixes(places, ids, max_words)
@@ -285,9 +330,9 @@ def collocations(
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` phrases by their weakest cut."""
     blocks = word_blocks(docs, text_col, lang_col, block_bytes)
-    words = frequent_words(blocks, min_count)
+    words, numbers = frequent_words(blocks, min_count)
     sizes = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
-    phrases = phrase_counts(suffix_blocks(blocks, words, max_words), min_count, max_words, range_rows)
+    phrases = phrase_counts(suffix_blocks(blocks, numbers, max_words), min_count, max_words, range_rows)
     parts = phrases.select("key", "n").unionByName(words.select(F.array("id").alias("key"), "n"))
 
     # a phrase inside a longer one of the same count is inside one that is a word longer, too
