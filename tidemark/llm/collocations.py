@@ -38,12 +38,12 @@ from tidemark.skew import attach_by_group
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Bytes of text in a block; distinct words of blocks in a shard; merged suffixes of a range; suffixes that the bounds are
 #: taken from, at most.
-BLOCK_BYTES, SHARD_WORDS, RANGE_ROWS, SAMPLE_ROWS = 4 << 20, 1 << 20, 1 << 19, 1 << 18
+BLOCK_BYTES, SHARD_WORDS, RANGE_ROWS, SAMPLE_ROWS = 4 << 20, 1 << 19, 1 << 19, 1 << 18
 #: The characters that end a piece. One of them stands for all.
 PIECE_ENDS, END = b".,;:!?\n\x0b\x0c\r", b"."
 _TABLE = bytes.maketrans(
     PIECE_ENDS + b"\t" + UPPER.encode(), END * len(PIECE_ENDS) + b" " + LOWER.encode())
-BLOCK = "block string, lang string, words array<string>, counts array<long>, places binary"
+BLOCK = "block string, lang string, n_words long, n long, words binary, counts binary, places binary"
 
 
 def block_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray]:
@@ -64,13 +64,11 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     def block_of(lang: str, texts: list[pa.Array]) -> pa.RecordBatch:
         words, places = block_words(pa.concat_arrays(texts))
-        counts = np.bincount(places, minlength=len(words) + 1)[1:]
+        counts = np.bincount(places, minlength=len(words) + 1)[1:].astype("<i8")
+        packed = [zstandard.ZstdCompressor(level=1).compress(x) for x in (b" ".join(words), counts.tobytes(), places.tobytes())]
         return pa.RecordBatch.from_arrays(
-            [pa.array([uuid.uuid4().hex]), pa.array([lang]),
-             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words, pa.binary()).cast(pa.string())),
-             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(counts, pa.int64())),
-             pa.array([zstandard.ZstdCompressor(level=1).compress(places.tobytes())], pa.binary())],
-            names=[c.split()[0] for c in BLOCK.split(", ")])
+            [pa.array([uuid.uuid4().hex]), pa.array([lang]), pa.array([len(words)]), pa.array([int(counts.sum())]),
+             *(pa.array([x], pa.binary()) for x in packed)], names=[c.split()[0] for c in BLOCK.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[pa.Array]] = {}
@@ -99,21 +97,24 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
 def word_shards(blocks: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``lang, shard, block, words, places, counts``: the blocks' words by hash, a packed row per block and shard."""
-    held = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    held = blocks.agg(F.sum("n_words")).first()[0] or 0
     n_shards = 1 + held // shard_words
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                words = np.array(row.words, object)
+                if not row.n_words:
+                    continue
+                unpress = zstandard.ZstdDecompressor()
+                words = np.array(unpress.decompress(row.words).split(b" "), object)
                 shard = pd.util.hash_array(words, categorize=False) % np.uint64(n_shards)
                 order = np.argsort(shard, kind="stable")
                 ends = np.append(np.flatnonzero(np.diff(shard[order])) + 1, len(order))
-                counts = np.array(row.counts, "<i8")
+                counts = np.frombuffer(unpress.decompress(row.counts), "<i8")
                 parts = [order[a:b] for a, b in zip([0, *ends], ends, strict=False) if a < b]
                 yield pd.DataFrame({
                     "lang": row.lang, "shard": [int(shard[p[0]]) for p in parts], "block": row.block,
-                    "words": [" ".join(words[p]).encode() for p in parts],
+                    "words": [b" ".join(words[p]) for p in parts],
                     "places": [p.astype("<u4").tobytes() for p in parts], "counts": [counts[p].tobytes() for p in parts]})
 
     return blocks.select("block", "lang", "words", "counts").mapInPandas(
@@ -191,7 +192,7 @@ def suffix_blocks(blocks: DataFrame, numbers: DataFrame, max_words: int = MAX_WO
     """A written table ``block, n, suffixes``: the merged suffixes of frequent words of every block."""
     # no more entries than the block has distinct words
     known = numbers.groupBy("block").agg(F.collect_list(F.struct("start", "places", "numbers")).alias("known"))
-    rows = blocks.select("block", "places", F.size("words").alias("n_words")).join(known, "block")
+    rows = blocks.select("block", "places", "n_words").join(known, "block")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -331,7 +332,7 @@ def collocations(
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` phrases by their weakest cut."""
     blocks = word_blocks(docs, text_col, lang_col, block_bytes)
     words, numbers = frequent_words(blocks, min_count)
-    sizes = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n"))
+    sizes = blocks.groupBy("lang").agg(F.sum("n").alias("n"))
     phrases = phrase_counts(suffix_blocks(blocks, numbers, max_words), min_count, max_words, range_rows)
     parts = phrases.select("key", "n").unionByName(words.select(F.array("id").alias("key"), "n"))
 
