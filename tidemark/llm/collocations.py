@@ -117,7 +117,7 @@ def word_shards(blocks: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                     "words": [b" ".join(words[p]) for p in parts],
                     "places": [p.astype("<u4").tobytes() for p in parts], "counts": [counts[p].tobytes() for p in parts]})
 
-    return blocks.select("block", "lang", "words", "counts").mapInPandas(
+    return blocks.select("block", "lang", "n_words", "words", "counts").mapInPandas(
         run, "lang string, shard long, block string, words binary, places binary, counts binary")
 
 
