@@ -260,7 +260,7 @@ def test_candidates_and_json():
         assert c.n_estimators in (50, 75, 100, 125, 150) and 3 <= c.max_depth <= 6 and 1.5 <= c.asymmetric_alpha <= 15
         assert from_json_text(to_json_text(c)) == c
     assert from_json_text(None) == BoostParams()
-    assert from_json_text('{"max_depth": 4, "reg_lambda": 1.0}') == BoostParams(max_depth=4)
+    assert from_json_text('{"max_depth": 4, "reg_lambda": 1.0}') == BoostParams(max_depth=4, reg_lambda=1.0)
 
 
 def test_fold_summary(spark):

@@ -12,7 +12,7 @@ from tidemark.operators.boosting import BoostParams
 # Parameter names stored under "xgb_params", and those stored under "decay_params".
 TREE_PARAMS = [
     "n_estimators", "max_depth", "learning_rate", "min_child_weight", "subsample", "colsample_bytree",
-    "gamma", "asymmetric_alpha",
+    "gamma", "reg_alpha", "reg_lambda", "asymmetric_alpha",
 ]
 DECAY_PARAMS = ["decay_rate", "rule_decay_rate"]
 _DOUBLES = "map<string,double>"

@@ -4,7 +4,7 @@ For the asymmetric squared loss with weight ``w`` (``alpha`` where the predictio
 1, times the row's own weight) the Newton step of a leaf is the weighted mean residual, and the
 split gain is the weighted variance reduction. That is what a regression tree with a weight column
 fits, so each boosting round is one such tree on the residuals. The L1 and L2 leaf penalties have
-no counterpart in Spark ML and are not applied.
+no counterpart in Spark ML and are not applied here; ``app_models`` applies them.
 
 One model serves a pool of apps. Level features are divided by the app's mean level, which changes
 nothing for a single app, as trees only see the order of values.
@@ -44,6 +44,8 @@ class BoostParams:
     colsample_bytree: float = 0.9864080480804699
     min_child_weight: float = 1.0
     gamma: float = 0.0
+    reg_alpha: float = 3.3707760847157993e-07
+    reg_lambda: float = 1.9781349361493368
     asymmetric_alpha: float = 5.0
     peak_weight_alpha: float = 1.0
     decay_rate: float = 0.95

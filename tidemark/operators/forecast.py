@@ -147,6 +147,32 @@ def forecast_days(
     )
 
 
+def recursive_forecast(
+    start: DataFrame, ratio: str, days: int, decaying: tuple[str, ...] = (), decay_rate: float = 0.95, safety_buffer: float = 1.0,
+) -> DataFrame:
+    """The recursion as one recursive query, for predictors that are SQL expressions of the state.
+
+    ``start`` holds a row per app: ``app_id, last_date, level, residual_var``, the ``decaying`` features and, as
+    ``base_<feature>``, what they fall back to. ``ratio`` may use these columns, ``step`` and ``is_weekend`` of the day
+    predicted. There is no loop on the driver and no checkpoint; the state never has more than a row per app.
+    """
+    bases = [f"base_{c}" for c in decaying]
+    carried = ", ".join(["app_id", "last_date", "residual_var", *bases])
+    features = "".join(f", {c}" for c in decaying)
+    moved = "".join(f", {c} * {decay_rate}D + base_{c} * {1.0 - decay_rate}D" for c in decaying)
+    next_step = "step + 1"
+    weekend = f"CASE WHEN weekday(date_add(last_date, {next_step})) >= 5 THEN 1 ELSE 0 END"
+    return start.sparkSession.sql(f"""
+        WITH RECURSIVE walk({carried}, step, level{features}) AS (
+            SELECT {carried}, 0, CAST(level AS DOUBLE){features} FROM {{start}}
+            UNION ALL
+            SELECT {carried}, {next_step}, greatest(level * exp(greatest(least({ratio}, {CLIP}D), -{CLIP}D)), 0D){moved}
+            FROM (SELECT *, {weekend} AS is_weekend FROM walk WHERE step < {int(days)}))
+        SELECT app_id, date_add(last_date, step) AS date, step,
+               greatest(level * exp(step * residual_var / 2) * {float(safety_buffer)}D, 0D) AS predicted_mean_concurrent
+        FROM walk WHERE step > 0""", start=start)
+
+
 def visible_days(forecast: DataFrame, as_of: date | Column, days: int) -> DataFrame:
     """Forecast days from ``as_of`` on, the first ``days`` per app."""
     today = as_of if isinstance(as_of, Column) else F.lit(as_of)

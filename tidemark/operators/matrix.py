@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.reviews import utc_day
 from tidemark.operators.reviews import non_spam
 from tidemark.schemas import PILLARS
+from tidemark.session import cut_lineage
+from tidemark.skew import attach_by_group
 
 EPSILON = 1e-5
 # The feature of a pillar is named after it, with one exception.
@@ -103,6 +105,30 @@ def daily_matrix(
     )
 
 
+def rule_dictionary(matrix: DataFrame) -> DataFrame:
+    """``feature, idx`` of all rule features in name order, numbered from 0 where they lie.
+
+    Ranges of names are ordered by their own tasks; a range's first number is the size of those before it, from a row per
+    range. No list of names is made on the driver.
+    """
+    names = matrix.select(F.explode(F.map_keys("rule_lifts")).alias("feature")).distinct()
+    within = F.monotonically_increasing_id()  # the task's number, and the row's within it
+    ordered = cut_lineage(names.repartitionByRange("feature").sortWithinPartitions("feature").select(
+        "feature", F.shiftright(within, 33).alias("part"), within.bitwiseAND((1 << 33) - 1).alias("place")))
+    sizes = ordered.groupBy("part").agg(F.count("*").alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return attach_by_group(ordered, starts, ["part"], ["feature"]).select("feature", (F.col("start") + F.col("place")).alias("idx"))
+
+
+def rule_vectors(matrix: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``app_id, date, indices, values``: the lifts of each day's rules, sparse, in index order."""
+    entries = matrix.select("app_id", "date", F.explode("rule_lifts").alias("feature", "lift"))
+    placed = attach_by_group(entries, dictionary, ["feature"], ["app_id", "date"])
+    sorted_entries = F.array_sort(F.collect_list(F.struct("idx", "lift")))
+    return placed.groupBy("app_id", "date").agg(sorted_entries.alias("e")).select(
+        "app_id", "date", F.col("e.idx").alias("indices"), F.col("e.lift").alias("values"))
+
+
 def rule_feature_names(matrix: DataFrame) -> list[str]:
     """All rule features of the matrix; a model has one per distinct rule of its own pool of apps."""
     names = matrix.select(F.explode(F.map_keys("rule_lifts")).alias("name")).distinct()

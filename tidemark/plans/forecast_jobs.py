@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.params import from_json_text, to_json_text
+from tidemark.functions.params import to_json_text
 from tidemark.operators import forecast as FC
-from tidemark.operators.boosting import BoostParams, fit
+from tidemark.operators.app_models import benchmark_apps, fit_apps
+from tidemark.operators.app_models import forecast_apps as forecast_from
+from tidemark.operators.boosting import BoostParams
 from tidemark.operators.matrix import daily_matrix
 from tidemark.operators.status import params_for_size
-from tidemark.operators.tuning import app_sizes, retune_decision, run_tuning_cycle
-from tidemark.session import cut_lineage, side_by_side
+from tidemark.operators.search import run_tuning_cycle
+from tidemark.operators.tuning import app_sizes, retune_decision
+from tidemark.session import cut_lineage
 from tidemark.sources.exports import export_forecast
 from tidemark.sources.tables import TableStore
 
@@ -49,32 +51,18 @@ def ensure_params(
     return resolve_params(store, matrix)
 
 
-def pools(params: DataFrame) -> list[str]:
-    """The distinct parameter texts in use; apps with the same one are modelled together."""
-    return [r["params"] for r in params.select("params").distinct().orderBy("params").collect()]
-
-
 def forecast_apps(store: TableStore, as_of: datetime, days: int = FORECAST_DAYS, safety_buffer: float = 1.0) -> DataFrame:
-    """Forecasts every app from ``as_of`` on for ``days`` days.
+    """Forecasts every app from ``as_of`` on for ``days`` days, with its own model and parameters.
 
     The newest stored day has no known successor and is no matrix row, so an app's recursion starts before
-    ``as_of`` and runs its own gap longer. Apps leave it at their own end: one whose data ended long ago adds steps
-    for itself only. Pools are fitted side by side.
+    ``as_of`` and runs its own gap longer: an app whose data ended long ago adds steps for itself only.
     """
     matrix = cut_lineage(stored_matrix(store))
-    params = cut_lineage(resolve_params(store, matrix))
     today = F.lit(as_of.date())
-
-    def forecast_pool(text: str) -> DataFrame:
-        pool = cut_lineage(matrix.join(params.filter(F.col("params") == text).select("app_id"), "app_id", "left_semi"))
-        horizons = pool.groupBy("app_id").agg(
-            (F.lit(max(1, int(days))) + F.greatest(F.date_diff(today, F.max("date")), F.lit(0))).alias("steps")
-        )
-        return FC.forecast_days(fit(pool, from_json_text(text)), pool, None, safety_buffer, horizons=horizons)
-
-    parts = side_by_side([lambda t=text: forecast_pool(t) for text in pools(params)])
-    none = store.spark.createDataFrame([], "app_id long, date date, predicted_mean_concurrent double, step int")
-    return FC.visible_days(reduce(DataFrame.unionByName, parts, none), today, days)
+    horizons = matrix.groupBy("app_id").agg(
+        (F.lit(max(1, int(days))) + F.greatest(F.date_diff(today, F.max("date")), F.lit(0))).cast("int").alias("steps"))
+    models = fit_apps(matrix, resolve_params(store, matrix))
+    return FC.visible_days(forecast_from(matrix, models, safety_buffer=safety_buffer, horizons=horizons), today, days)
 
 
 def forecast_and_export(store: TableStore, as_of: datetime, root: str, days: int = FORECAST_DAYS) -> str:
@@ -85,6 +73,6 @@ def compare_tuning(
     matrix: DataFrame, baseline: BoostParams, tuned: BoostParams, split_ratio: float = 0.70, **options
 ) -> DataFrame:
     """Hold-out metrics before and after tuning, per app and metric."""
-    before, _ = FC.benchmark(matrix, baseline, split_ratio, **options)
-    after, _ = FC.benchmark(matrix, tuned, split_ratio, **options)
+    before, _ = benchmark_apps(matrix, baseline, split_ratio, **options)
+    after, _ = benchmark_apps(matrix, tuned, split_ratio, **options)
     return FC.metric_deltas(before, after)

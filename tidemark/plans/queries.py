@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import params
 from tidemark.functions.itemsets import split_items
 from tidemark.functions.reviews import review_columns
+from tidemark.operators import app_models as AM
 from tidemark.operators import boosting as B
 from tidemark.operators import forecast as FC
 from tidemark.operators import kpis as K
@@ -20,6 +20,7 @@ from tidemark.operators import mining as M
 from tidemark.operators import reviews as R
 from tidemark.operators import status as S
 from tidemark.operators import tuning as T
+from tidemark.operators.search import halving_search
 from tidemark.plans import inputs as I
 from tidemark.plans import oracles as O
 from tidemark.plans.ingest import update_kpis
@@ -624,6 +625,30 @@ def matrix_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.daily_matrix(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir))
 
 
+LIFTS_SQL = """SELECT grp // 100 AS app_id, CAST(make_timestamp(window_end * 1000000) AS DATE) AS date,
+                    'rule_lift_' || array_to_string(ant, ' AND ') || '_->' || array_to_string(cons, ' AND ') AS feature,
+                    max(lift) AS lift
+             FROM pruned JOIN windows ON app_id = grp // 100 AND window_no = grp % 100 GROUP BY ALL"""
+
+
+@register("rule_feature_vectors", O.with_ctes(
+    {**WINDOW_MINED, **O.matrix_ctes(), "lifts": LIFTS_SQL,
+     "seen": "SELECT l.* FROM lifts l JOIN matrix m ON m.app_id = l.app_id AND m.date = l.date",
+     "named": "SELECT feature, row_number() OVER (ORDER BY feature) - 1 AS idx FROM (SELECT DISTINCT feature FROM seen)"},
+    """SELECT app_id, date, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS indices, count(*) AS n, round(sum(lift), 6) AS lift_sum,
+              round(max_by(lift, idx), 6) AS last_lift
+       FROM seen JOIN named USING (feature) GROUP BY app_id, date""", True))
+def rule_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule features of every day as sparse vectors over a dictionary of all of them."""
+    rules, runs = window_runs(spark, sf_dir)
+    matrix = cut_lineage(X.daily_matrix(I.kpis(spark, sf_dir), I.reviews(spark, sf_dir), rules, runs))
+    return X.rule_vectors(matrix, X.rule_dictionary(matrix)).select(
+        "app_id", "date", F.array_join(F.col("indices").cast("array<string>"), ",").alias("indices"),
+        F.size("values").cast("long").alias("n"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 6).alias("lift_sum"),
+        F.round(F.element_at("values", -1), 6).alias("last_lift"))
+
+
 @register("weekend_weights", O.with_ctes(
     {**O.review_ctes(), **O.kpi_ctes(), **O.matrix_ctes(),
      "means": """SELECT app_id, avg(mean_concurrent) AS app_level,
@@ -831,39 +856,64 @@ def forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.select("app_id", "metric", *rounded(["baseline", "tuned", "delta", "pct_improvement"], 4))
 
 
-def quick_params():
-    """The model of the registered queries: few, shallow trees; every stored day of every app is fitted."""
-    return B.BoostParams(n_estimators=6, max_depth=3, learning_rate=0.3)
+RATIO = "0.4D * (base_positive_ratio - positive_ratio) + 0.03D * is_weekend - 0.01D * step + 2.5D * (step % 9 - 4)"
+RECURSION_DAYS, RECURSION_BUFFER = 45, 1.1
+
+
+@register("forecast_recursion", O.with_ctes(
+    {**O.review_ctes(), **O.kpi_ctes(), **O.matrix_ctes(),
+     "bases": """SELECT app_id, avg(positive_ratio) AS base_positive_ratio, var_pop(target_y) / 1000 AS residual_var
+                 FROM matrix GROUP BY app_id""",
+     "newest": "SELECT * FROM matrix QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY date DESC) = 1",
+     "walk(app_id, date, step, level, positive_ratio, base_positive_ratio, residual_var)": f"""
+        SELECT app_id, date, 0, mean_concurrent::DOUBLE, positive_ratio::DOUBLE, base_positive_ratio, residual_var
+        FROM newest JOIN bases USING (app_id)
+        UNION ALL
+        SELECT app_id, date + 1, step + 1,
+               level * exp(greatest(-2, least(2, 0.4::DOUBLE * (base_positive_ratio - positive_ratio)
+                   + CASE WHEN isodow(date + 1) >= 6 THEN 0.03::DOUBLE ELSE 0 END - 0.01::DOUBLE * step + 2.5::DOUBLE * (step % 9 - 4)))),
+               positive_ratio * 0.95::DOUBLE + base_positive_ratio * 0.05::DOUBLE, base_positive_ratio, residual_var
+        FROM walk WHERE step < {RECURSION_DAYS}"""},
+    f"""SELECT app_id, date::DATE AS date, step, round(level * exp(step * residual_var / 2) * {RECURSION_BUFFER}::DOUBLE, 4)
+               AS predicted_mean_concurrent FROM walk WHERE step > 0""", True))
+def forecast_recursion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursion with a fixed predictor: clip, decay, weekends, growing bias and buffer, as one recursive query."""
+    matrix = cut_lineage(matrix_of(spark, sf_dir))
+    newest = tables.first_per_key(matrix, ["app_id"], F.desc("date")).select(
+        "app_id", F.col("date").alias("last_date"), F.col("mean_concurrent").alias("level"),
+        F.col("positive_ratio").cast("double").alias("positive_ratio"))
+    spread = matrix.groupBy("app_id").agg(
+        F.avg("positive_ratio").alias("base_positive_ratio"), (F.var_pop("target_y") / 1000).alias("residual_var"))
+    out = FC.recursive_forecast(newest.join(spread, "app_id"), RATIO, RECURSION_DAYS, ("positive_ratio",), 0.95, RECURSION_BUFFER)
+    return out.select("app_id", "date", "step", *rounded(["predicted_mean_concurrent"], 4))
 
 
 @register("forecast_model")
 def forecast_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted log-ratios of the pooled model on its training rows."""
+    """Fitted log-ratios of every app's own model, 150 trees of depth 6, on its training rows."""
     matrix = cut_lineage(matrix_of(spark, sf_dir))
-    model = B.fit(matrix, quick_params())
-    return model.predict_matrix(matrix).select("app_id", "date", "target_y", "prediction")
+    return AM.predict_apps(matrix, AM.fit_apps(matrix)).select("app_id", "date", "target_y", "prediction")
 
 
 @register("forecast_days")
 def forecast_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     matrix = cut_lineage(matrix_of(spark, sf_dir))
-    return FC.forecast_days(B.fit(matrix, quick_params()), matrix, days=45)
+    return AM.forecast_apps(matrix, AM.fit_apps(matrix), days=45)
 
 
 @register("forecast_benchmark")
 def forecast_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted on the older 70 % of the days, evaluated over the forecast horizon of 45 days behind them."""
-    return FC.benchmark(matrix_of(spark, sf_dir), quick_params(), eval_days=45)[0]
+    """Fitted on the older 70 % of the days, evaluated on all days behind them."""
+    return AM.benchmark_apps(matrix_of(spark, sf_dir))[0]
+
+
+TUNE_TRIALS = 8
 
 
 @register("tune")
 def tune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two drawn candidates, with fewer trees, over the walk-forward folds of each app's first tier."""
-    matrix = cut_lineage(matrix_of(spark, sf_dir))
-    first = T.size_tiers(T.app_sizes(matrix)).agg(F.min("tier_size")).first()[0]
-    _, most = T.fold_plan(spark, first)
-    drawn = [replace(c, n_estimators=4, max_depth=3) for c in T.draw_candidates(2, most)]
-    return T.tune_tier(matrix, first, drawn)
+    """Every tier of every app, with candidates as they are drawn."""
+    return halving_search(matrix_of(spark, sf_dir), TUNE_TRIALS)
 
 
 # --- Streams --------------------------------------------------------------------------------
