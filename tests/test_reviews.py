@@ -254,3 +254,31 @@ def test_rounding_equals_python(spark):
     for digits in (1, 2):
         found = frame.select("v", round_binary(F.col("v"), digits).alias("r")).collect()
         assert [r["r"] for r in found] == [round(r["v"], digits) for r in found]
+
+
+def test_tags_of_text_are_those_of_columns(spark):
+    """The reading without a job against the reading by columns."""
+    from tidemark.functions.itemsets import split_items
+    from tidemark.functions.tags import canonical_tag, tags_of_text
+
+    texts = [
+        None, "", "  ", "lang_english", "Lang_english AND LANG_French,  kpi_Retention_Growth", "frozenset({'story_05', \"audio_3\"})",
+        "frozenset()", "frozenset", "story_99999999999 AND story_4", "story_x", "isUseful_True AND isUseful_true", "hw_os_Windows 11 AND HW_OS_b",
+        "playtime_HARDCORE\tAND\nplaytime_unknown", "a AND  AND b", "'lang_de' , ''", "hw_ram_8GB and lang_x", "xlang_de", "lang_", "kpi_", "lang_a\nb",
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    read = rows.select("i", F.array_compact(F.transform(split_items(F.col("t")), canonical_tag)).alias("tags")).collect()
+    for r in read:
+        assert tags_of_text(texts[r["i"]]) == r["tags"], texts[r["i"]]
+
+
+def test_hardware_spellings_reach_the_scan(spark, tmp_path):
+    from tidemark.functions.tags import known_tags
+
+    values = ["Windows 11", "Windows_11", "Windows  11", "Arch Linux x_y", "Arch_Linux_x y", "Mac", "a_b_c_d_e_f_g h"]
+    spark.createDataFrame([(v,) for v in values], "hw_os string").write.parquet(str(tmp_path / "t"))
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    for tag, found in {"Windows_11": values[:2], "Arch_Linux_x_y": values[3:5], "Mac": ["Mac"], "Windows 11": [], "a_b_c_d_e_f_g_h": values[6:]}.items():
+        kept = frame.filter(known_tags(f"hw_os_{tag}")[0].predicate())
+        assert sorted(r[0] for r in kept.collect()) == sorted(found)
+    assert "PushedFilters: [In(hw_os, [Windows 11,Windows_11])]" in frame.filter(known_tags("hw_os_Windows_11")[0].predicate())._jdf.queryExecution().toString()

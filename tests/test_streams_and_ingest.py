@@ -81,6 +81,31 @@ def test_sliding_counts(spark, tmp_path):
     assert found == {(1, 7): 2, (1, 14): 2, (2, 21): 1, (2, 28): 1}
 
 
+def test_sliding_item_support(spark, tmp_path):
+    """Repeats in a basket count once, null and empty baskets in the total only, late windows stay open."""
+    rows = spark.createDataFrame(
+        [(1, 15 * DAY + 5, ["a", "b", "a"]), (1, 20 * DAY, ["a", None, ""]), (1, 20 * DAY, None), (2, 29 * DAY, []), (1, 60 * DAY, ["z"])],
+        "app_id long, t long, items array<string>")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).select("app_id", "items", F.timestamp_seconds("t").alias("at"))
+    S.write_available(S.sliding_item_counts(stream, "at", "1 hour"), str(tmp_path / "out"), str(tmp_path / "check"))
+    closed = spark.read.parquet(str(tmp_path / "out")).withColumn("s", F.unix_timestamp("window_start") / DAY)
+    found = {(r["app_id"], r["s"], r["item"]): (r["n"], r["n_baskets"], r["support"]) for r in S.with_support(closed).collect()}
+    assert found == {(1, s, i): (n, 3, n / 3) for s in (7, 14) for i, n in (("a", 2), ("b", 1))}
+    assert {(r["app_id"], r["s"]): r["n"] for r in closed.filter("item = ''").collect()} == {(1, 7): 3, (1, 14): 3, (2, 21): 1, (2, 28): 1}
+
+
+def test_scores_and_why_not(spark):
+    rows = [(1, "fine", '{"isSpam": false, "story": 5}'), (2, " \n", '{"isSpam": true}'), (3, None, "x"), (4, "a", "x"), (5, "a", None),
+            (6, "a", '{"story": 3}'), (7, "a", '{"isSpam": true, "story": 0}'), (8, "a", '{"isSpam": true, "story": 1}'),
+            (9, "a", '{"isSpam": false, "story": "much"}')]
+    from tidemark.operators.reviews import checked_scores, with_scores
+    frame = spark.createDataFrame(rows, "recommendationid long, review string, scored string")
+    found = {r["recommendationid"]: r["reason"] for r in checked_scores(frame, "scored").collect()}
+    assert found == {1: None, 2: "blank", 3: "blank", 4: "unreadable", 5: "unreadable", 6: "unstated", 7: "range", 8: "spam", 9: "unreadable"}
+    assert [(r["recommendationid"], r["story"]) for r in with_scores(frame, "scored").collect()] == [(1, 5)]
+
+
 def test_review_update_job(spark, tmp_path):
     store = TableStore(spark, str(tmp_path / "store"))
     pages = tmp_path / "pages"
@@ -88,7 +113,8 @@ def test_review_update_job(spark, tmp_path):
     raw = read_review_pages(spark, str(pages))
     scores = raw.select("app_id", F.col("raw.recommendationid").alias("recommendationid")).distinct().withColumn(
         "scored", F.when(F.col("recommendationid") == "299", '{"isSpam": true}').otherwise('{"isSpam": false, "story": 4}'))
-    ingest.update_reviews(store, raw, scores, AS_OF)
+    outcome = {r["recommendationid"]: r["reason"] for r in ingest.update_reviews(store, raw, scores, AS_OF).collect()}
+    assert set(outcome.values()) <= {None, "spam", "blank"} and outcome.get("901", "blank") == "blank"
     stored = {int(r["recommendationid"]) for r in store.read("reviews").collect()}
     assert set(range(176, 299)) <= stored and not {299, 900, 901} & stored
     assert 248 <= len(stored) <= 250

@@ -6,17 +6,21 @@ and how a review gets the tag; everything else here is derived from it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import product
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.itemsets import split_items
+from tidemark.functions.itemsets import SPACES
 from tidemark.functions.reviews import PLAYTIME_BUCKETS, PLAYTIME_TOP, playtime_bucket
 from tidemark.schemas import BOOLEANS, HARDWARE, PILLARS
 
 TREND = "kpi"
 _ANY, _FLAG, _NUMBER = ".*", "True|False", "[0-9]+"
+#: A hardware value with more underscores has too many spellings for the scan.
+MOST_UNDERSCORES = 5
 _BUCKETS = [*(name for name, _ in PLAYTIME_BUCKETS), PLAYTIME_TOP]
 
 
@@ -48,7 +52,7 @@ def canonical_tag(tag: Column) -> Column:
         value = F.regexp_extract(bare, f"(?s)^{'(?i)' if folds else ''}{form.name}_({form.values})$", 1)
         value = F.lower(value) if form.fold else value
         if form.values == _NUMBER:
-            value = value.cast("int").cast("string")
+            value = value.try_cast("int").cast("string")
         fits = bare.rlike(f"(?s)^{'(?i)' if folds else ''}{form.name}_({form.values})$")
         out = F.when(fits, F.concat(F.lit(f"{form.name}_"), value)).otherwise(out)
     return out
@@ -91,17 +95,44 @@ class Tag:
         if self.values == _NUMBER:
             return column == int(self.value)
         if self.column in HARDWARE:
-            # spaces became underscores in the tag, so both spellings are asked for
+            # spaces became underscores in the tag, so every spelling is asked for
+            if " " in self.value:
+                return F.lit(False)
+            if self.value.count("_") <= MOST_UNDERSCORES:
+                return column.isin(["".join(x) for x in product(*[" _" if c == "_" else c for c in self.value])])
             return F.replace(column, F.lit(" "), F.lit("_")) == self.value
         return column == self.value
 
 
-def known_tags(spark: SparkSession, *sides: str | None) -> list[Tag]:
-    """The known tags of a rule's sides, read by the same columns as many rules are."""
-    rows = spark.createDataFrame([(side,) for side in sides], "side string").select(
-        F.explode(split_items(F.col("side"))).alias("tag")).select(canonical_tag(F.col("tag")).alias("tag")).na.drop()
+def tags_of_text(text: str | None) -> list[str]:
+    """The tags of one itemset text, as ``split_items`` and ``canonical_tag`` read a column of them."""
+    bare = (text or "").strip(SPACES)
+    if bare.startswith("frozenset"):
+        inner = re.search(r"\{(.*)\}", bare, re.DOTALL)
+        parts = inner.group(1).split(",") if inner else []
+    else:
+        parts = re.split(r"\s+AND\s+|,\s*", bare, flags=re.ASCII)
     found = []
-    for row in rows.distinct().orderBy("tag").collect():
-        form = max((f for f in FORMS if row["tag"].startswith(f.name + "_")), key=lambda f: len(f.name))
-        found.append(Tag(form.column, row["tag"][len(form.name) + 1:], form.values))
+    for part in parts:
+        tag = re.sub(r"""^['"]+|['"]+$""", "", part.strip(SPACES)).strip(" ")
+        known = None
+        for form in FORMS:
+            folds = form.fold or form.values == _ANY
+            fits = re.fullmatch(f"{form.name}_({form.values})", tag, re.DOTALL | re.ASCII | (re.IGNORECASE if folds else 0))
+            if fits:
+                value = fits.group(1).lower() if form.fold else fits.group(1)
+                if form.values == _NUMBER:
+                    value = str(int(value)) if int(value) < 1 << 31 else None
+                known = None if value is None else f"{form.name}_{value}"
+        if known is not None:
+            found.append(known)
+    return found
+
+
+def known_tags(*sides: str | None) -> list[Tag]:
+    """The known tags of a rule's sides, without a job."""
+    found = []
+    for tag in sorted({tag for side in sides for tag in tags_of_text(side)}):
+        form = max((f for f in FORMS if tag.startswith(f.name + "_")), key=lambda f: len(f.name))
+        found.append(Tag(form.column, tag[len(form.name) + 1:], form.values))
     return found

@@ -11,6 +11,7 @@ from tidemark.operators import kpis as K
 from tidemark.operators import reviews as R
 from tidemark.plans import mining_jobs
 from tidemark.plans.forecast_jobs import ensure_params, forecast_and_export, stored_matrix
+from tidemark.session import cut_lineage
 from tidemark.sources.raw import flatten_reviews
 from tidemark.sources.tables import TableStore
 
@@ -26,19 +27,24 @@ def update_kpis(store: TableStore, observations: DataFrame, max_days: int | None
 def update_reviews(
     store: TableStore, raw: DataFrame, scores: DataFrame, as_of: int, max_days: int | None = R.MAX_LOOKBACK_DAYS,
     num_reviews: int = 250, top_n: int = 125, seed: int = 42,
-) -> None:
+) -> DataFrame:
     """Flattens, drops known ids, samples each of the last ``max_days`` days (all days with ``None``), attaches the
     scores and stores the result.
 
-    ``scores`` holds ``app_id, recommendationid, scored`` with the score answer as JSON text.
+    ``scores`` holds ``app_id, recommendationid, scored`` with the score answer as JSON text. Returns what became of the
+    sampled reviews: ``app_id, recommendationid, reason``, the reason being ``unscored`` (no answer at all), one of
+    ``checked_scores``, or null where the review was stored. Sampling and checking happen once, for both.
     """
     last = datetime.fromtimestamp(as_of, UTC).date()
     flat = flatten_reviews(raw, as_of)
     first = F.lit("0001-01-01").cast("date") if max_days is None else F.date_sub(F.lit(last), max_days - 1)
     fresh = R.new_reviews_of_days(flat, store.read("reviews"), first, F.lit(last))
     sampled = R.sample_days(fresh, num_reviews, top_n, seed)
-    scored = R.with_scores(sampled.join(scores, ["app_id", "recommendationid"]), "scored")
-    store.insert_or_ignore("reviews", scored)
+    answered = scores.select("app_id", "recommendationid", "scored", F.lit(True).alias("__answered"))
+    checked = R.checked_scores(sampled.join(answered, ["app_id", "recommendationid"], "left"), "scored")
+    checked = cut_lineage(checked.withColumn("reason", F.when(F.col("__answered").isNull(), "unscored").otherwise(F.col("reason"))))
+    store.insert_or_ignore("reviews", checked.filter(F.col("reason").isNull()).drop("reason", "__answered"))
+    return checked.select("app_id", "recommendationid", "reason")
 
 
 def daily_cycle(

@@ -23,12 +23,12 @@ from tidemark.operators import tuning as T
 from tidemark.operators.search import halving_search
 from tidemark.plans import inputs as I
 from tidemark.plans import oracles as O
-from tidemark.plans.ingest import update_kpis
+from tidemark.plans.ingest import update_kpis, update_reviews
 from tidemark.plans.mining_jobs import MiningParams, historical_baskets, remine, report
 from tidemark.schemas import PILLARS, RAW_REVIEW, RULE_METRICS
 from tidemark.session import cut_lineage, scratch_path
 from tidemark.sources import exports, tables
-from tidemark.sources.raw import read_player_pages
+from tidemark.sources.raw import read_player_pages, read_review_pages
 from tidemark.streaming import ingest as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -976,3 +976,63 @@ def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"timestamp_seconds({I.REVIEW_COLUMNS['timestamp_updated']}) AS event_time",
     )
     return run_stream(spark, streams.sliding_counts(arriving, "event_time", "1 hour"), "windows")
+
+
+STREAM_ITEMS = ("CASE WHEN lang IS NULL THEN NULL ELSE concat('lang_', lang) END", "CASE WHEN n_chars % 2 = 0 THEN 'bought' END",
+                "concat('size_', CAST(length(CAST(n_chars AS STRING)) AS STRING))")
+
+
+@register("stream_item_support", O.with_ctes(
+    {**O.review_ctes(),
+     "placed": f"""SELECT app_id, timestamp_updated::BIGINT AS t, items,
+                          (timestamp_updated::BIGINT // {7 * DAY} - i) * {7 * DAY} AS window_start
+                   FROM (SELECT {I.REVIEW_COLUMNS['app_id']} AS app_id, {I.REVIEW_COLUMNS['timestamp_updated']} AS timestamp_updated,
+                                list_filter([{', '.join(STREAM_ITEMS)}], lambda x: x IS NOT NULL) AS items FROM documents),
+                        (SELECT unnest(range(0, 2)) AS i)""",
+     "closed": f"SELECT * FROM placed WHERE window_start + {14 * DAY} <= (SELECT max(t) - 3600 FROM placed)",
+     "sizes": "SELECT app_id, window_start, count(*) AS n_baskets FROM closed GROUP BY ALL",
+     "counts": "SELECT app_id, window_start, item, count(*) AS n FROM (SELECT *, unnest(items) AS item FROM closed) GROUP BY ALL"},
+    """SELECT app_id, make_timestamp(window_start * 1000000) AS window_start, item, n, n_baskets,
+              round(n / n_baskets::DOUBLE, 6) AS support FROM counts JOIN sizes USING (app_id, window_start)"""))
+def stream_item_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items per 14-day window every 7 days from a stream of baskets, with the support in each closed window."""
+    arriving = stream_of(spark, sf_dir, "documents").selectExpr(
+        f"{I.REVIEW_COLUMNS['app_id']} AS app_id",
+        f"timestamp_seconds({I.REVIEW_COLUMNS['timestamp_updated']}) AS event_time", f"array({', '.join(STREAM_ITEMS)}) AS items")
+    closed = run_stream(spark, streams.sliding_item_counts(arriving, "event_time", "1 hour"), "items")
+    return streams.with_support(closed).select("app_id", "window_start", "item", "n", "n_baskets", *rounded(["support"]))
+
+
+@register("review_update", f"""
+    SELECT {I.REVIEW_COLUMNS['app_id']} AS app_id, doc_id::VARCHAR AS recommendationid, state,
+           CASE WHEN state = 'stored' THEN 1 + n_chars % 6 END AS gameplay FROM (
+        SELECT *, CASE WHEN doc_id % 7 = 3 THEN 'unscored' WHEN doc_id % 10 = 9 OR trim(coalesce(text, '')) = '' THEN 'blank'
+                       WHEN doc_id % 12 = 5 THEN 'unreadable' WHEN doc_id % 8 = 0 THEN 'unstated' WHEN n_chars % 6 = 5 THEN 'range'
+                       WHEN toxic = 1 THEN 'spam' ELSE 'stored' END AS state
+        FROM documents LEFT JOIN labels USING (doc_id))""")
+def review_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The update job from saved pages, run twice: what it stored, and why it did not store the rest."""
+    app = F.expr(I.REVIEW_COLUMNS["app_id"])
+    documents = I.table(spark, sf_dir, "documents").join(I.table(spark, sf_dir, "labels"), "doc_id", "left")
+    written = F.expr(I.REVIEW_COLUMNS["timestamp_updated"])
+    raw = F.struct(
+        F.col("doc_id").cast("string").alias("recommendationid"),
+        F.when(F.col("doc_id") % 10 == 9, F.lit(" \n")).otherwise(F.col("text")).alias("review"), F.col("lang").alias("language"),
+        written.alias("timestamp_created"), written.alias("timestamp_updated"), F.lit("0.5").alias("weighted_vote_score"))
+    folder = scratch_path(spark, "review-update")
+    # pages of about twenty reviews
+    documents.groupBy(app.alias("app_id"), F.floor(F.col("doc_id") / 100).cast("string").alias("cursor")).agg(
+        F.collect_list(raw).alias("reviews")).write.json(f"{folder}/pages")
+    answer = F.to_json(F.struct(
+        F.when(F.col("doc_id") % 8 != 0, F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("isSpam"),
+        (F.lit(1) + F.col("n_chars") % 6).alias("gameplay")))
+    scores = documents.filter(F.col("doc_id") % 7 != 3).select(
+        app.alias("app_id"), F.col("doc_id").cast("string").alias("recommendationid"),
+        F.when(F.col("doc_id") % 12 == 5, F.lit("no scores")).otherwise(answer).alias("scored"))
+    store, pages = tables.TableStore(spark, f"{folder}/store"), read_review_pages(spark, f"{folder}/pages")
+    most = 1 << 30
+    update_reviews(store, pages.filter(F.col("raw.recommendationid").cast("long") % 3 == 0), scores, I.AS_OF, None, most, most // 2)
+    outcome = update_reviews(store, pages, scores, I.AS_OF, None, most, most // 2)
+    stored = store.read("reviews").select("app_id", "recommendationid", F.lit("stored").alias("state"), F.col("gameplay").cast("long").alias("gameplay"))
+    return stored.unionByName(outcome.filter("reason IS NOT NULL").select(
+        "app_id", "recommendationid", F.col("reason").alias("state"), F.lit(None).cast("long").alias("gameplay")))

@@ -106,6 +106,33 @@ def sliding_counts(rows: DataFrame, time: str, delay: str, window_days: int = 14
     )
 
 
+TOTAL = ""
+
+
+def sliding_item_counts(baskets: DataFrame, time: str, delay: str, window_days: int = 14, step_days: int = 7) -> DataFrame:
+    """``app_id, window_start, window_end, item, n`` per app, sliding window and item of ``items``, for closed windows.
+
+    The empty item counts the window's baskets: it is in the same state as the items, so it closes with them and
+    ``with_support`` needs no second stream. An item counts once a basket; a null or empty basket counts in the total.
+    """
+    items = F.array_distinct(F.coalesce("items", F.array().cast("array<string>")))
+    known = F.filter(items, lambda i: i.isNotNull() & (i != TOTAL))
+    rows = baskets.withColumn("item", F.explode(F.concat(known, F.array(F.lit(TOTAL)))))
+    return (
+        rows.withWatermark(time, delay)
+        .groupBy("app_id", F.window(time, f"{window_days} days", f"{step_days} days").alias("w"), "item")
+        .agg(F.count("*").alias("n"))
+        .select("app_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "item", "n")
+    )
+
+
+def with_support(counts: DataFrame) -> DataFrame:
+    """The items of closed windows with ``n_baskets`` of their window and ``support``."""
+    key = ["app_id", "window_start", "window_end"]
+    totals = counts.filter(F.col("item") == TOTAL).select(*key, F.col("n").alias("n_baskets"))
+    return counts.filter(F.col("item") != TOTAL).join(totals, key).withColumn("support", F.col("n") / F.col("n_baskets"))
+
+
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Runs the stream over everything that has arrived into a Parquet folder."""
     query = (
