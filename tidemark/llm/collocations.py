@@ -38,7 +38,7 @@ from tidemark.skew import attach_by_group
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
 #: Bytes of text in a block; distinct words of blocks in a shard; merged suffixes of a range; suffixes that the bounds are
 #: taken from, at most.
-BLOCK_BYTES, SHARD_WORDS, RANGE_ROWS, SAMPLE_ROWS = 4 << 20, 1 << 19, 1 << 19, 1 << 18
+BLOCK_BYTES, SHARD_WORDS, RANGE_ROWS, SAMPLE_ROWS = 4 << 20, 1 << 18, 1 << 19, 1 << 18
 #: The characters that end a piece. One of them stands for all.
 PIECE_ENDS, END = b".,;:!?\n\x0b\x0c\r", b"."
 _TABLE = bytes.maketrans(
@@ -111,10 +111,11 @@ def word_shards(blocks: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                 order = np.argsort(shard, kind="stable")
                 ends = np.append(np.flatnonzero(np.diff(shard[order])) + 1, len(order))
                 counts = np.frombuffer(unpress.decompress(row.counts), "<i8")
+                press = zstandard.ZstdCompressor(level=3)
                 parts = [order[a:b] for a, b in zip([0, *ends], ends, strict=False) if a < b]
                 yield pd.DataFrame({
                     "lang": row.lang, "shard": [int(shard[p[0]]) for p in parts], "block": row.block,
-                    "words": [b" ".join(words[p]) for p in parts],
+                    "words": [press.compress(b" ".join(words[p])) for p in parts],
                     "places": [p.astype("<u4").tobytes() for p in parts], "counts": [counts[p].tobytes() for p in parts]})
 
     return blocks.select("block", "lang", "n_words", "words", "counts").mapInPandas(
@@ -127,7 +128,8 @@ def frequent_words(blocks: DataFrame, min_count: int = MIN_COUNT, shard_words: i
     each is ``start`` and its number.
     """
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        coded = pa.array(b" ".join(group["words"]).split(b" "), pa.binary()).dictionary_encode()
+        unpress = zstandard.ZstdDecompressor()
+        coded = pa.array(b" ".join(map(unpress.decompress, group["words"])).split(b" "), pa.binary()).dictionary_encode()
         word, n_words = coded.indices.to_numpy(), len(coded.dictionary)
         n = np.zeros(n_words, np.int64)
         np.add.at(n, word, np.frombuffer(b"".join(group["counts"]), "<i8"))
@@ -161,7 +163,7 @@ def _packed(suffixes: np.ndarray, counts: np.ndarray) -> bytes:
     """Columns one after another; ids have 32 bits where they fit, as the last byte says."""
     width = 4 if not len(suffixes) or suffixes.max() < 1 << 31 else 8
     columns = (suffixes.T.astype(f"<i{width}"), counts.astype("<i8"), np.array([width], np.uint8))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join(c.tobytes() for c in columns))
 
 
 def _unpacked(data: bytes, max_words: int) -> tuple[np.ndarray, np.ndarray]:
