@@ -18,6 +18,9 @@ from tidemark.skew import attach_by_group
 from tidemark.sources.tables import TableStore
 
 
+WINDOW = ["app_id", "window_no"]
+
+
 @dataclass(frozen=True)
 class MiningParams:
     min_support: float = 0.02
@@ -56,8 +59,8 @@ def historical_baskets(
     return kept, windows
 
 
-def save_mining_results(store: TableStore, rules: DataFrame, runs: DataFrame, keys: Sequence[str], params: MiningParams) -> None:
-    """Appends runs that have rules, and their rules.
+def mining_records(rules: DataFrame, runs: DataFrame, keys: Sequence[str], params: MiningParams) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``association_rules``, and of ``mining_runs`` for the runs that have rules.
 
     ``runs`` holds ``keys``, ``timestamp``, ``window_size_days`` and ``total_reviews``. Ids are
     digests of their content: a job repeated after a failure does not store anything twice.
@@ -76,6 +79,12 @@ def save_mining_results(store: TableStore, rules: DataFrame, runs: DataFrame, ke
         .withColumn("min_lift", F.lit(params.min_lift))
         .withColumn("deduplicate_mode", F.lit(params.deduplicate_mode))
     )
+    return named, records
+
+
+def save_mining_results(store: TableStore, rules: DataFrame, runs: DataFrame, keys: Sequence[str], params: MiningParams) -> None:
+    """Appends the runs that have rules, and their rules."""
+    named, records = mining_records(rules, runs, keys, params)
     store.insert_or_ignore("mining_runs", records)
     store.insert_or_ignore("association_rules", named)
 
@@ -96,34 +105,47 @@ def run_current(store: TableStore, as_of: int, params: MiningParams = MiningPara
     return rules
 
 
-def run_historical(
-    store: TableStore, as_of: int, params: MiningParams = MiningParams(),
-    window_days: int = 14, step_days: int = 7, app_ids: Sequence[int] | None = None,
-) -> DataFrame:
-    """Mines all windows of all apps, or of ``app_ids``, in one pass; a run carries the end of its window as its time."""
+def mine_history(
+    store: TableStore, as_of: int, params: MiningParams, window_days: int = 14, step_days: int = 7,
+    app_ids: Sequence[int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rules and runs per ``app_id, window_no`` of all windows of all apps, or of ``app_ids``, in one pass."""
     reviews, kpis = store.read("reviews"), store.read("daily_kpis")
     if app_ids is not None:
         reviews = reviews.filter(F.col("app_id").isin(list(app_ids)))
     baskets, windows = historical_baskets(reviews, kpis, as_of, params.min_reviews, window_days, step_days)
-    keys = ["app_id", "window_no"]
     rules = cut_lineage(
-        mine(baskets, keys, params.min_support, params.min_confidence, params.min_lift, params.deduplicate_mode)
+        mine(baskets, WINDOW, params.min_support, params.min_confidence, params.min_lift, params.deduplicate_mode)
     )
     runs = windows.select(
-        *keys,
+        *WINDOW,
         F.timestamp_seconds("window_end").alias("timestamp"),
         F.lit(window_days).alias("window_size_days"),
         F.col("total_reviews").cast("int").alias("total_reviews"),
     )
-    save_mining_results(store, rules, runs, keys, params)
+    return rules, runs
+
+
+def run_historical(
+    store: TableStore, as_of: int, params: MiningParams = MiningParams(),
+    window_days: int = 14, step_days: int = 7, app_ids: Sequence[int] | None = None,
+) -> DataFrame:
+    """Mines the history and adds its runs; a run carries the end of its window as its time."""
+    rules, runs = mine_history(store, as_of, params, window_days, step_days, app_ids)
+    save_mining_results(store, rules, runs, WINDOW, params)
     return rules
 
 
 def remine(store: TableStore, app_ids: Sequence[int], as_of: int, params: MiningParams = MiningParams()) -> DataFrame:
-    """Clears the rules and runs of the apps, then mines their history again; other apps are left alone."""
-    store.clear("association_rules", app_ids)
-    store.clear("mining_runs", app_ids)
-    return run_historical(store, as_of, params, app_ids=app_ids)
+    """Mines the history of the apps again; rules and runs of these apps give way to the new ones in one commit.
+
+    Other apps are left alone. Until the commit readers see the old runs, also where the job dies on the way.
+    """
+    rules, runs = mine_history(store, as_of, params, app_ids=app_ids)
+    named, records = mining_records(rules, runs, WINDOW, params)
+    apps = store.spark.createDataFrame([(int(app_id),) for app_id in app_ids], "app_id long")
+    store.replace({"association_rules": named, "mining_runs": records}, apps)
+    return rules
 
 
 def report(rules: DataFrame, runs: DataFrame) -> DataFrame:
