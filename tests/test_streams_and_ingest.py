@@ -1,13 +1,16 @@
 import json
+import os
 from datetime import date
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.operators import kpis as K
 from tidemark.operators.boosting import BoostParams
-from tidemark.plans import ingest
+from tidemark.plans import cycle, ingest
 from tidemark.plans.mining_jobs import MiningParams
+from tidemark.schemas import RAW_REVIEW_PAGE
 from tidemark.sources.raw import read_player_pages, read_review_pages
 from tidemark.sources.tables import TableStore
 from tidemark.streaming import ingest as S
@@ -143,3 +146,72 @@ def test_daily_cycle(spark, tmp_path):
     assert store.read("hyperparameter_tuning").count() == 1
     rows = spark.read.option("header", True).csv(latest).orderBy("day").collect()
     assert [str(r["day"]) for r in rows] == ["2001-08-01", "2001-08-02", "2001-08-03", "2001-08-04"]
+
+
+def test_late_rows_over_several_micro_batches(spark, tmp_path):
+    """One file a micro-batch: late rows of stored days are kept apart and change nothing; an open day takes its rows in."""
+    store, pages, late = TableStore(spark, str(tmp_path / "store")), tmp_path / "pages", str(tmp_path / "late")
+    arrivals = [
+        [player_page(1, "2001-07-01", range(24), 100)], [player_page(1, "2001-07-02", range(24), 200), player_page(2, "2001-07-02", [23], 7)],
+        [player_page(1, "2001-07-01", [5, 6], 9999), player_page(1, "2001-07-02", [3], 300), player_page(1, "2001-07-04", [9], 50)],
+        [player_page(1, "2001-07-02", [7], 9999), player_page(2, "2001-07-03", [1], 9999), player_page(1, "2001-07-04", [10], 60)]]
+    for i, own in enumerate(arrivals):
+        write_pages(pages, f"{i}.json", *own)
+        os.utime(pages / f"{i}.json", (1000 + i, 1000 + i))  # the oldest file first
+
+    def run():
+        stream = S.player_stream(spark, str(pages), max_files=1)
+        S.ingest_kpis(stream, store, str(tmp_path / "check")).awaitTermination()
+        S.keep_late(stream, late, str(tmp_path / "late-check")).awaitTermination()
+        days = {(r["app_id"], str(r["date"])): r["peak_concurrent"] for r in store.read("daily_kpis").collect()}
+        return days, {(r["app_id"], str(r["date"])): r["late"] for r in S.late_counts(spark, late).collect()}
+
+    expected = ({(1, "2001-07-01"): 123, (1, "2001-07-02"): 303, (2, "2001-07-02"): 30},
+                {(1, "2001-07-01"): 2, (1, "2001-07-02"): 1, (2, "2001-07-03"): 1})
+    assert run() == expected
+    assert run() == expected  # nothing new has arrived
+
+
+def test_a_cycle_goes_on_where_it_stopped(spark, tmp_path):
+    ledger, seen = str(tmp_path / "ledger"), []
+
+    def step(name, dies=False):
+        def job():
+            seen.append(name)
+            if dies:
+                raise ConnectionError(name)
+        return name, job
+
+    with pytest.raises(ConnectionError):
+        cycle.run_steps(spark, ledger, "d1", [step("a"), step("b", dies=True), step("c")])
+    assert cycle.run_steps(spark, ledger, "d1", [step("a"), step("b"), step("c")]) == ["b", "c"]
+    assert cycle.run_steps(spark, ledger, "d1", [step("a"), step("b"), step("c")]) == []
+    assert cycle.run_steps(spark, ledger, "d2", [step("a")]) == ["a"]
+    assert seen == ["a", "b", "b", "c", "a"]
+    assert {(r["cycle"], r["step"]) for r in cycle.finished_steps(spark, ledger).collect()} == {("d1", "a"), ("d1", "b"), ("d1", "c"), ("d2", "a")}
+
+
+def test_review_stream_that_died_in_a_batch(spark, tmp_path, monkeypatch):
+    """The reviews are stored, their batch is lost before its end: the batch repeats and stores nothing twice."""
+    store, pages = TableStore(spark, str(tmp_path / "store")), tmp_path / "pages"
+    write_pages(pages, "1.json", review_page(1, range(10)), review_page(2, range(3)))
+    scores = spark.createDataFrame([(a, str(i), '{"isSpam": %s}' % ("true" if i == 2 else "false")) for a in (1, 2) for i in range(10) if i != 1],
+                                   "app_id long, recommendationid string, scored string")
+    raw = spark.readStream.schema(RAW_REVIEW_PAGE).json(str(pages))
+
+    def run():
+        cycle.ingest_scored_reviews(raw, scores, store, str(tmp_path / "check"), AS_OF - 50).awaitTermination()
+
+    def lost(*args, **kwargs):
+        ingest.update_reviews(*args, **kwargs)
+        raise ConnectionError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(cycle, "update_reviews", lost)
+        with pytest.raises(StreamingQueryException):
+            run()
+    run()
+    stored = sorted((r["app_id"], r["recommendationid"]) for r in store.read("reviews").collect())
+    assert stored == [(1, str(i)) for i in range(10) if i not in (1, 2)] + [(2, "0")]
+    refused = {(r["app_id"], r["recommendationid"]): r["reason"] for r in cycle.review_outcomes(store).collect() if r["reason"]}
+    assert refused == {(1, "1"): "unscored", (1, "2"): "spam", (2, "1"): "unscored", (2, "2"): "spam"}

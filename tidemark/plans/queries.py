@@ -21,6 +21,7 @@ from tidemark.operators import reviews as R
 from tidemark.operators import status as S
 from tidemark.operators import tuning as T
 from tidemark.operators.search import halving_search
+from tidemark.plans import cycle
 from tidemark.plans import inputs as I
 from tidemark.plans import oracles as O
 from tidemark.plans.ingest import update_kpis, update_reviews
@@ -112,11 +113,8 @@ def kpi_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("player_pages", O.with_ctes(O.kpi_ctes(), f"SELECT {O.KPI_OUTPUT} FROM kpis"))
 def player_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations saved as JSON pages of an app and month, read back, updated twice into a store."""
-    month = F.substring("added", 1, 7)
-    pages = I.observations(spark, sf_dir).groupBy("app_id", month.alias("nextCursor")).agg(
-        F.collect_list(F.struct("players", "added")).alias("history"))
     folder = scratch_path(spark, "player-pages")
-    pages.write.json(f"{folder}/pages")
+    saved_player_pages(spark, sf_dir, f"{folder}/pages")
     read = read_player_pages(spark, f"{folder}/pages")
     store = tables.TableStore(spark, f"{folder}/store")
     update_kpis(store, read.filter(F.substring("added", 9, 2) <= "20"), None)
@@ -1003,15 +1001,31 @@ def stream_item_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.with_support(closed).select("app_id", "window_start", "item", "n", "n_baskets", *rounded(["support"]))
 
 
+REVIEW_STATE = """
+    SELECT *, CASE WHEN doc_id % 7 = 3 THEN 'unscored' WHEN doc_id % 10 = 9 OR trim(coalesce(text, '')) = '' THEN 'blank'
+                   WHEN doc_id % 12 = 5 THEN 'unreadable' WHEN doc_id % 8 = 0 THEN 'unstated' WHEN n_chars % 6 = 5 THEN 'range'
+                   WHEN toxic = 1 THEN 'spam' ELSE 'stored' END AS state
+    FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
 @register("review_update", f"""
     SELECT {I.REVIEW_COLUMNS['app_id']} AS app_id, doc_id::VARCHAR AS recommendationid, state,
-           CASE WHEN state = 'stored' THEN 1 + n_chars % 6 END AS gameplay FROM (
-        SELECT *, CASE WHEN doc_id % 7 = 3 THEN 'unscored' WHEN doc_id % 10 = 9 OR trim(coalesce(text, '')) = '' THEN 'blank'
-                       WHEN doc_id % 12 = 5 THEN 'unreadable' WHEN doc_id % 8 = 0 THEN 'unstated' WHEN n_chars % 6 = 5 THEN 'range'
-                       WHEN toxic = 1 THEN 'spam' ELSE 'stored' END AS state
-        FROM documents LEFT JOIN labels USING (doc_id))""")
+           CASE WHEN state = 'stored' THEN 1 + n_chars % 6 END AS gameplay FROM ({REVIEW_STATE})""")
 def review_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The update job from saved pages, run twice: what it stored, and why it did not store the rest."""
+    folder = scratch_path(spark, "review-update")
+    scores = saved_review_pages(spark, sf_dir, f"{folder}/pages")
+    store, pages = tables.TableStore(spark, f"{folder}/store"), read_review_pages(spark, f"{folder}/pages")
+    most = 1 << 30
+    update_reviews(store, pages.filter(F.col("raw.recommendationid").cast("long") % 3 == 0), scores, I.AS_OF, None, most, most // 2)
+    outcome = update_reviews(store, pages, scores, I.AS_OF, None, most, most // 2)
+    stored = store.read("reviews").select("app_id", "recommendationid", F.lit("stored").alias("state"), F.col("gameplay").cast("long").alias("gameplay"))
+    return stored.unionByName(outcome.filter("reason IS NOT NULL").select(
+        "app_id", "recommendationid", F.col("reason").alias("state"), F.lit(None).cast("long").alias("gameplay")))
+
+
+def saved_review_pages(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Writes the documents as review pages of about twenty reviews and returns the score answers, some missing or odd."""
     app = F.expr(I.REVIEW_COLUMNS["app_id"])
     documents = I.table(spark, sf_dir, "documents").join(I.table(spark, sf_dir, "labels"), "doc_id", "left")
     written = F.expr(I.REVIEW_COLUMNS["timestamp_updated"])
@@ -1019,20 +1033,97 @@ def review_update(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("string").alias("recommendationid"),
         F.when(F.col("doc_id") % 10 == 9, F.lit(" \n")).otherwise(F.col("text")).alias("review"), F.col("lang").alias("language"),
         written.alias("timestamp_created"), written.alias("timestamp_updated"), F.lit("0.5").alias("weighted_vote_score"))
-    folder = scratch_path(spark, "review-update")
-    # pages of about twenty reviews
     documents.groupBy(app.alias("app_id"), F.floor(F.col("doc_id") / 100).cast("string").alias("cursor")).agg(
-        F.collect_list(raw).alias("reviews")).write.json(f"{folder}/pages")
+        F.collect_list(raw).alias("reviews")).write.json(folder)
     answer = F.to_json(F.struct(
         F.when(F.col("doc_id") % 8 != 0, F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("isSpam"),
         (F.lit(1) + F.col("n_chars") % 6).alias("gameplay")))
-    scores = documents.filter(F.col("doc_id") % 7 != 3).select(
+    return documents.filter(F.col("doc_id") % 7 != 3).select(
         app.alias("app_id"), F.col("doc_id").cast("string").alias("recommendationid"),
         F.when(F.col("doc_id") % 12 == 5, F.lit("no scores")).otherwise(answer).alias("scored"))
-    store, pages = tables.TableStore(spark, f"{folder}/store"), read_review_pages(spark, f"{folder}/pages")
-    most = 1 << 30
-    update_reviews(store, pages.filter(F.col("raw.recommendationid").cast("long") % 3 == 0), scores, I.AS_OF, None, most, most // 2)
-    outcome = update_reviews(store, pages, scores, I.AS_OF, None, most, most // 2)
-    stored = store.read("reviews").select("app_id", "recommendationid", F.lit("stored").alias("state"), F.col("gameplay").cast("long").alias("gameplay"))
-    return stored.unionByName(outcome.filter("reason IS NOT NULL").select(
-        "app_id", "recommendationid", F.col("reason").alias("state"), F.lit(None).cast("long").alias("gameplay")))
+
+
+def saved_player_pages(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes the observations as pages of an app and month."""
+    I.observations(spark, sf_dir).groupBy("app_id", F.substring("added", 1, 7).alias("nextCursor")).agg(
+        F.collect_list(F.struct("players", "added")).alias("history")).write.json(folder)
+
+
+@register("cycle_restarted", O.with_ctes(
+    {**O.kpi_ctes(), "judged": REVIEW_STATE},
+    f"""SELECT 'day' AS kind, app_id, CAST(date AS VARCHAR) AS name, CAST(peak_concurrent AS VARCHAR) AS value, 1 AS n
+        FROM kpis WHERE date + INTERVAL 1 DAY <= (SELECT max(date) - INTERVAL 1 HOUR FROM kpis)
+        UNION ALL SELECT 'review', {I.REVIEW_COLUMNS['app_id']}, doc_id::VARCHAR, state, 1 FROM judged
+        UNION ALL SELECT 'step', NULL, unnest(['players', 'late players', 'reviews']), NULL, 1"""))
+def cycle_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streams of a cycle, started again after the reviews were stored but their step was lost: each row once.
+
+    Days within an hour of the newest observation are still open. A third start does nothing.
+    """
+    folder = scratch_path(spark, "cycle")
+    saved_player_pages(spark, sf_dir, f"{folder}/players")
+    scores = saved_review_pages(spark, sf_dir, f"{folder}/reviews")
+    store, most = tables.TableStore(spark, f"{folder}/store"), 1 << 30
+    inbox = cycle.Inbox(f"{folder}/players", f"{folder}/reviews", scores)
+    steps = cycle.ingest_steps(store, inbox, f"{folder}/state", I.AS_OF, None, most, most // 2)
+    ledger = f"{folder}/ledger"
+
+    def lost() -> None:
+        steps[2][1]()
+        raise ConnectionError
+
+    try:
+        cycle.run_steps(spark, ledger, I.AS_OF_DAY, [*steps[:2], ("reviews", lost)])
+    except ConnectionError:
+        cycle.run_steps(spark, ledger, I.AS_OF_DAY, steps)
+    cycle.run_steps(spark, ledger, I.AS_OF_DAY, steps)
+    none = F.lit(None).cast("string")
+    days = store.read("daily_kpis").select(
+        F.lit("day").alias("kind"), "app_id", F.col("date").cast("string").alias("name"), F.col("peak_concurrent").cast("string").alias("value"))
+    stored = store.read("reviews").select(F.lit("review").alias("kind"), "app_id", F.col("recommendationid").alias("name"), F.lit("stored").alias("value"))
+    refused = cycle.review_outcomes(store).filter("reason IS NOT NULL").select(
+        F.lit("review").alias("kind"), "app_id", F.col("recommendationid").alias("name"), F.col("reason").alias("value"))
+    finished = cycle.finished_steps(spark, ledger).select(
+        F.lit("step").alias("kind"), F.lit(None).cast("long").alias("app_id"), F.col("step").alias("name"), none.alias("value"))
+    every = days.unionByName(stored).unionByName(refused).unionByName(finished)
+    return every.groupBy("kind", "app_id", "name", "value").agg(F.count("*").alias("n"))
+
+
+@register("stream_late_rows", O.with_ctes(
+    {"arriving": f"""
+        SELECT *, CASE WHEN held THEN least(own + 1, 3) ELSE own END AS arrives FROM (
+            SELECT {I.EVENT_APP} AS app_id, CAST(floor(value * 100) AS INT) AS players, ts, CAST(ts AS DATE) AS date,
+                   event_id % 20 = 0 AS held,
+                   least(1 + (CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events)) // 10, 3) AS own FROM events)""",
+     "timed": """SELECT *, coalesce(date + INTERVAL 1 DAY <= CASE arrives
+                            WHEN 2 THEN (SELECT max(ts) FROM arriving WHERE arrives < 2)
+                            WHEN 3 THEN (SELECT max(ts) FROM arriving WHERE arrives < 3) END - INTERVAL 1 HOUR, false) AS is_late
+                 FROM arriving""",
+     "counts": "SELECT app_id, date, count(*) AS late FROM timed WHERE is_late GROUP BY ALL",
+     **O.kpi_ctes("SELECT app_id, players, date FROM timed WHERE NOT is_late")},
+    f"""SELECT {O.KPI_OUTPUT}, coalesce(late, 0) AS late FROM kpis LEFT JOIN counts USING (app_id, date)
+        WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""))
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals of ten days each; one event in twenty comes an arrival later. Stored days stay, late rows are kept apart."""
+    events = I.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    first = events.agg(F.to_date(F.min("ts"))).first()[0]
+    own = F.least(F.lit(1) + F.floor(F.date_diff(F.to_date("ts"), F.lit(first)) / 10), F.lit(3))
+    pages = events.groupBy(
+        F.when(F.col("event_id") % 20 == 0, F.least(own + 1, F.lit(3))).otherwise(own).alias("arrives"),
+        F.expr(I.EVENT_APP).cast("long").alias("app_id"), F.date_format("ts", "yyyy-MM-dd HH").alias("nextCursor"),
+    ).agg(F.collect_list(F.struct(
+        F.floor(F.col("value") * 100).cast("int").alias("players"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("added"))).alias("history"))
+    pages = cut_lineage(pages)
+    folder = scratch_path(spark, "late")
+    store = tables.TableStore(spark, f"{folder}/store")
+    for arrival in (1, 2, 3):
+        pages.filter(F.col("arrives") == arrival).drop("arrives").write.mode("append").json(f"{folder}/in")
+        observations = streams.player_stream(spark, f"{folder}/in")
+        streams.ingest_kpis(observations, store, f"{folder}/days").awaitTermination()
+        streams.keep_late(observations, f"{folder}/late", f"{folder}/late-checkpoint").awaitTermination()
+    late = streams.late_counts(spark, f"{folder}/late")
+    days = store.read("daily_kpis").join(late, ["app_id", "date"], "left")
+    return days.select(
+        "app_id", "date", *rounded(["mean_concurrent", "median_concurrent"]), "peak_concurrent", "min_concurrent",
+        *rounded(["pct_change"]), "trend", F.coalesce("late", F.lit(0)).alias("late"))

@@ -6,6 +6,8 @@ Every stream takes its checkpoint folder from the caller, below the shared folde
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -47,9 +49,10 @@ def ingest_reviews(reviews: DataFrame, store: TableStore, checkpoint: str) -> St
     )
 
 
-def player_stream(spark: SparkSession, path: str) -> DataFrame:
-    """``app_id, players, ts`` from arriving pages of player history."""
-    pages = spark.readStream.schema(RAW_PLAYER_PAGE).json(path)
+def player_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """``app_id, players, ts`` from arriving pages of player history, ``max_files`` of them at once, the oldest first."""
+    reader = spark.readStream.schema(RAW_PLAYER_PAGE)
+    pages = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).json(path)
     return explode_players(pages).select("app_id", "players", F.try_to_timestamp("added").alias("ts"))
 
 
@@ -74,6 +77,9 @@ def closed_days(observations: DataFrame, delay: str = KPI_DELAY) -> DataFrame:
 def ingest_kpis(observations: DataFrame, store: TableStore, checkpoint: str) -> StreamingQuery:
     """Appends closed days; a day that is stored is never revised.
 
+    A row is late if the batches before its own closed its day. Left to itself Spark lags by one more batch, for the sake
+    of several stateful operators in a row, which this stream has not.
+
     The change against the previous day spans batches, so a batch is joined by the newest stored
     day of each of its apps before the trend is computed.
     """
@@ -89,12 +95,49 @@ def ingest_kpis(observations: DataFrame, store: TableStore, checkpoint: str) ->
         target.append("daily_kpis", new)
         batch.unpersist()
 
+    conf, setting = observations.sparkSession.conf, "spark.sql.streaming.statefulOperator.allowMultiple"
+    before = conf.get(setting)
+    conf.set(setting, "false")  # a query keeps the settings it started with
+    try:
+        return (
+            closed_days(observations).writeStream.outputMode("append").foreachBatch(store_batch)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+    finally:
+        conf.set(setting, before)
+
+
+def keep_late(observations: DataFrame, folder: str, checkpoint: str, delay: timedelta = timedelta(hours=1)) -> StreamingQuery:
+    """Writes the rows that ``ingest_kpis`` drops: those of days which the watermark had passed before they arrived.
+
+    The stream must have the source options of the one that closes days, so that both see the same micro-batches. A
+    batch is late by the latest time of the batches before it, which are kept in ``folder/marks``. Both folders are
+    written by batch number, so a repeated batch writes the same rows again. Rows without a time are never late.
+    """
+    def store_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        latest = batch.agg(F.max("ts").alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{folder}/marks/batch={batch_id}")
+        marks = spark.read.schema("latest timestamp, batch long").parquet(f"{folder}/marks")
+        mark = marks.filter(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+        closed = F.lit(False) if mark is None else F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY") <= F.lit(mark - delay)
+        late = batch.filter(closed).write.mode("overwrite")
+        late.parquet(f"{folder}/rows/batch={batch_id}")
+        batch.unpersist()
+
     return (
-        closed_days(observations).writeStream.outputMode("append").foreachBatch(store_batch)
+        observations.writeStream.foreachBatch(store_batch)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def late_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``app_id, date, late``: how many rows of each stored day came too late."""
+    rows = spark.read.schema("app_id long, players int, ts timestamp, batch long").parquet(f"{folder}/rows")
+    return rows.groupBy("app_id", F.to_date("ts").alias("date")).agg(F.count("*").alias("late"))
+
+
 def sliding_counts(rows: DataFrame, time: str, delay: str, window_days: int = 14, step_days: int = 7,
                    start: str = "0 seconds") -> DataFrame:
     """Rows per app and sliding window; append mode emits a window once it is closed."""
