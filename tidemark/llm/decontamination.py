@@ -34,8 +34,13 @@ RESULT = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans":
           "clean_text": "string", "contaminated": "boolean"}
 
 
+def lowered(text: str) -> str:
+    """The text with A-Z in small letters, and no other letter changed."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.translate(_LOWER)) if text else []
+    return WORD.findall(lowered(text)) if text else []
 
 
 class SuffixAutomaton:
@@ -56,6 +61,9 @@ class SuffixAutomaton:
         for name, words in items:
             self._mark(len(self.names), words)
             self.names.append(name)
+        # runs of known words that can hold a window or a whole item; no match crosses another word
+        shortest = min([window, *(len(words) for _, words in items)])
+        self._runs = re.compile(b"\x01{%d,}" % max(shortest, 1))
 
     def _state(self, length: int, link: int, following: dict[str, int]) -> int:
         self.length.append(length)
@@ -124,29 +132,27 @@ class SuffixAutomaton:
         window, following, vocabulary = self.window, self.next, self.next[0]
         spans: list[list[int]] = []
         found: set[int] = set()
-        state = length = 0
-        for i, word in enumerate(words):
-            if word not in vocabulary:  # no item has it
-                state = length = 0
-                continue
-            if state == 0:
-                state, length = vocabulary[word], 1
-            elif (after := following[state].get(word)) is not None:
-                state, length = after, length + 1
-            else:
-                state, length = self.step(state, length, word)
-            first = i + 1
-            if length >= window:
-                found |= self.long[self.at_window(state)]
-                first = i + 1 - window
-            if state in ends_short:
-                for n, item in self.short_items(state, length):
-                    found.add(item)
-                    first = min(first, i + 1 - n)
-            if first <= i:
-                while spans and spans[-1][1] >= first:
-                    first = min(first, spans.pop()[0])
-                spans.append([first, i + 1])
+        known = bytes(map(vocabulary.__contains__, words))
+        for run in self._runs.finditer(known):
+            state = length = 0
+            for i in range(*run.span()):
+                word = words[i]
+                if (after := following[state].get(word)) is not None:
+                    state, length = after, length + 1
+                else:
+                    state, length = self.step(state, length, word)
+                first = i + 1
+                if length >= window:
+                    found |= self.long[self.at_window(state)]
+                    first = i + 1 - window
+                if state in ends_short:
+                    for n, item in self.short_items(state, length):
+                        found.add(item)
+                        first = min(first, i + 1 - n)
+                if first <= i:
+                    while spans and spans[-1][1] >= first:
+                        first = min(first, spans.pop()[0])
+                    spans.append([first, i + 1])
         return [(a, b) for a, b in spans], {self.names[k] for k in found}
 
     def _ends_short(self) -> set[int]:
@@ -172,7 +178,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the characters from each span's first word to its last."""
-    places = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
+    places = [m.span() for m in WORD.finditer(lowered(text))]
     out, at = [], 0
     for first, end in spans:
         out.append(text[at : places[first][0]])
@@ -200,10 +206,11 @@ def decontaminate(
     """
     groups = item_groups(benchmark, item_id_col, item_text_col, group_words)
     carried = [c for c in docs.columns if c not in RESULT]
-    found = docs.select(*carried, F.array().cast("array<string>").alias("items"),
+    found = docs.select(*carried, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<string>").alias("items"),
                         F.array().cast("array<struct<first:int,end:int>>").alias("spans"))
     context = docs.sparkSession.sparkContext
-    for part in sorted(r[0] for r in groups.select("part").distinct().collect()):
+    # without items, one empty group still counts the words
+    for part in sorted(r[0] for r in groups.select("part").distinct().collect()) or [0]:
         items = context.broadcast([(r["name"], r["text"]) for r in groups.filter(F.col("part") == part).collect()])
         found = found.mapInArrow(_scanner(items, text_col, window), found.schema)
     names = [*carried, *RESULT]
@@ -212,9 +219,9 @@ def decontaminate(
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in RESULT}
-            for text, items, spans in zip(*(batch.column(c).to_pylist() for c in (text_col, "items", "spans")), strict=True):
+            columns = (batch.column(c).to_pylist() for c in (text_col, "n_words", "items", "spans"))
+            for text, n_words, items, spans in zip(*columns, strict=True):
                 text, spans = text or "", [(s["first"], s["end"]) for s in spans]
-                n_words = len(words_of(text))
                 n_hit = sum(b - a for a, b in spans)
                 clean = text if not spans else "" if n_hit > max_share * n_words else without_spans(text, spans)
                 values = (n_words, n_hit, sorted(items), [{"first": a, "end": b} for a, b in spans], clean, bool(spans))
@@ -233,15 +240,17 @@ def _scanner(items, text_col: str, window: int):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = SuffixAutomaton([(name, words_of(text)) for name, text in items.value], window)
         for batch in batches:
-            names, spans = [], []
+            names, spans, sizes = [], [], []
             for text, own, before in zip(*(batch.column(c).to_pylist() for c in (text_col, "items", "spans")), strict=True):
-                more, hits = automaton.scan(words_of(text))
+                words = words_of(text)
+                sizes.append(len(words))
+                more, hits = automaton.scan(words)
                 names.append(sorted({*own, *hits}))
                 whole = _merged([*((s["first"], s["end"]) for s in before), *more])
                 spans.append([{"first": a, "end": b} for a, b in whole])
-            schema = batch.schema
-            k, m = schema.get_field_index("items"), schema.get_field_index("spans")
-            batch = batch.set_column(k, schema.field(k), pa.array(names, schema.field(k).type))
-            yield batch.set_column(m, schema.field(m), pa.array(spans, schema.field(m).type))
+            for name, values in (("n_words", sizes), ("items", names), ("spans", spans)):
+                k = batch.schema.get_field_index(name)
+                batch = batch.set_column(k, batch.schema.field(k), pa.array(values, batch.schema.field(k).type))
+            yield batch
 
     return scan
