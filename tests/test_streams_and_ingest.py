@@ -215,3 +215,36 @@ def test_review_stream_that_died_in_a_batch(spark, tmp_path, monkeypatch):
     assert stored == [(1, str(i)) for i in range(10) if i not in (1, 2)] + [(2, "0")]
     refused = {(r["app_id"], r["recommendationid"]): r["reason"] for r in cycle.review_outcomes(store).collect() if r["reason"]}
     assert refused == {(1, "1"): "unscored", (1, "2"): "spam", (2, "1"): "unscored", (2, "2"): "spam"}
+
+
+def test_daily_cycle_by_trigger(spark, tmp_path, monkeypatch):
+    """Streams, mining and tuning are done when the forecast fails; the second start only forecasts."""
+    store, players, reviews = TableStore(spark, str(tmp_path / "store")), tmp_path / "players", tmp_path / "reviews"
+    days = [date.fromordinal(date(2001, 6, 10).toordinal() + i) for i in range(53)]
+    write_pages(players, "1.json", *[
+        player_page(1, str(d), range(0, 24, 6), 500 + 100 * (d.weekday() >= 5) + i % 3) for i, d in enumerate(days)])
+    write_pages(reviews, "1.json", *[review_page(1, range(i * 20, i * 20 + 20), AS_OF - (i + 1) * DAY + 50) for i in range(10)])
+    scores = spark.range(200).select(
+        F.lit(1).cast("long").alias("app_id"), F.col("id").cast("string").alias("recommendationid"),
+        F.when(F.col("id") % 3 == 0, '{"isSpam": false, "story": 4, "audio": 2}').otherwise('{"isSpam": false, "story": 1, "gameplay": 5}').alias("scored"))
+
+    def run():
+        return cycle.daily_cycle(
+            store, cycle.Inbox(str(players), str(reviews), scores), str(tmp_path / "state"), AS_OF, str(tmp_path / "exports"),
+            MiningParams(min_support=0.2, min_reviews=50), review_days=None,
+            candidates=[BoostParams(n_estimators=2, max_depth=2)], forecast_days=4)
+
+    def lost(*_):
+        raise ConnectionError
+
+    with monkeypatch.context() as patch:
+        patch.setattr(cycle, "forecast_and_export", lost)
+        with pytest.raises(ConnectionError):
+            run()
+    assert run() == ["forecast"] and run() == []
+    # the newest day is open
+    assert store.read("daily_kpis").count() == 52 and store.read("reviews").count() == 200
+    assert store.read("mining_runs").count() == 1 and store.read("association_rules").count() > 0
+    assert S.late_counts(spark, store.path("late_players")).count() == 0
+    steps = [r["step"] for r in cycle.finished_steps(spark, str(tmp_path / "state/ledger")).orderBy("finished").collect()]
+    assert steps == ["players", "late players", "reviews", "mining", "tuning", "forecast"]
