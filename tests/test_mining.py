@@ -149,6 +149,44 @@ def test_mining_pass_matches_brute_force(spark, mode):
     assert found == {(g, *r) for g, b in groups.items() for r in brute_mine(b, 0.08, 0.4, 1.05, mode)}
 
 
+def test_best_splits_are_those_of_all_rules(spark):
+    groups = {1: random_baskets(21, 90, 9), 2: random_baskets(22, 40, 8)}
+    groups[3] = [["hw_x", "hw_y"]] * 3 + [["hw_x"], ["z"], []]
+    itemsets = M.frequent_itemsets(make_baskets(spark, groups), GROUP, 0.06).cache()
+    for confidence, lift in ((0.3, 1.05), (0.5, None), (0.99, 1.2)):
+        expected = M.prune_permutations(M.association_rules(itemsets, GROUP, confidence, lift), GROUP).collect()
+        columns = M.association_rules(itemsets, GROUP, confidence, lift).columns
+        for chunk_rows in (7, 50000):
+            found = M.best_splits(itemsets, GROUP, confidence, lift, chunk_rows).select(*columns).collect()
+            assert expected and sorted(map(repr, found)) == sorted(map(repr, expected))
+
+
+def test_sides_are_ordered_as_their_items():
+    for k in (1, 5, 33):
+        rng = random.Random(k)
+        sides = sorted({rng.randrange(1, 1 << k) for _ in range(300)})
+        numbers = list(zip(*(x.tolist() for x in M._side_order(M.np.array(sides, dtype=M.np.int64), k)), strict=True))
+        names = [[i for i in range(k) if s >> i & 1] for s in sides]
+        assert [names[i] for i in sorted(range(len(sides)), key=numbers.__getitem__)] == sorted(names)
+
+
+def test_redundancy_is_the_same_in_chunks(spark):
+    baskets = make_baskets(spark, {1: random_baskets(31, 80, 7)})
+    rules = M.association_rules(M.frequent_itemsets(baskets, GROUP, 0.08), GROUP, 0.4, 1.05).cache()
+    rows = [(tuple(r["antecedents"]), tuple(r["consequents"]), r["confidence"]) for r in rules.collect()]
+    expected = {(a, c) for a, c, x in rows if not any(
+        d == c and len(b) < len(a) and set(b) <= set(a) and x - y < M.MIN_IMPROVEMENT for b, d, y in rows)}
+    for chunk_rows in (5, 50000):
+        found = M.prune_redundant(rules, GROUP, chunk_rows=chunk_rows).collect()
+        assert {(tuple(r["antecedents"]), tuple(r["consequents"])) for r in found} == expected
+    assert 0 < len(expected) < len(rows)
+
+
+def test_groups_with_enough(spark):
+    kept = M.groups_with_enough(make_baskets(spark, {1: [["a"], []], 2: [["a"]]}), GROUP, 2).collect()
+    assert sorted((r["app_id"], r["items"]) for r in kept) == [(1, []), (1, ["a"])]
+
+
 def rules_frame(spark, rows):
     return spark.createDataFrame(
         [(1, sorted(a + c), list(a), list(c), conf, lift, .1) for a, c, conf, lift in rows],

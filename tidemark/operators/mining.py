@@ -34,6 +34,8 @@ UNIVERSAL_SHARE = 0.95
 MIN_IMPROVEMENT = 0.05
 BLOCK_ROWS = 16384
 OUTPUT_ROWS = 20000
+#: Itemsets or rules of a group in one task; splits held at once there.
+CHUNK_ROWS, SPLIT_CELLS = 50000, 1 << 22
 
 
 def distinct_baskets(baskets: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -42,6 +44,12 @@ def distinct_baskets(baskets: DataFrame, group: Sequence[str]) -> DataFrame:
     return ordered.groupBy(*group, "items").agg(F.count("*").alias("weight"))
 
 
+def groups_with_enough(baskets: DataFrame, group: Sequence[str], least: int) -> DataFrame:
+    """The baskets of groups that have at least ``least`` of them, empty ones included."""
+    enough = baskets.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
+    return attach_by_group(baskets, enough, list(group), ["items"]).drop("__n")
+
+
 def group_sizes(weighted: DataFrame, group: Sequence[str]) -> DataFrame:
     """``n_baskets`` per group, empty baskets included, and ``n_distinct`` of them."""
     return weighted.groupBy(*group).agg(F.sum("weight").alias("n_baskets"), F.count("*").alias("n_distinct"))
@@ -255,24 +263,12 @@ def _confident_splits(itemsets: DataFrame, group: list[str], min_confidence: flo
         )
 
 
-def association_rules(
-    itemsets: DataFrame, group: Sequence[str], min_confidence: float, min_lift: float | None
-) -> DataFrame:
-    """Every confident split of every frequent itemset into antecedents and consequents, with its metrics.
-
-    Ratios are taken from the counts, so two rules with equal lift compare as equal. Hardware-only
-    itemsets are left out before they are split: all their rules would be hardware-only.
-    """
-    group = list(group)
-    n = F.col("n_baskets")
-    confidence = F.col("support_count") / F.col("__ant")
-    sided = _confident_splits(itemsets, group, min_confidence).join(
-        itemsets.select(*group, F.col("items").alias("consequents"), F.col("support_count").alias("__cons")),
-        [*group, "consequents"],
-    )
+def with_metrics(sided: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Splits with their counts (``__ant``, ``__cons``) as rules with their metrics."""
+    n, confidence = F.col("n_baskets"), F.col("support_count") / F.col("__ant")
     ant, cons, both = F.col("__ant"), F.col("__cons"), F.col("support_count")
     ant_share, cons_share = ant / n, cons / n
-    rules = sided.select(
+    return sided.select(
         *group, "items", "antecedents", "consequents",
         ant_share.alias("antecedent_support"),
         cons_share.alias("consequent_support"),
@@ -284,9 +280,153 @@ def association_rules(
         .otherwise((F.lit(1.0) - cons_share) / F.nullif(F.lit(1.0) - confidence, F.lit(0.0)))
         .alias("conviction"),
     )
+
+
+def association_rules(
+    itemsets: DataFrame, group: Sequence[str], min_confidence: float, min_lift: float | None
+) -> DataFrame:
+    """Every confident split of every frequent itemset into antecedents and consequents, with its metrics.
+
+    Ratios are taken from the counts, so two rules with equal lift compare as equal. Hardware-only
+    itemsets are left out before they are split: all their rules would be hardware-only.
+    """
+    group = list(group)
+    sided = _confident_splits(itemsets, group, min_confidence).join(
+        itemsets.select(*group, F.col("items").alias("consequents"), F.col("support_count").alias("__cons")),
+        [*group, "consequents"],
+    )
+    rules = with_metrics(sided, group)
     return rules.filter(F.col("lift") >= F.lit(float(min_lift))) if min_lift else rules
 
 
+def _set_key(items: str) -> Column:
+    """64 bits of a set of items: the exclusive or of its items' hashes, so the key of a part follows from its items."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda key, i: key.bitwiseXOR(F.xxhash64(i)))
+
+
+def _dealt(rows: DataFrame, lookup: DataFrame, group: list[str], by: list[str], chunk_rows: int):
+    """(grouped rows, grouped look-up): the rows of a group in chunks, the look-up of the group beside each of them.
+
+    A look-up row is two numbers per frequent itemset of the group, fewer than the task held that named them.
+    """
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(chunk_rows)).cast("int").alias("__chunks"))
+    own = attach_by_group(rows, sizes, group, by).withColumn("__chunk", F.pmod(F.xxhash64(*by), "__chunks").cast("int"))
+    fresh = [F.col(c).alias(c) for c in lookup.columns]  # the two sides come from one table
+    beside = attach_by_group(lookup, sizes, group, ["__key"]).select(
+        *fresh, "__chunks", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)).alias("__chunk"))
+    # few rows, much work: chunks are spread over all partitions instead of packed by size
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tuple(
+        x.drop("__chunks").repartition(partitions, *group, "__chunk").groupBy(*group, "__chunk") for x in (own, beside))
+
+
+class _Lookup:
+    """Values by 64-bit key, as sorted arrays."""
+
+    def __init__(self, keys: pd.Series, values: pd.Series):
+        order = np.argsort(keys.to_numpy(), kind="stable")
+        self.keys, self.values = keys.to_numpy()[order], values.to_numpy()[order]
+        if len(order) > 1 and (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two sets of a group share their 64-bit key")
+
+    def __call__(self, keys: np.ndarray, absent) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], absent)
+
+
+def _slices(lists: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, rows) for lists of equal length, few enough rows that all their parts fit in memory."""
+    lengths = lists.map(len).to_numpy()
+    for k in np.unique(lengths):
+        rows = np.flatnonzero(lengths == k)
+        step = max(1, SPLIT_CELLS >> int(k))
+        for first in range(0, len(rows), step):
+            yield int(k), rows[first : first + step]
+
+
+def _side_order(sides: np.ndarray, k: int) -> list[np.ndarray]:
+    """Numbers that order sides (bits of positions in a sorted itemset) as their arrays of items are ordered."""
+    out = []
+    for first in range(0, k, 30):
+        number = np.zeros(len(sides), dtype=np.int64)
+        for i in range(first, min(first + 30, k)):
+            later = sides >> i
+            number = 3 * number + np.where(later == 0, 0, np.where(later & 1, 1, 2))
+        out.append(number)
+    return out
+
+
+def _best_sides(
+    hashes: np.ndarray, both: np.ndarray, n: np.ndarray, counts: _Lookup, min_confidence: float, min_lift: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bits of the antecedents, their count, count of the consequents) of the best split of each row that has one.
+
+    Consequents grow item by item, for all rows at once. Confidence only falls as they grow, so only confident ones do.
+    """
+    m, k = hashes.shape
+    whole, everything = np.bitwise_xor.reduce(hashes, axis=1), (1 << k) - 1
+    row = np.tile(np.arange(m), k)
+    mask, key = np.repeat(np.int64(1) << np.arange(k, dtype=np.int64), m), hashes.T.ravel()
+    last, found = np.repeat(np.arange(k), m), []
+    for size in range(1, k):
+        ant = counts(whole[row] ^ key, 0)
+        kept = np.flatnonzero(both[row] / ant >= min_confidence)
+        row, mask, key, last, ant = row[kept], mask[kept], key[kept], last[kept], ant[kept]
+        if not len(row):
+            break
+        found.append((row, everything ^ mask, ant, counts(key, 0)))
+        if size + 1 < k:
+            longer = [(i, np.flatnonzero(last < i)) for i in range(1, k)]
+            row, mask, key, last = (np.concatenate(x) for x in zip(*(
+                (row[at], mask[at] | (1 << i), key[at] ^ hashes[row[at], i], np.full(len(at), i)) for i, at in longer), strict=True))
+    if not found:
+        return (np.empty(0, dtype=np.int64),) * 4
+    row, sides, ant, cons = (np.concatenate(x) for x in zip(*found, strict=True))
+    lift = (both[row].astype(float) * n[row]) / (ant.astype(float) * cons)
+    kept = np.flatnonzero(lift >= min_lift)
+    row, sides, ant, cons, lift = row[kept], sides[kept], ant[kept], cons[kept], lift[kept]
+    order = np.lexsort((*_side_order(sides, k)[::-1], -(both[row] / ant), -lift, row))
+    order = order[np.append(True, np.diff(row[order]) != 0)] if len(order) else order
+    return row[order], sides[order], ant[order], cons[order]
+
+
+def best_splits(
+    itemsets: DataFrame, group: Sequence[str], min_confidence: float, min_lift: float | None, chunk_rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Of each frequent itemset the split that ``prune_permutations`` would choose from ``association_rules``.
+
+    Splits are made and compared inside tasks and never become rows; an itemset may have up to 62 items.
+    """
+    group = list(group)
+    fields = {f.name: f.dataType.simpleString() for f in itemsets.schema}
+    out = [*group, "items", "support_count", "n_baskets", "antecedents", "__ant", "consequents", "__cons"]
+    rows = itemsets.filter((F.size("items") >= 2) & ~is_hardware_only(F.col("items"))).select(
+        *group, "items", "support_count", "n_baskets", F.transform("items", lambda i: F.xxhash64(i)).alias("__hashes"))
+    lookup = itemsets.select(*group, _set_key("items").alias("__key"), "support_count")
+    own, beside = _dealt(rows, lookup, group, ["items"], chunk_rows)
+
+    def split(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        counts = _Lookup(table["__key"], table["support_count"])
+        for k, at in _slices(rows["items"]):
+            some = rows.iloc[at]
+            row, sides, ant, cons = _best_sides(
+                np.stack(some["__hashes"].to_numpy()).astype(np.int64), some["support_count"].to_numpy(),
+                some["n_baskets"].to_numpy(), counts, min_confidence, min_lift or 0.0)
+            held = (sides[:, None] >> np.arange(k)) & 1 == 1
+            best = some.iloc[row].assign(__ant=ant, __cons=cons)
+            names = [np.asarray(items, dtype=object) for items in best["items"]]
+            best["antecedents"] = pd.Series([x[h] for x, h in zip(names, held, strict=True)], index=best.index, dtype=object)
+            best["consequents"] = pd.Series([x[~h] for x, h in zip(names, held, strict=True)], index=best.index, dtype=object)
+            parts.append(best[out])
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=out)
+
+    side = "array<string>"
+    ddl = ", ".join([*(f"`{g}` {fields[g]}" for g in group), f"items {side}", "support_count long", "n_baskets long",
+                     f"antecedents {side}", "__ant long", f"consequents {side}", "__cons long"])
+    return with_metrics(own.cogroup(beside).applyInPandas(split, ddl), group)
+
+
 def _best_rule(rules: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rule of highest lift per key; ties go to confidence, support, then the sides' order.
 
@@ -321,31 +461,36 @@ def dedupe_antecedents(rules: DataFrame, group: Sequence[str]) -> DataFrame:
 
 
 def prune_redundant(
-    rules: DataFrame, group: Sequence[str], min_improvement: float = MIN_IMPROVEMENT
+    rules: DataFrame, group: Sequence[str], min_improvement: float = MIN_IMPROVEMENT, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """Drops a rule whose confidence gains too little over one with fewer antecedents.
 
-    A base rule meets only the rules of its consequents that hold its rarest antecedent, and is then tested for
-    containment. Dropped rules still serve as a base for others.
+    A rule looks up the parts of its own antecedents among the rules of its consequents, by 64-bit keys, instead of
+    meeting those rules. Dropped rules still serve as a base for others.
     """
     group = list(group)
-    key, anchored = [*group, "antecedents", "consequents"], [*group, "consequents", "__item"]
-    held = rules.select(*key, "confidence", F.explode("antecedents").alias("__item"))
-    rarest = attach_by_group(
-        held, held.groupBy(*anchored).agg(F.count("*").alias("__n")), anchored, ["antecedents"]
-    ).groupBy(*key, "confidence").agg(F.min(F.struct("__n", "__item")).alias("__a"))
-    bases = rarest.select(
-        *group, "consequents", F.col("__a.__item").alias("__item"), F.col("antecedents").alias("__base"),
-        F.col("confidence").alias("__base_confidence"),
-    )
-    redundant = (
-        held.join(bases, anchored)
-        .filter(F.size("__base") < F.size("antecedents"))
-        .filter(F.size(F.array_except("__base", "antecedents")) == 0)
-        .filter(F.col("confidence") - F.col("__base_confidence") < F.lit(float(min_improvement)))
-        .select(*key).distinct()
-    )
-    return rules.join(redundant, key, "left_anti")
+    fields = {f.name: f.dataType.simpleString() for f in rules.schema}
+    key, side = [*group, "antecedents", "consequents"], F.xxhash64(F.lit("consequents"), F.sort_array("consequents"))
+    rows = rules.select(*key, "confidence", F.transform("antecedents", lambda i: F.xxhash64(i)).alias("__hashes"), side.alias("__side"))
+    lookup = rules.groupBy(*group, _set_key("antecedents").bitwiseXOR(side).alias("__key")).agg(F.max("confidence").alias("confidence"))
+    own, beside = _dealt(rows.filter(F.size("antecedents") >= 2), lookup, group, ["antecedents", "consequents"], chunk_rows)
+
+    def find(rows: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        confidences = _Lookup(table["__key"], table["confidence"])
+        for k, at in _slices(rows["antecedents"]):
+            some = rows.iloc[at]
+            hashes = np.stack(some["__hashes"].to_numpy()).astype(np.int64)
+            keys, best = some["__side"].to_numpy()[:, None], np.full(len(some), -np.inf)
+            for i in range(k):
+                keys = np.concatenate([keys, keys ^ hashes[:, i : i + 1]], axis=1)
+            for part in range(1, keys.shape[1] - 1):
+                best = np.maximum(best, confidences(keys[:, part], -np.inf))
+            parts.append(some.loc[some["confidence"].to_numpy() - best < min_improvement, key])
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=key)
+
+    ddl = ", ".join(f"`{c}` {fields[c]}" for c in key)
+    return rules.join(own.cogroup(beside).applyInPandas(find, ddl), key, "left_anti")
 
 
 def prune_rules(rules: DataFrame, group: Sequence[str], deduplicate_mode: str = "both") -> DataFrame:
@@ -369,7 +514,10 @@ def mine(
 ) -> DataFrame:
     """The full mining pass per group, highest lift first; both sides come out as ``"a AND b"`` text."""
     itemsets = cut_lineage(frequent_itemsets(baskets, group, min_support, block_rows))
-    rules = association_rules(itemsets, group, min_confidence, min_lift)
+    if deduplicate_mode in ("itemset", "both"):
+        rules = best_splits(itemsets, group, min_confidence, min_lift)
+    else:
+        rules = association_rules(itemsets, group, min_confidence, min_lift)
     return by_lift(rules_as_text(prune_rules(rules, group, deduplicate_mode), group))
 
 

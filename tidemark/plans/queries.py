@@ -362,6 +362,22 @@ def mining_pass_low_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_output(M.mine(clean_review_baskets(spark, sf_dir), APP, LOW_SUPPORT, CONFIDENCE, LIFT), "app_id")
 
 
+#: Below 150 reviews the job's support asks for one or two baskets, and every part of a basket is an itemset.
+JOB_SUPPORT, JOB_MIN_REVIEWS = MiningParams().min_support, 150
+JOB_MINED = {
+    **O.basket_ctes(),
+    **O.itemset_ctes(f"{O.REVIEW_GROUP} QUALIFY count(*) OVER (PARTITION BY app_id) >= {JOB_MIN_REVIEWS}", JOB_SUPPORT),
+    **O.rule_ctes(CONFIDENCE, LIFT), **O.prune_ctes(),
+}
+
+
+@register("mining_pass_job_support", O.with_ctes(JOB_MINED, f"SELECT grp AS app_id, {O.RULE_OUTPUT} FROM pruned", True))
+def mining_pass_job_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole pass at the support of the mining job, for apps with enough reviews."""
+    baskets = M.groups_with_enough(clean_review_baskets(spark, sf_dir), APP, JOB_MIN_REVIEWS)
+    return rule_output(M.mine(baskets, APP, JOB_SUPPORT, CONFIDENCE, LIFT), "app_id")
+
+
 WINDOW_MINED = {
     **O.basket_ctes(), **O.window_ctes(WINDOW_MIN_REVIEWS),
     **O.itemset_ctes(
