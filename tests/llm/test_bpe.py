@@ -48,3 +48,37 @@ def test_nothing(nothing):
 def test_null_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(None,), ([],)], "ids array<int>")
     assert [bytes(r[0]) for r in B.decode(rows, PATH).select("decoded").collect()] == [b"", b""]
+
+
+def test_what_is_forgotten_is_learnt_again(library):
+    encoder = B.BlockEncoder(PATH, public_tokenizers.PATTERN, known_bytes=4000)
+    for turn in range(6):
+        texts = [f"worde{turn}x{i} again{i % 7}, zzqx{i % 3}  {i}" for i in range(40)]
+        ends, ids = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+    assert encoder.spaced.size < 40_000 and encoder.pieces.size < 80_000
+
+
+def test_odd_ids(spark, monkeypatch):
+    monkeypatch.setattr(B, "DECODE_BYTES", 7)
+    table = B.token_bytes(PATH)
+    rows = [(list(range(k, k + k % 5)),) for k in range(300, 400)] + [(None,), ([],)]
+    out = B.decode(spark.createDataFrame(rows, "ids array<int>").coalesce(1), PATH).collect()
+    assert [(r["ids"], bytes(r["decoded"])) for r in out] == [(x, b"".join(table[i] for i in x or ())) for (x,) in rows]
+    for wrong in ([len(table)], [-1], [None]):
+        with pytest.raises(Exception, match="outside the vocabulary"):
+            B.decode(spark.createDataFrame([(wrong,)], "ids array<int>"), PATH).collect()
+
+
+def test_query_digests(spark, library):
+    import hashlib
+
+    from tidemark.llm import queries as Q
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = Q.op4_byte_bpe(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()

@@ -24,15 +24,21 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from tidemark.llm.common import with_fields
 
-#: Code points of text in a block; pieces and pairs that a worker remembers between blocks.
-BLOCK_CHARS, KNOWN_PIECES, KNOWN_PAIRS = 4_000_000, 400_000, 500_000
+#: Code points of text in a block; bytes of the parts and of the pieces that a worker remembers between blocks, in two
+#: generations each; pairs that it remembers.
+BLOCK_CHARS, KNOWN_BYTES, KNOWN_PAIRS = 1_000_000, 72_000_000, 200_000
+#: What an entry takes besides its text and ids: two objects and its place in the table.
+ENTRY_BYTES = 160
 #: Distinct pieces whose merges are replayed together: their positions stay in the cache.
 REPLAY_WORDS = 8_000
+#: Bytes of texts decoded at once.
+DECODE_BYTES = 8 << 20
 
 
 @lru_cache(maxsize=4)
@@ -56,35 +62,38 @@ class PairRanks(dict):
     def __init__(self, ranks: dict[bytes, int], table: list[bytes]):
         super().__init__()
         self.ranks, self.table = ranks, table
+        self.single = np.array([ranks[bytes((x,))] for x in range(256)], np.int64)
+        self.of_bytes = np.array([[ranks.get(bytes((x, y)), -1) for y in range(256)] for x in range(256)], np.int64)
 
     def __missing__(self, pair: int) -> int:
         found = self[pair] = self.ranks.get(self.table[pair >> 32] + self.table[pair & 0xFFFFFFFF], -1)
         return found
 
 
-def replay_merges(words: list[bytes], pairs: PairRanks) -> list[list[int]]:
-    """Ids of each word, all words merged together in rank order."""
-    single = [pairs.ranks[bytes((x,))] for x in range(256)] if words else []
-    tokens: list[int] = []
-    owner: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    places: dict[int, list[int]] = {}
-    for k, word in enumerate(words):
-        first, n = len(tokens), len(word)
-        tokens += [single[x] for x in word]
-        owner += [k] * n
-        after += range(first + 1, first + n)
-        after.append(-1)
-        before.append(-1)
-        before += range(first, first + n - 1)
-        for i in range(first, first + n - 1):
-            rank = pairs[tokens[i] << 32 | tokens[i + 1]]
-            if rank >= 0:
-                if rank in places:
-                    places[rank].append(i)
-                else:
-                    places[rank] = [i]
+def replay_merges(words: list[bytes], pairs: PairRanks) -> list[bytes]:
+    """Ids of each word, as 32-bit numbers, all words merged together in rank order."""
+    if not words:
+        return []
+    data, lengths = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+    ends, n = np.cumsum(lengths), len(data)
+    after_all, before_all = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after_all[ends - 1] = -1
+    before_all[ends - lengths] = -1
+    tokens: list[int] = pairs.single[data].tolist()
+    owner: list[int] = np.repeat(np.arange(len(words)), lengths).tolist()
+    after: list[int] = after_all.tolist()
+    before: list[int] = before_all.tolist()
+    # the index: the first pairs of all words, sorted by rank and, within a rank, by position
+    first_ranks = np.full(n, -1, np.int64)
+    first_ranks[:-1] = pairs.of_bytes[data[:-1], data[1:]]
+    first_ranks[ends - 1] = -1
+    order = np.argsort(first_ranks, kind="stable")
+    order = order[np.searchsorted(first_ranks[order], 0) :]
+    ranks, starts = np.unique(first_ranks[order], return_index=True)
+    listed_all = order.tolist()
+    stops = [*starts[1:].tolist(), len(listed_all)][: len(starts)]
+    places: dict[int, list[int]] = {
+        rank: listed_all[x:y] for rank, x, y in zip(ranks.tolist(), starts.tolist(), stops, strict=True)}
     queue = list(places)
     heapq.heapify(queue)
     while queue:
@@ -129,18 +138,40 @@ def replay_merges(words: list[bytes], pairs: PairRanks) -> list[list[int]]:
         if waiting:
             places.setdefault(rank, []).extend(waiting)
             heapq.heappush(queue, rank)
-    ids: list[list[int]] = []
-    first = 0
-    for word in words:
-        ids.append([x for x in tokens[first : first + len(word)] if x >= 0])
-        first += len(word)
-    return ids
+    left_over = np.array(tokens, "<i4")
+    alive = left_over >= 0
+    packed = left_over[alive].tobytes()
+    cuts = [0, *(4 * np.cumsum(alive)[ends - 1]).tolist()]
+    return [packed[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
 
 
 # White space beside a space: only there does a piece reach over a space, or end before one.
 _RUN = re.compile(r" \s|\s ")
 
 
+class Known:
+    """Ids by text in two generations, bounded by bytes: what is not asked for while the newer one fills is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.size = limit // 2, 0
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, texts: set[str]) -> list[str]:
+        """Those of the texts that are in no generation; the others are in the newer one afterwards."""
+        if self.size > self.limit:
+            self.old, self.new, self.size = self.new, {}, 0
+        unknown = texts.difference(self.new)
+        again = unknown.intersection(self.old)
+        self.update(again, list(map(self.old.__getitem__, again)))
+        return list(unknown.difference(again))
+
+    def update(self, texts: Iterable[str], ids: list[bytes]) -> None:
+        """The ids of texts that the newer generation does not hold."""
+        self.new.update(zip(texts, ids, strict=True))
+        self.size += ENTRY_BYTES * len(ids) + sum(map(len, texts)) + sum(map(len, ids))
+
+
 class BlockEncoder:
     """Encodes blocks of texts; a Python worker keeps one, and what it knows, for its next task.
 
@@ -149,61 +180,43 @@ class BlockEncoder:
     once; texts with runs of white space around a space are one part.
     """
 
-    def __init__(self, path: str, pattern: str, known_pieces: int = KNOWN_PIECES):
+    def __init__(self, path: str, pattern: str, known_bytes: int = KNOWN_BYTES):
         self.ranks = read_ranks(path)
         self.pairs = PairRanks(self.ranks, token_bytes(path))
         self.cut = regex.compile(pattern)
-        self.spaced: dict[str, bytes] = {}  # parts without their leading space
-        self.pieces: dict[str, bytes] = {}
-        # what is not asked for while the newer half fills is forgotten
-        self.old_spaced: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.known_pieces = known_pieces
+        self.spaced = Known(known_bytes)  # parts without their leading space
+        self.pieces = Known(known_bytes)
 
     def _learn(self, parts: list[str]) -> list[bytes]:
         """Ids of the parts, as 32-bit numbers: their pieces that are new are merged together."""
         cuts = [self.cut.findall(part) for part in parts]
-        if 2 * len(self.pieces) > self.known_pieces:
-            self.old_pieces, self.pieces = self.pieces, {}
         if len(self.pairs) > KNOWN_PAIRS:
             self.pairs.clear()
         collecting = gc.isenabled()
         gc.disable()  # millions of small lists, and no cycles among them
-        fresh = []
-        for piece in set(chain.from_iterable(cuts)).difference(self.pieces):
-            if piece in self.old_pieces:
-                self.pieces[piece] = self.old_pieces[piece]
-                continue
-            data = piece.encode("utf-8")
-            whole = self.ranks.get(data)
-            if whole is None:
-                fresh.append((piece, data))
-            else:
-                self.pieces[piece] = whole.to_bytes(4, "little")
+        wanted = self.pieces.missing(set(chain.from_iterable(cuts)))
+        coded = [piece.encode("utf-8") for piece in wanted]
+        ranks = list(map(self.ranks.get, coded))
+        whole = [k for k, rank in enumerate(ranks) if rank is not None]
+        single = np.array([ranks[k] for k in whole], "<i4").tobytes()
+        self.pieces.update([wanted[k] for k in whole], [single[x : x + 4] for x in range(0, len(single), 4)])
+        fresh = [k for k, rank in enumerate(ranks) if rank is None]
         for first in range(0, len(fresh), REPLAY_WORDS):
             own = fresh[first : first + REPLAY_WORDS]
-            for (piece, _), ids in zip(own, replay_merges([d for _, d in own], self.pairs), strict=True):
-                self.pieces[piece] = np.array(ids, "<i4").tobytes()
+            self.pieces.update([wanted[k] for k in own], replay_merges([coded[k] for k in own], self.pairs))
         if collecting:
             gc.enable()
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, cut)) for cut in cuts]
+        get = self.pieces.new.__getitem__
+        return [get(cut[0]) if len(cut) == 1 else b"".join(map(get, cut)) for cut in cuts]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ends of the texts, ids of all of them)."""
         split = [[text] if _RUN.search(text) else text.split(" ") for text in texts]
-        if 2 * len(self.spaced) > self.known_pieces:
-            self.old_spaced, self.spaced = self.spaced, {}
         heads = [parts[0] for parts in split]
-        fresh = []
-        for part in set(chain.from_iterable(parts[1:] for parts in split)).difference(self.spaced):
-            if part in self.old_spaced:
-                self.spaced[part] = self.old_spaced[part]
-            else:
-                fresh.append(part)
+        fresh = self.spaced.missing(set(chain.from_iterable(parts[1:] for parts in split)))
         found = self._learn([*heads, *(" " + part for part in fresh)])
-        self.spaced.update(zip(fresh, found[len(heads):], strict=True))
-        get = self.spaced.__getitem__
+        self.spaced.update(fresh, found[len(heads):])
+        get = self.spaced.new.__getitem__
         rows = [head + b"".join(map(get, parts[1:])) for head, parts in zip(found, split, strict=False)]
         ends = np.cumsum([0, *(len(row) // 4 for row in rows)], dtype=np.int64)
         return ends, np.frombuffer(b"".join(rows), "<i4")
@@ -245,17 +258,35 @@ def encode(
     return docs.mapInArrow(run, with_fields(docs.schema, "ids array<int>"))
 
 
+def _within(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows of about DECODE_BYTES; a longer row is a run of its own."""
+    first, n = 0, len(ends) - 1
+    while first < n:
+        end = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODE_BYTES, "right")) - 1)
+        yield first, end
+        first = end
+
+
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded binary``, the bytes that the ids stand for."""
     rows = rows.select(*[c for c in rows.columns if c != "decoded"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(ranks_path)
-        get = table.__getitem__
+        table = pa.array(token_bytes(ranks_path), pa.large_binary())
+        sizes = np.diff(np.frombuffer(table.buffers()[1], np.int64, len(table) + 1))
         for batch in batches:
             column = batch.column(ids_col)
-            texts = [b"".join(map(get, row.values.tolist() if row.is_valid else ())) for row in column]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+            ids = column.flatten()  # without what null rows hold
+            if ids.null_count or (len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(table)):
+                raise ValueError("an id outside the vocabulary")
+            # tokens laid end to end are the texts laid end to end
+            lengths = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)])
+            ends = np.concatenate([[0], np.cumsum(sizes[ids.to_numpy(zero_copy_only=False)])])[lengths]
+            for first, end in _within(ends):
+                some = table.take(ids.slice(lengths[first], lengths[end] - lengths[first]))
+                offsets = pa.py_buffer((ends[first : end + 1] - ends[first]).astype(np.int32))
+                texts = pa.BinaryArray.from_buffers(pa.binary(), end - first, [None, offsets, some.buffers()[2]])
+                own = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*own.columns, texts], names=[*own.schema.names, "decoded"])
 
     return rows.mapInArrow(run, with_fields(rows.schema, "decoded binary"))
