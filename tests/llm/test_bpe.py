@@ -38,6 +38,9 @@ def test_frames_equal_the_library_and_decode(library, documents, odd):
         for r in rows:
             assert r["ids"] == library.encode_ordinary(r["text"] or "")
             assert bytes(r["decoded"]).decode() == (r["text"] or "")
+        again = B.round_trip(frame, PATH, public_tokenizers.PATTERN, block_chars=20_000)
+        assert again.columns == B.decode(encoded, PATH).columns
+        assert sorted(map(repr, again.select("text", "ids", "decoded").collect())) == sorted(map(repr, rows))
 
 
 def test_nothing(nothing):

@@ -32,7 +32,7 @@ from tidemark.llm.common import with_fields
 
 #: Code points of text in a block; bytes of the parts and of the pieces that a worker remembers between blocks, in two
 #: generations each; pairs that it remembers.
-BLOCK_CHARS, KNOWN_BYTES, KNOWN_PAIRS = 1_000_000, 72_000_000, 200_000
+BLOCK_CHARS, KNOWN_BYTES, KNOWN_PAIRS = 1_000_000, 64_000_000, 200_000
 #: What an entry takes besides its text and ids: two objects and its place in the table.
 ENTRY_BYTES = 160
 #: Distinct pieces whose merges are replayed together: their positions stay in the cache.
@@ -227,16 +227,53 @@ def block_encoder(path: str, pattern: str) -> BlockEncoder:
     return BlockEncoder(path, pattern)
 
 
+def runs_of(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of runs of rows of about ``most`` in size together; a larger row is a run of its own."""
+    first = total = end = 0
+    for end, size in enumerate(sizes, 1):
+        if end - 1 > first and total + size > most:
+            yield first, end - 1
+            first, total = end - 1, 0
+        total += size
+    if end:
+        yield first, end
+
+
 def blocks_of(texts: list[str], block_chars: int) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of texts of about ``block_chars``; a longer text is a block of its own."""
-    first = size = 0
-    for i, text in enumerate(texts):
-        if i > first and size + len(text) > block_chars:
-            yield first, i
-            first, size = i, 0
-        size += len(text)
-    if texts:
-        yield first, len(texts)
+    return runs_of(map(len, texts), block_chars)
+
+
+def _encoded(
+    batches: Iterable[pa.RecordBatch], ranks_path: str, pattern: str, text_col: str, block_chars: int,
+) -> Iterator[pa.RecordBatch]:
+    encoder = block_encoder(ranks_path, pattern)
+    for batch in batches:
+        sizes = pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist()
+        for first, end in runs_of(sizes, block_chars):
+            own = batch.slice(first, end - first)
+            ends, ids = encoder.encode([x or "" for x in own.column(text_col).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*own.schema.names, "ids"])
+
+
+def _decoded(batches: Iterable[pa.RecordBatch], ranks_path: str, ids_col: str) -> Iterator[pa.RecordBatch]:
+    table = pa.array(token_bytes(ranks_path), pa.large_binary())
+    sizes = np.diff(np.frombuffer(table.buffers()[1], np.int64, len(table) + 1))
+    for batch in batches:
+        column = batch.column(ids_col)
+        ids = column.flatten()  # without what null rows hold
+        if ids.null_count or (len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(table)):
+            raise ValueError("an id outside the vocabulary")
+        # tokens laid end to end are the texts laid end to end
+        lengths = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)])
+        ends = np.concatenate([[0], np.cumsum(sizes[ids.to_numpy(zero_copy_only=False)])])[lengths]
+        for first, end in runs_of(np.diff(ends).tolist(), DECODE_BYTES):
+            some = table.take(ids.slice(lengths[first], lengths[end] - lengths[first]))
+            offsets = pa.py_buffer((ends[first : end + 1] - ends[first]).astype(np.int32))
+            texts = pa.BinaryArray.from_buffers(pa.binary(), end - first, [None, offsets, some.buffers()[2]])
+            own = batch.slice(first, end - first)
+            yield pa.RecordBatch.from_arrays([*own.columns, texts], names=[*own.schema.names, "decoded"])
 
 
 def encode(
@@ -244,49 +281,21 @@ def encode(
 ) -> DataFrame:
     """The documents with ``ids array<int>``."""
     docs = docs.select(*[c for c in docs.columns if c != "ids"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = block_encoder(ranks_path, pattern)
-        for batch in batches:
-            texts = [x or "" for x in batch.column(text_col).to_pylist()]
-            for first, end in blocks_of(texts, block_chars):
-                ends, ids = encoder.encode(texts[first:end])
-                own = batch.slice(first, end - first)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*own.schema.names, "ids"])
-
-    return docs.mapInArrow(run, with_fields(docs.schema, "ids array<int>"))
-
-
-def _within(ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(first, end) of runs of rows of about DECODE_BYTES; a longer row is a run of its own."""
-    first, n = 0, len(ends) - 1
-    while first < n:
-        end = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODE_BYTES, "right")) - 1)
-        yield first, end
-        first = end
+    return docs.mapInArrow(
+        lambda batches: _encoded(batches, ranks_path, pattern, text_col, block_chars), with_fields(docs.schema, "ids array<int>"))
 
 
 def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """The rows with ``decoded binary``, the bytes that the ids stand for."""
     rows = rows.select(*[c for c in rows.columns if c != "decoded"])
+    return rows.mapInArrow(lambda batches: _decoded(batches, ranks_path, ids_col), with_fields(rows.schema, "decoded binary"))
+
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(token_bytes(ranks_path), pa.large_binary())
-        sizes = np.diff(np.frombuffer(table.buffers()[1], np.int64, len(table) + 1))
-        for batch in batches:
-            column = batch.column(ids_col)
-            ids = column.flatten()  # without what null rows hold
-            if ids.null_count or (len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(table)):
-                raise ValueError("an id outside the vocabulary")
-            # tokens laid end to end are the texts laid end to end
-            lengths = np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)])
-            ends = np.concatenate([[0], np.cumsum(sizes[ids.to_numpy(zero_copy_only=False)])])[lengths]
-            for first, end in _within(ends):
-                some = table.take(ids.slice(lengths[first], lengths[end] - lengths[first]))
-                offsets = pa.py_buffer((ends[first : end + 1] - ends[first]).astype(np.int32))
-                texts = pa.BinaryArray.from_buffers(pa.binary(), end - first, [None, offsets, some.buffers()[2]])
-                own = batch.slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([*own.columns, texts], names=[*own.schema.names, "decoded"])
-
-    return rows.mapInArrow(run, with_fields(rows.schema, "decoded binary"))
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """``decode`` of ``encode`` in one pass: a task has one Python worker, and ids cross to the next step once."""
+    docs = docs.select(*[c for c in docs.columns if c not in ("ids", "decoded")])
+    return docs.mapInArrow(
+        lambda batches: _decoded(_encoded(batches, ranks_path, pattern, text_col, block_chars), ranks_path, "ids"),
+        with_fields(docs.schema, "ids array<int>, decoded binary"))
