@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, the number of them and the text that the ids decode to."""
     path = public_tokenizers.path(RANKS)
-    rows = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    rows = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     return rows.withColumns({"n_tokens": F.size("ids").cast("long"), "decoded": F.col("decoded").cast("string")})
 
 
