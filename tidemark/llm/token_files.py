@@ -18,21 +18,21 @@ import os
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import blocks_of
+from tidemark.llm.bpe import Known, runs_of
 from tidemark.llm.common import new_folder, read_file, whole_text, write_file, written
 
 MAGIC = b"BITPLANE"
 BLOCK_IDS, FILE_IDS = 65_536, 64 << 20
-#: Code points encoded at once, words that a task remembers, rows read at once.
-BLOCK_CHARS, KNOWN_WORDS, READ_IDS = 4_000_000, 300_000, 4 << 20
+#: Code points encoded at once, bytes of words and of their remainders that a worker remembers, ids read at once.
+BLOCK_CHARS, KNOWN_BYTES, READ_IDS = 4_000_000, 128_000_000, 4 << 20
 #: Words of letters that go to the library in one text.
 TOGETHER = 100
 MANIFEST = "part int, seq int, uri string, n_docs long, n_ids long"
@@ -169,44 +169,57 @@ class WordEncoder:
     The vocabulary drops white space and merges inside words only, so a text's ids are those of its parts between
     spaces and line feeds, one after another. A part that ends in a letter or digit and stops or commas splits there,
     as the vocabulary's own pattern does, and A-Z are its small letters. Every distinct remainder goes to the library
-    once, however its parts are written. A Python worker keeps what it knows for its next task.
+    once, however its parts are written. Arrow cuts a block's texts and numbers its distinct parts, which are looked up
+    once a block; numpy lays their ids end to end. A Python worker keeps what it knows for its next task.
     """
 
-    def __init__(self, path: str, known_words: int = KNOWN_WORDS):
-        self.tokenizer, self.known_words = _tokenizer(path), known_words
-        self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+    def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
+        self.tokenizer = _tokenizer(path)
+        self.known, self.stems = Known(known_bytes), Known(known_bytes)
 
     def _library(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch(texts, add_special_tokens=False)
 
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        if len(self.known) > self.known_words:
-            self.known.clear()
-        fresh = list(set(chain.from_iterable(parts)).difference(self.known))
-        cuts = [_stem(word) for word in fresh]
-        stems = list({x for cut in cuts for x in cut}.difference(self.stems))
-        if len(self.stems) > self.known_words:
-            self.stems.clear()
-            stems = list({x for cut in cuts for x in cut})
-        plain = [x for x in stems if x.lower().isalpha()]
+    def _learn_stems(self, stems: list[str]) -> None:
+        plain, alone = [], []
+        for x in stems:
+            (plain if x.lower().isalpha() else alone).append(x)
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        alone = [x for x in stems if not x.lower().isalpha()]
         for group, found in zip(groups, self._library([" ".join(g) for g in groups]), strict=True):
             # words of letters are one piece each, and pieces are numbered
             owner, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
-            ends = np.append(np.flatnonzero(np.diff(owner)) + 1, len(ids)).tolist()
+            ends = (4 * np.append(np.flatnonzero(np.diff(owner)) + 1, len(ids))).tolist()
             if len(ends) != len(group):
                 alone += group
                 continue
-            self.stems.update((x, ids[a:b].tobytes()) for x, a, b in zip(group, [0, *ends], ends, strict=False))
-        for stem, found in zip(alone, self._library(alone), strict=True):
-            self.stems[stem] = np.array(found.ids, "<u4").tobytes()
-        for word, (stem, rest) in zip(fresh, cuts, strict=True):
-            self.known[word] = self.stems[stem] + self.stems[rest]
-        get, end = self.known.__getitem__, struct.pack("<I", end_id)
-        return [np.frombuffer(b"".join(map(get, own)) + end, "<u4") for own in parts]
+            data = ids.tobytes()
+            self.stems.update(group, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+        self.stems.update(alone, [np.array(found.ids, "<u4").tobytes() for found in self._library(alone)])
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        fresh = self.known.missing(set(words))
+        cuts = [_stem(word) for word in fresh]
+        self._learn_stems(self.stems.missing({x for cut in cuts for x in cut}))
+        get = self.stems.new.__getitem__
+        self.known.update(fresh, [get(stem) + get(rest) if rest else get(stem) for stem, rest in cuts])
+        return list(map(self.known.new.__getitem__, words))
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ends of the texts' ids, ids of all texts), with the end id behind each text."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        parts = split.flatten().dictionary_encode()
+        found = self._words(parts.dictionary.to_pylist())
+        found.append(struct.pack("<I", end_id))
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(lengths) - lengths
+        # which word stands where, the end id behind the last one of each text
+        counts = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        words = np.insert(parts.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, len(found) - 1)
+        sizes = lengths[words]
+        ends = np.cumsum(sizes)
+        places = np.repeat(first[words] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return ends[counts + np.arange(len(counts))], flat[places]
 
 
 def write_tokens(
@@ -232,13 +245,15 @@ def write_tokens(
             if not batch.num_rows:
                 continue
             part = batch.column("part")[0].as_py()
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for first, end in blocks_of(texts, BLOCK_CHARS):
-                for doc_id, own in zip(ids[first:end], encoder.encode(texts[first:end], end_id), strict=True):
+            doc_ids, texts = batch.column("id").to_pylist(), batch.column("text")
+            for first, end in runs_of(pc.utf8_length(texts).to_pylist(), BLOCK_CHARS):
+                ends, ids = encoder.encode(texts.slice(first, end - first), end_id)
+                ends = ends.tolist()
+                for doc_id, x, y in zip(doc_ids[first:end], [0, *ends], ends, strict=False):
                     if writer is None:
                         uri, stream = write_file(folder, f"part-{part:06d}-{seq:04d}", ".bitplanes")
                         writer = TokenFileWriter(stream, block_ids)
-                    writer.add(doc_id, own)
+                    writer.add(doc_id, ids[x:y])
                     if writer.n_ids >= file_ids:
                         close()
                         writer, seq = None, seq + 1
@@ -259,16 +274,17 @@ def write_tokens(
 def read_tokens(manifest: DataFrame, stretch_docs: int = 4096) -> DataFrame:
     """``doc_id long, start long, ids binary`` (little-endian unsigned 32-bit) from the files.
 
-    The manifest has a row per file, so its running sum is made on the driver. Long files are read in stretches of
-    documents by several tasks.
+    What stands before a file is the sum of the parts before its own and of its part's earlier files, so no task sees
+    more than a row a part or the files of one part. Long files are read in stretches of documents by several tasks.
     """
-    spark: SparkSession = manifest.sparkSession
-    rows, start = [], 0
-    for file in sorted(manifest.collect(), key=lambda r: (r["part"], r["seq"])):
-        rows += [(file["uri"], start, first) for first in range(0, file["n_docs"], stretch_docs)]
-        start += file["n_ids"]
-    schema = "uri string, start long, first_doc long"
-    dealt = spark.createDataFrame(rows, schema).repartition(max(1, min(len(rows), 10_000)), "uri", "first_doc")
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
+    # one task sorts these rows, one a partition of the write
+    before = parts.select("part", (F.sum("part_ids").over(Window.orderBy("part")) - F.col("part_ids")).alias("before"))
+    within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
+    stretches = F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, F.lit(stretch_docs).cast("long"))
+    dealt = manifest.withColumn("within", within).join(before, "part").select(
+        "uri", (F.col("before") + F.col("within")).alias("start"), F.explode(stretches).alias("first_doc"),
+    ).repartition("uri", "first_doc")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
