@@ -32,7 +32,7 @@ from tidemark.llm.common import new_folder, read_file, whole_text, write_file, w
 MAGIC = b"BITPLANE"
 BLOCK_IDS, FILE_IDS = 65_536, 64 << 20
 #: Code points encoded at once, bytes of words and of their remainders that a worker remembers, ids read at once.
-BLOCK_CHARS, KNOWN_BYTES, READ_IDS = 4_000_000, 128_000_000, 4 << 20
+BLOCK_CHARS, KNOWN_BYTES, READ_IDS = 4_000_000, 192_000_000, 4 << 20
 #: Words of letters that go to the library in one text.
 TOGETHER = 100
 MANIFEST = "part int, seq int, uri string, n_docs long, n_ids long"
@@ -157,10 +157,12 @@ def _encoder(path: str) -> WordEncoder:
 def _stem(word: str) -> tuple[str, str]:
     """(word, stops and commas behind it); words of A-Z and a-z in small letters."""
     stem = word.rstrip(".,")
+    if stem.isascii():
+        if stem.isalpha():
+            return stem.lower(), word[len(stem):]
+        return (stem, word[len(stem):]) if stem[-1:].isalnum() else (word, "")
     # a last letter whose small form ends in a mark would take the stops into its own piece
-    if not stem[-1:].lower().isalnum():
-        return word, ""
-    return stem.lower() if stem.isascii() and stem.isalpha() else stem, word[len(stem):]
+    return (stem, word[len(stem):]) if stem[-1].lower().isalnum() else (word, "")
 
 
 class WordEncoder:
@@ -175,20 +177,23 @@ class WordEncoder:
 
     def __init__(self, path: str, known_bytes: int = KNOWN_BYTES):
         self.tokenizer = _tokenizer(path)
+        suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[x for token, x in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.known, self.stems = Known(known_bytes), Known(known_bytes)
 
     def _library(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _learn_stems(self, stems: list[str]) -> None:
         plain, alone = [], []
         for x in stems:
-            (plain if x.lower().isalpha() else alone).append(x)
+            (plain if (x if x.isascii() else x.lower()).isalpha() else alone).append(x)
         groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
         for group, found in zip(groups, self._library([" ".join(g) for g in groups]), strict=True):
-            # words of letters are one piece each, and pieces are numbered
-            owner, ids = np.array(found.word_ids), np.array(found.ids, "<u4")
-            ends = (4 * np.append(np.flatnonzero(np.diff(owner)) + 1, len(ids))).tolist()
+            # words of letters are one piece each, and a piece's last id carries the vocabulary's mark
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
             if len(ends) != len(group):
                 alone += group
                 continue
@@ -218,7 +223,10 @@ class WordEncoder:
         words = np.insert(parts.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, len(found) - 1)
         sizes = lengths[words]
         ends = np.cumsum(sizes)
-        places = np.repeat(first[words] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+        places = np.repeat((first[words] - ends + sizes).astype(kind), sizes)
+        places += np.arange(total, dtype=kind)
         return ends[counts + np.arange(len(counts))], flat[places]
 
 
