@@ -32,7 +32,7 @@ from tidemark.llm.common import with_fields
 
 #: Code points of text in a block; bytes of the parts and of the pieces that a worker remembers between blocks, in two
 #: generations each; pairs that it remembers.
-BLOCK_CHARS, KNOWN_BYTES, KNOWN_PAIRS = 1_000_000, 64_000_000, 200_000
+BLOCK_CHARS, KNOWN_BYTES, KNOWN_PAIRS = 1_000_000, 160_000_000, 200_000
 #: What an entry takes besides its text and ids: two objects and its place in the table.
 ENTRY_BYTES = 160
 #: Distinct pieces whose merges are replayed together: their positions stay in the cache.
