@@ -1,4 +1,7 @@
+import gc
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -62,6 +65,15 @@ def test_what_is_forgotten_is_learnt_again(library):
     assert encoder.spaced.size < 40_000 and encoder.pieces.size < 80_000
 
 
+def test_nothing_is_remembered_after_a_task():
+    """Workers outlive their tasks, so what one remembers would lie beside the work of later stages."""
+    batch = pa.RecordBatch.from_pydict({"text": [f"left{i} over {i}" for i in range(50)]})
+    encoded = list(B._encoded(iter([batch]), PATH, public_tokenizers.PATTERN, "text", 1000))
+    assert sum(b.num_rows for b in encoded) == 50
+    gc.collect()
+    assert not [x for x in gc.get_objects() if isinstance(x, (B.BlockEncoder, B.Known, B.PairRanks))]
+
+
 def test_odd_ids(spark, monkeypatch):
     monkeypatch.setattr(B, "DECODE_BYTES", 7)
     table = B.token_bytes(PATH)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm.common import with_fields
 
-#: Code points of text in a block; bytes of the parts and of the pieces that a worker remembers between blocks, in two
+#: Code points of text in a block; bytes of the parts and of the pieces that a task remembers between blocks, in two
 #: generations each; pairs that it remembers.
 BLOCK_CHARS, KNOWN_BYTES, KNOWN_PAIRS = 1_000_000, 160_000_000, 200_000
 #: What an entry takes besides its text and ids: two objects and its place in the table.
@@ -173,7 +173,7 @@ class Known:
 
 
 class BlockEncoder:
-    """Encodes blocks of texts; a Python worker keeps one, and what it knows, for its next task.
+    """Encodes blocks of texts; a task has one of its own, so workers that wait for other work hold no pieces.
 
     A single space between other characters always begins a piece and nothing looks back over it, so a text
     is taken as its parts between spaces, each with the space before it. The pattern cuts every distinct part
@@ -222,11 +222,6 @@ class BlockEncoder:
         return ends, np.frombuffer(b"".join(rows), "<i4")
 
 
-@lru_cache(maxsize=2)
-def block_encoder(path: str, pattern: str) -> BlockEncoder:
-    return BlockEncoder(path, pattern)
-
-
 def runs_of(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     """(first, end) of runs of rows of about ``most`` in size together; a larger row is a run of its own."""
     first = total = end = 0
@@ -247,7 +242,7 @@ def blocks_of(texts: list[str], block_chars: int) -> Iterator[tuple[int, int]]:
 def _encoded(
     batches: Iterable[pa.RecordBatch], ranks_path: str, pattern: str, text_col: str, block_chars: int,
 ) -> Iterator[pa.RecordBatch]:
-    encoder = block_encoder(ranks_path, pattern)
+    encoder = BlockEncoder(ranks_path, pattern)
     for batch in batches:
         sizes = pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist()
         for first, end in runs_of(sizes, block_chars):
