@@ -2,10 +2,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import collocations as C
+from tidemark.llm.common import small_batches
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -80,3 +82,73 @@ def test_quicksort_counts_beginnings():
             if 0 not in row[:k]:
                 want[tuple(row[:k])] += n
     assert dict(C.quicksorted_counts(rows, counts, 30)) == {p: n for p, n in want.items() if n >= 30}
+
+
+@pytest.fixture
+def alike(spark):
+    """Suffixes of 200 blocks of much the same words."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(200):
+        found = np.unique(rng.integers(1, 1_000_000, (500, 3)).astype(np.int32), axis=0)
+        rows.append((f"b{i}", len(found), C._packed(found, np.ones(len(found), np.int64))))
+    return spark.createDataFrame(rows, "block string, n long, suffixes binary").repartition(6)
+
+
+def test_ranges_of_like_blocks_are_even(alike):
+    """2,000 sampled suffixes, 10 a block, cut 100,000 into 200 ranges: more than a block's own sample could tell apart."""
+    bounds = C.range_bounds(alike, 3, 500, 2_000)
+    rows = np.concatenate([C._unpacked(r["suffixes"], 3)[0] for r in alike.collect()])
+    rows = rows[np.lexsort(rows.T[::-1])]
+    ends = np.array([0, *(C._below(rows, b) for b in bounds), len(rows)])
+    assert len(bounds) == 199 and np.diff(ends).max() < 4 * 500
+
+
+@pytest.mark.parametrize(("n", "most"), [(1, 1), (5, 8), (100, 7), (1000, 999)])
+def test_sampled_places(n, most):
+    places = C.sampled_places(n, most, np.random.default_rng(3))
+    assert len(places) == min(n, most) == len(set(places.tolist())) and 0 <= places.min() and places.max() < n
+
+
+def test_chunks_of_a_block_are_its_suffixes(spark, documents):
+    """Chunks in order, none larger than asked for; phrases do not depend on them."""
+    blocks = C.word_blocks(documents, block_bytes=200_000)
+    _, numbers = C.frequent_words(blocks, 6)
+    numbers = numbers.localCheckpoint()
+    tables = [C.suffix_blocks(blocks, numbers, chunk_rows=k) for k in (1 << 30, 700)]
+    whole, chunks = ({}, {})
+    for table, into in zip(tables, (whole, chunks), strict=True):
+        for r in table.collect():
+            into.setdefault(r["block"], []).append(C._unpacked(r["suffixes"], C.MAX_WORDS))
+            assert r["n"] == len(into[r["block"]][-1][0]) and (table is tables[0] or r["n"] <= 700)
+    assert whole.keys() == chunks.keys() and any(len(v) > 1 for v in chunks.values())
+    for block, ((rows, counts),) in whole.items():
+        parts = sorted(chunks[block], key=lambda x: x[0][0].tolist())
+        assert (np.concatenate([p[0] for p in parts]) == rows).all() and (np.concatenate([p[1] for p in parts]) == counts).all()
+    a, b = ({tuple(r["key"]): r["n"] for r in C.phrase_counts(t, 6, C.MAX_WORDS, 400).collect()} for t in tables)
+    assert a == b and a
+
+
+def test_more_phrases_than_are_sent_at_once(spark, monkeypatch):
+    texts = [" ".join(f"w{j}" for j in range(i, i + 60)) for i in range(0, 600, 30) for _ in range(5)]
+    rows = [("en", t) for t in texts]
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    monkeypatch.setattr(C, "SENT_ROWS", 3)
+    assert found(C.collocations(frame, min_count=5)) == wanted(rows, 5)
+
+
+def test_small_batches(spark):
+    """Python gets rows by the bytes asked for, and the session is left as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 50_000).alias("x"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    with pytest.raises(ValueError, match="inside"), small_batches(spark):
+        found = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+        raise ValueError("inside")
+    assert len(found) > 2 and max(found) < 2 << 20
+    assert spark.conf.get(key) == before
